@@ -204,11 +204,27 @@ def core_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col("role") == CORE).drop("role")
 
 
-def attach_per_sensor(rows: DataFrame, per_sensor: DataFrame, how: str = "left") -> DataFrame:
+def sensor_blocks(per_sensor: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """One row per (sensor, block) carrying the sensor's statistics; needs
+    the sensor's kept-row count ``n``."""
+    nblk = F.ceil(F.col("n") / F.lit(cfg.block_rows))
+    return per_sensor.withColumn(
+        "blk", F.explode(F.sequence(F.lit(0).cast("bigint"), (nblk - 1).cast("bigint"))))
+
+
+def attach_per_sensor(rows: DataFrame, per_sensor: DataFrame, cfg: DetectionConfig | None = None,
+                      how: str = "left") -> DataFrame:
     """Bring per-sensor statistics onto the rows without re-shuffling the
     rows.  The statistics row is replicated to each of the sensor's blocks
-    (a distinct over the rows' own partitioning key, so no exchange) and
-    joined on ``(sensor_id, blk)``: only the small side moves."""
-    blocks = rows.select("sensor_id", "blk").distinct()
-    per_block = blocks.join(per_sensor, "sensor_id", "inner")
+    and joined on ``(sensor_id, blk)``, the key the rows are already
+    partitioned by: only the small side moves.  With the sensor's row count
+    ``n`` in ``per_sensor`` the block list is generated; otherwise it is a
+    distinct over the rows' own partitioning key (no exchange either)."""
+    if cfg is not None and "n" in per_sensor.columns:
+        per_block = sensor_blocks(per_sensor, cfg)
+    else:
+        blocks = rows.select("sensor_id", "blk").distinct()
+        per_block = blocks.join(per_sensor, "sensor_id", "inner")
+    if "n" in per_block.columns:
+        per_block = per_block.drop("n")
     return rows.join(per_block, ["sensor_id", "blk"], how)

@@ -32,7 +32,7 @@ from ..session import cut_lineage
 def _sensor_stats(frame: DataFrame, cfg: DetectionConfig, fit_scaler: bool) -> DataFrame:
     """One grouped pass: value statistics, scaler fit, |corr| per feature."""
     v = F.col("value")
-    aggs = [F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"),
+    aggs = [F.max("n").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"),
             quartiles(v, cfg).alias("_q")]
     if fit_scaler:
         for f in SCALED_FEATURES:
@@ -49,9 +49,14 @@ def _sensor_stats(frame: DataFrame, cfg: DetectionConfig, fit_scaler: bool) -> D
 
 
 def detection_frame(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame | None = None,
-                    materialize: bool = False) -> DataFrame:
-    """Every kept reading with features, scaled features, detector columns
-    (``conf_<detector>``) and per-sensor attribution."""
+                    materialize: bool = True) -> DataFrame:
+    """Every kept reading with features, scaled features and detector
+    columns (``conf_<detector>``)."""
+    return _detect(readings, cfg, scaler_model, materialize)[0]
+
+
+def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame | None,
+            materialize: bool):
     cfg = cfg.validate()
     frame = series_frame(readings, cfg)
     if cfg.temporal_anchor == "series_end":
@@ -66,7 +71,7 @@ def detection_frame(readings: DataFrame, cfg: DetectionConfig, scaler_model: Dat
     if use_seasonal:
         stats = stats.join(seasonal_profile(frame, cfg), "sensor_id", "left")
 
-    j = attach_per_sensor(frame, stats)
+    j = attach_per_sensor(frame, stats, cfg)
     j = j.withColumns({f"{f}_scaled": standardise(f, f"{f}__mean", f"{f}__scale")
                        for f in SCALED_FEATURES})
     if "statistical" in cfg.detectors:
@@ -94,8 +99,8 @@ def detection_frame(readings: DataFrame, cfg: DetectionConfig, scaler_model: Dat
         if forest_scores is not None:
             from ..operators.iforest import forest_threshold_aggs
             round2 += forest_threshold_aggs(cfg)
-        s2 = j.groupBy("sensor_id").agg(*round2)
-        j = attach_per_sensor(j, s2)
+        s2 = j.groupBy("sensor_id").agg(F.max("n").alias("n"), *round2)
+        j = attach_per_sensor(j, s2, cfg)
 
     if use_seasonal:
         r = F.col("resid_lead") if cfg.legacy_shift else F.col("resid")
@@ -106,14 +111,14 @@ def detection_frame(readings: DataFrame, cfg: DetectionConfig, scaler_model: Dat
     if forest_scores is not None:
         from ..operators.iforest import forest_confidence
         j = forest_confidence(j, cfg)
-    return j
+    return j, stats
 
 
 def sensor_attribution(frame_with_stats: DataFrame, cfg: DetectionConfig,
                        extra: list[DataFrame] | None = None) -> DataFrame:
     """E2 per sensor from the correlation columns already aggregated
     (``corr__<feature>``) plus the seasonal constants."""
-    sensors = frame_with_stats.select("sensor_id", *[f"corr__{f}" for f in ENGINEERED_FEATURES]).dropDuplicates(["sensor_id"])
+    sensors = frame_with_stats.select("sensor_id", "n", *[f"corr__{f}" for f in ENGINEERED_FEATURES])
     parts = []
     if "statistical" in cfg.detectors:
         entries = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"corr__{f}").alias("importance"),
@@ -123,29 +128,24 @@ def sensor_attribution(frame_with_stats: DataFrame, cfg: DetectionConfig,
     parts += extra or []
     if "seasonal" in cfg.detectors:
         parts.append(seasonal_importance_rows(sensors.select("sensor_id"), len(ENGINEERED_FEATURES)))
-    return attribution_map(combined_importance(parts))
+    return attribution_map(combined_importance(parts)).join(sensors.select("sensor_id", "n"), "sensor_id")
 
 
 def detect_alerts(readings: DataFrame, cfg: DetectionConfig | None = None,
-                  scaler_model: DataFrame | None = None, materialize: bool = False) -> DataFrame:
+                  scaler_model: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Alert rows for every sensor in ``readings``."""
     cfg = cfg or DetectionConfig()
-    j = detection_frame(readings, cfg, scaler_model, materialize)
+    j, stats = _detect(readings, cfg, scaler_model, materialize)
     det = ensemble_detect(j, cfg)
     extra = []
     if cfg.permutation_importance and "isolation_forest" in cfg.detectors:
         from ..operators.iforest import permutation_importance_rows
         extra.append(permutation_importance_rows(j, cfg))
-    attr = sensor_attribution(_per_sensor_corr(j), cfg, extra)
-    det = attach_per_sensor(det, attr)
+    attr = sensor_attribution(stats, cfg, extra)
+    det = attach_per_sensor(det, attr, cfg)
     return assemble_alerts(det, cfg)
 
 
-def _per_sensor_corr(j: DataFrame) -> DataFrame:
-    cols = [f"corr__{f}" for f in ENGINEERED_FEATURES]
-    return j.groupBy("sensor_id").agg(*[F.first(c).alias(c) for c in cols])
-
-
 def alerts_and_outbox(readings: DataFrame, cfg: DetectionConfig | None = None):
     cfg = cfg or DetectionConfig()
     alerts = detect_alerts(readings, cfg)
