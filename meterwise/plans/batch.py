@@ -127,7 +127,8 @@ def sensor_attribution(frame_with_stats: DataFrame, cfg: DetectionConfig,
         parts.append(sensors.select("sensor_id", F.inline(entries)))
     parts += extra or []
     if "seasonal" in cfg.detectors:
-        parts.append(seasonal_importance_rows(sensors.select("sensor_id"), len(ENGINEERED_FEATURES)))
+        base = len(ENGINEERED_FEATURES) + (1 if extra else 0)
+        parts.append(seasonal_importance_rows(sensors.select("sensor_id"), base))
     return attribution_map(combined_importance(parts)).join(sensors.select("sensor_id", "n"), "sensor_id")
 
 

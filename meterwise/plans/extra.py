@@ -7,10 +7,16 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import DetectionConfig
+from ..config import DetectionConfig, SCALED_FEATURES
+from ..operators.ensemble import ensemble_detect
+from ..operators.features import series_frame
+from ..operators.iforest import iforest_detect, permutation_importance_rows
+from ..operators.scaler import apply_scaler, fit_scaler
 from ..schema import ALERT_COLUMNS
-from ..sources.fixtures import hourly_by_type
-from .batch import detect_alerts
+from ..sources.fixtures import hourly_by_type, raw_by_type
+from .batch import detect_alerts, detection_frame
+
+FULL = DetectionConfig(processing_time="2024-02-01 00:00:00")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,10 +24,42 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(*ALERT_COLUMNS)
 
 
+def _scaled_frame(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    f = series_frame(readings, cfg)
+    return apply_scaler(f, fit_scaler(f, cfg))
+
+
+def q_iforest_detect(spark, sf):
+    d = iforest_detect(_scaled_frame(raw_by_type(spark, sf), FULL), FULL)
+    return (d.filter(F.col("conf_isolation_forest").isNotNull())
+             .select("sensor_id", "timestamp", "row_id", F.round("if_score", 6).alias("if_score"),
+                     F.round("conf_isolation_forest", 6).alias("confidence")))
+
+
+def q_permutation_importance(spark, sf):
+    f = _scaled_frame(hourly_by_type(spark, sf), FULL)
+    return permutation_importance_rows(f, FULL).select(
+        "sensor_id", "feature", F.round("importance", 6).alias("importance"))
+
+
+def q_ensemble_three_detectors(spark, sf):
+    j = detection_frame(hourly_by_type(spark, sf), FULL)
+    return ensemble_detect(j, FULL).select("sensor_id", "timestamp",
+                                           F.round("ensemble_confidence", 6).alias("confidence"),
+                                           "anomaly_type")
+
+
 def q_detect_alerts(spark, sf):
-    return flagship(spark, sf)
+    a = detect_alerts(hourly_by_type(spark, sf), FULL.with_(permutation_importance=True))
+    return a.select("timestamp", "sensor_id", "anomaly_type", "severity",
+                    F.round("value", 6).alias("value"),
+                    F.round("confidence_score", 6).alias("confidence_score"),
+                    "root_cause_summary")
 
 
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "iforest_detect": q_iforest_detect,
+    "permutation_importance": q_permutation_importance,
+    "ensemble_three_detectors": q_ensemble_three_detectors,
     "detect_alerts": q_detect_alerts,
 }
