@@ -247,10 +247,17 @@ def forest_confidence(j: DataFrame, cfg: DetectionConfig) -> DataFrame:
     return j.withColumn("conf_isolation_forest", F.when(flag, F.coalesce(conf, F.lit(0.0))))
 
 
-def iforest_detect(frame_scaled: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Scaled series frame -> rows with if_score and conf_isolation_forest."""
+def iforest_detect(frame_scaled: DataFrame, cfg: DetectionConfig, materialize: bool = True) -> DataFrame:
+    """Scaled series frame -> rows with if_score and conf_isolation_forest.
+    With ``materialize`` the input rows and the forest are checkpointed:
+    fitting and scoring both read them."""
+    from ..session import cut_lineage
     from .layout import attach_per_sensor
+    if materialize:
+        frame_scaled = cut_lineage(frame_scaled)
     forest = fit_forest(frame_scaled, cfg)
+    if materialize:
+        forest = cut_lineage(forest)
     scored = score_rows(frame_scaled, forest, cfg)
     th = scored.groupBy("sensor_id").agg(*forest_threshold_aggs(cfg))
     return forest_confidence(attach_per_sensor(scored, th), cfg)
@@ -261,7 +268,10 @@ def permutation_importance_rows(j: DataFrame, cfg: DetectionConfig, forest: Data
     column is permuted within the row's block (the whole series when it fits
     one block) with a generator seeded by (seed, sensor, block, feature);
     per-block sums are added up per sensor, so every row counts."""
-    forest = forest if forest is not None else fit_forest(j, cfg)
+    if forest is None:
+        from ..session import cut_lineage
+        j = cut_lineage(j)
+        forest = cut_lineage(fit_forest(j, cfg))
     x = feature_vector(j).select("sensor_id", "blk", "fx")
     fb = _forest_per_block(forest, x)
     nf = len(FOREST_FEATURES)

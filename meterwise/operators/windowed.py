@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 def windowed_stats(readings: DataFrame, duration: str = "1 hour", slide: str | None = None,
                    watermark: str | None = None) -> DataFrame:
-    df = readings.withWatermark("timestamp", watermark) if watermark else readings
-    win = F.window("timestamp", duration, slide) if slide else F.window("timestamp", duration)
+    df = readings
+    ts = "timestamp"
+    if watermark:  # watermarks need an instant type (wall clock read as UTC)
+        df = df.withColumn("event_time", F.col("timestamp").cast("timestamp")).withWatermark("event_time", watermark)
+        ts = "event_time"
+    win = F.window(ts, duration, slide) if slide else F.window(ts, duration)
     g = df.groupBy("sensor_id", win.alias("w")).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("stddev"), F.max("value").alias("max"),

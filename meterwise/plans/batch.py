@@ -88,10 +88,14 @@ def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame |
             j = j.withColumn("resid_lead", F.col("lead_value") - F.col("lead_trend") - lead_seas)
         round2.append(F.stddev_samp("resid").alias("resid_std"))
 
-    forest_scores = None
+    forest_scores, forest = None, None
     if "isolation_forest" in cfg.detectors:
         from ..operators.iforest import fit_forest, score_rows
+        if materialize:  # fit and score both read these rows: cut here
+            j = cut_lineage(j.drop("seasonal_map"))
         forest = fit_forest(j, cfg)
+        if materialize:
+            forest = cut_lineage(forest)
         forest_scores = score_rows(j, forest, cfg)
         j = forest_scores
 
@@ -111,7 +115,7 @@ def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame |
     if forest_scores is not None:
         from ..operators.iforest import forest_confidence
         j = forest_confidence(j, cfg)
-    return j, stats
+    return j, stats, forest
 
 
 def sensor_attribution(frame_with_stats: DataFrame, cfg: DetectionConfig,
@@ -136,12 +140,12 @@ def detect_alerts(readings: DataFrame, cfg: DetectionConfig | None = None,
                   scaler_model: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Alert rows for every sensor in ``readings``."""
     cfg = cfg or DetectionConfig()
-    j, stats = _detect(readings, cfg, scaler_model, materialize)
+    j, stats, forest = _detect(readings, cfg, scaler_model, materialize)
     det = ensemble_detect(j, cfg)
     extra = []
     if cfg.permutation_importance and "isolation_forest" in cfg.detectors:
         from ..operators.iforest import permutation_importance_rows
-        extra.append(permutation_importance_rows(j, cfg))
+        extra.append(permutation_importance_rows(j, cfg, forest))
     attr = sensor_attribution(stats, cfg, extra)
     det = attach_per_sensor(det, attr, cfg)
     return assemble_alerts(det, cfg)

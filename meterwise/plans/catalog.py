@@ -205,7 +205,7 @@ def q_seasonal_detect(spark, sf):
 
 # --------------------------------------------------------------------------- ensemble
 def _two(spark, sf):
-    j, stats = _detect(hourly_by_type(spark, sf), TWO, None, True)
+    j, stats, _ = _detect(hourly_by_type(spark, sf), TWO, None, True)
     return j, stats
 
 

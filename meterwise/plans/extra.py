@@ -57,9 +57,51 @@ def q_detect_alerts(spark, sf):
                     "root_cause_summary")
 
 
+def _run_dir(spark: SparkSession) -> str:
+    """A fresh folder under the shared checkpoint folder of the session."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/meterwise-stream-{uuid.uuid4().hex}"
+
+
+STREAM_SCHEMA = "timestamp timestamp_ntz, value double, row_id bigint, sensor_id string"
+
+
+def q_stream_batch_isolated(spark, sf):
+    """Hourly series written one file per sensor, streamed one file per
+    micro-batch: each batch is one whole series, so the alerts equal the
+    batch job's."""
+    from ..streaming import run_batch_isolated
+    run = _run_dir(spark)
+    hourly_by_type(spark, sf).repartition("sensor_id").write.partitionBy("sensor_id").parquet(f"{run}/input")
+    stream = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
+              .parquet(f"{run}/input"))
+    a = run_batch_isolated(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10))
+    return a.select("batch_id", "timestamp", "sensor_id", "anomaly_type", "severity",
+                    F.round("confidence_score", 6).alias("confidence_score"))
+
+
+def q_stream_continuous(spark, sf):
+    """Continuous-mode features over the hourly series from the file source."""
+    from ..streaming import start_continuous
+    run = _run_dir(spark)
+    hourly_by_type(spark, sf).write.parquet(f"{run}/input")
+    stream = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{run}/input")
+    q = start_continuous(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10),
+                         available_now=True)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{run}/out")
+    return out.select("sensor_id", "timestamp", F.round("value", 6).alias("value"),
+                      F.round("rolling_mean_24", 6).alias("rolling_mean_24"),
+                      F.round("value_scaled", 6).alias("value_scaled"),
+                      F.round("conf_statistical", 6).alias("conf_statistical"))
+
+
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iforest_detect": q_iforest_detect,
     "permutation_importance": q_permutation_importance,
     "ensemble_three_detectors": q_ensemble_three_detectors,
     "detect_alerts": q_detect_alerts,
+    "stream_batch_isolated": q_stream_batch_isolated,
+    "stream_continuous": q_stream_continuous,
 }
