@@ -259,8 +259,10 @@ def iforest_detect(frame_scaled: DataFrame, cfg: DetectionConfig, materialize: b
     if materialize:
         forest = cut_lineage(forest)
     scored = score_rows(frame_scaled, forest, cfg)
-    th = scored.groupBy("sensor_id").agg(*forest_threshold_aggs(cfg))
-    return forest_confidence(attach_per_sensor(scored, th), cfg)
+    if materialize:  # the scores feed the threshold aggregate and the rows
+        scored = cut_lineage(scored)
+    th = scored.groupBy("sensor_id").agg(F.max("n").alias("n"), *forest_threshold_aggs(cfg))
+    return forest_confidence(attach_per_sensor(scored, th, cfg), cfg)
 
 
 def permutation_importance_rows(j: DataFrame, cfg: DetectionConfig, forest: DataFrame | None = None) -> DataFrame:

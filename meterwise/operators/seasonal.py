@@ -36,6 +36,11 @@ def seasonal_profile(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("phase", "seasonal"))).alias("seasonal_map"))
 
 
+def _with_n(frame: DataFrame, per_sensor: DataFrame) -> DataFrame:
+    n = frame.groupBy("sensor_id").agg(F.max("n").alias("n"))
+    return per_sensor.join(n, "sensor_id")
+
+
 def decompose(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """Trend / seasonal / resid columns on every row."""
     prof = seasonal_profile(frame, cfg)
@@ -54,8 +59,8 @@ def decompose(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
 def seasonal_detect(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """D5 (+F7): adds ``resid_std`` and ``conf_seasonal``."""
     d = decompose(frame, cfg)
-    rs = d.groupBy("sensor_id").agg(F.stddev_samp("resid").alias("resid_std"))
-    j = attach_per_sensor(d, rs)
+    rs = d.groupBy("sensor_id").agg(F.max("n").alias("n"), F.stddev_samp("resid").alias("resid_std"))
+    j = attach_per_sensor(d, rs, cfg)
     r = F.col("resid_lead") if cfg.legacy_shift else F.col("resid")
     k = F.lit(cfg.residual_threshold)
     bound = k * F.col("resid_std")

@@ -33,7 +33,7 @@ def statistical_columns(df: DataFrame, cfg: DetectionConfig) -> DataFrame:
 def statistical_detect(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """Series frame -> frame with D1 columns (z, fences, flags, confidence)."""
     stats = series_stats(frame, cfg)
-    return statistical_columns(attach_per_sensor(frame, stats), cfg)
+    return statistical_columns(attach_per_sensor(frame, stats, cfg), cfg)
 
 
 def correlation_importance(frame: DataFrame, features=ENGINEERED_FEATURES) -> DataFrame:

@@ -32,7 +32,10 @@ def value_stats_aggs(cfg: DetectionConfig, col: str = "value") -> list[Column]:
 
 
 def series_stats(rows: DataFrame, cfg: DetectionConfig, col: str = "value") -> DataFrame:
-    s = rows.groupBy("sensor_id").agg(*value_stats_aggs(cfg, col))
+    """Per sensor: n_values, mean, std_pop, std_samp, min, max, q1, q3 (and the
+    sensor's row count ``n`` when the rows carry it)."""
+    extra = [F.max("n").alias("n")] if "n" in rows.columns else []
+    s = rows.groupBy("sensor_id").agg(*extra, *value_stats_aggs(cfg, col))
     return (s.withColumn("q1", F.col("_q")[0]).withColumn("q3", F.col("_q")[1]).drop("_q"))
 
 

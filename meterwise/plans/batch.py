@@ -97,6 +97,8 @@ def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame |
         if materialize:
             forest = cut_lineage(forest)
         forest_scores = score_rows(j, forest, cfg)
+        if materialize:  # scores feed the threshold aggregate and the rows
+            forest_scores = cut_lineage(forest_scores)
         j = forest_scores
 
     if round2 or forest_scores is not None:
