@@ -71,6 +71,10 @@ def clean_series(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
                 / (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.col("_nchunk")),
     ).cast("bigint")
     r = r.join(prof.select("sensor_id", "_lo", "_hi", "_nchunk"), "sensor_id").withColumn("chunk", chunk)
+    # Explicit exchange on the full key: an upstream partitioning by
+    # sensor_id alone would otherwise satisfy the window and keep a whole
+    # sensor in one task.
+    r = r.repartition("sensor_id", "chunk")
 
     # --- ordered pass inside chunks ------------------------------------------
     wc = Window.partitionBy("sensor_id", "chunk").orderBy("timestamp", "row_id", "value")
@@ -191,9 +195,11 @@ def to_blocks(clean: DataFrame, cfg: DetectionConfig) -> DataFrame:
         F.when((rem < hf) & (blk > 0),
                F.struct((blk - 1).alias("blk"), F.lit(HALO_FWD).alias("role"))),
     ), lambda x: x.isNotNull())
-    return (clean.withColumn("_cp", F.explode(copies))
-                 .select("*", F.col("_cp.blk").alias("blk"), F.col("_cp.role").alias("role"))
-                 .drop("_cp"))
+    out = (clean.withColumn("_cp", F.explode(copies))
+                .select("*", F.col("_cp.blk").alias("blk"), F.col("_cp.role").alias("role"))
+                .drop("_cp"))
+    # exchange on (sensor_id, blk) explicitly, for the same reason as above
+    return out.repartition("sensor_id", "blk")
 
 
 def block_window():
