@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-A text's features are its words and its character n-grams (code points; no
-n-gram spans white space), hashed into a fixed number of buckets.  Each bucket
+A text's features are its words, whether a word repeats the one before it, and
+its character n-grams (code points; no n-gram spans white space), hashed into a
+fixed number of buckets.  Each bucket
 has a learned vector; a document is the average of its features' vectors, and a
 softmax over the average gives the class probabilities.  Vectors and output
 weights are trained together by numpy stochastic gradient descent over mini
@@ -66,11 +67,13 @@ def text_features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(starts):
-        place = np.arange(len(code)) - np.repeat(starts, np.diff(np.append(starts, len(code)))) if starts[0] == 0 else \
-            np.arange(len(code)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(code)]])))
+        from_start = np.concatenate([[0], starts, [len(code)]])
+        place = np.arange(len(code)) - np.repeat(from_start[:-1], np.diff(from_start))
         weight = _mix(place.astype(np.uint64) + _P) | np.uint64(1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(code + np.uint64(1)) * weight, dtype=np.uint64)])
-        out.append(_mix(sums[ends] - sums[starts] + np.uint64(1)))
+        word = sums[ends] - sums[starts]
+        out.append(_mix(word + np.uint64(1)))
+        out.append(_mix((word[1:] == word[:-1]).astype(np.uint64) + np.uint64(7)))  # the word again, or another one
     return (np.concatenate(out) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -79,7 +82,7 @@ def blocks(text: str) -> Iterator[str]:
     return (text[i:i + BLOCK] for i in range(0, len(text), BLOCK))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dims: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dims: int, steps: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
     """rows: (label, buckets, weights that sum to 1).  Returns the logit of class 1 against 0 for each bucket, and the bias."""
     rnd = np.random.default_rng(seed)
     vec = rnd.uniform(-1.0 / dims, 1.0 / dims, (buckets, dims))
@@ -90,30 +93,31 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dims: in
         seen[k][at] += grad * grad
         x[at] -= rate * grad / np.sqrt(seen[k][at])
 
-    for _ in range(epochs if rows else 0):
-        order = rnd.permutation(len(rows))
-        for lo in range(0, len(order), 16):
-            batch = [rows[i] for i in order[lo:lo + 16]]
-            ids, w = np.concatenate([r[1] for r in batch]), np.concatenate([r[2] for r in batch])
-            doc = np.repeat(np.arange(len(batch)), [len(r[1]) for r in batch])
-            part = vec[ids] * w[:, None]
-            hidden = np.stack([np.bincount(doc, part[:, d], len(batch)) for d in range(dims)], 1)
-            z = hidden @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(batch)), [r[0] for r in batch]] -= 1
-            p /= len(batch)
-            back = p @ out.T
-            uniq, inv = np.unique(ids, return_inverse=True)
-            grad = np.stack([np.bincount(inv, back[doc, d] * w, len(uniq)) for d in range(dims)], 1)
-            step(out, slice(None), hidden.T @ p, 1)
-            step(bias, slice(None), p.sum(0), 2)
-            step(vec, uniq, grad, 0)
+    order = np.empty(0, int)
+    for _ in range(steps if rows else 0):  # as many steps whatever the sample's size
+        if len(order) < 16:
+            order = np.concatenate([order, rnd.permutation(len(rows))])
+        batch, order = [rows[i] for i in order[:16]], order[16:]
+        ids, w = np.concatenate([r[1] for r in batch]), np.concatenate([r[2] for r in batch])
+        doc = np.repeat(np.arange(len(batch)), [len(r[1]) for r in batch])
+        part = vec[ids] * w[:, None]
+        hidden = np.stack([np.bincount(doc, part[:, d], len(batch)) for d in range(dims)], 1)
+        z = hidden @ out + bias
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(batch)), [r[0] for r in batch]] -= 1
+        p /= len(batch)
+        back = p @ out.T
+        uniq, inv = np.unique(ids, return_inverse=True)
+        grad = np.stack([np.bincount(inv, back[doc, d] * w, len(uniq)) for d in range(dims)], 1)
+        step(out, slice(None), hidden.T @ p, 1)
+        step(bias, slice(None), p.sum(0), 2)
+        step(vec, uniq, grad, 0)
     return vec @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        sample_rows: int = 3000, folds: int = 5, buckets: int = BUCKETS, dims: int = DIMS, epochs: int = 6,
+        sample_rows: int = 3000, folds: int = 5, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 2000,
         rate: float = 0.1, seed: int = 13) -> tuple[np.ndarray, float]:
     """Train on at most ``sample_rows`` documents of each class; (logit of each bucket, bias)."""
     known = (labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, folds) != 0))
@@ -140,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         got = [(r["h"], str(r["id"]), int(r["y"]), np.array(r["ids"], np.int64), np.array(r["counts"], float)) for b in batches for r in b.to_pylist()]
         got.sort(key=lambda r: r[:2])
         rows = [(y, i, c / c.sum()) for _, _, y, i, c in got if len(i)]
-        logits, bias = train(rows, buckets, dims, epochs, rate, seed)
+        logits, bias = train(rows, buckets, dims, steps, rate, seed)
         yield pa.RecordBatch.from_arrays([pa.array([logits.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["logits", "bias"])
 
     kind = texts.schema["id"].dataType.simpleString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, quality, simhash, token_counts, token_files
+from meterwise.llm import byte_bpe, licenses, mixing, quality, simhash, token_counts, token_files
 from meterwise.llm.common import table
 
 
@@ -17,6 +17,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -32,6 +41,6 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op6_simhash, op7_token_files, op8_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
