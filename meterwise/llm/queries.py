@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, licenses, mixing, quality, simhash, token_counts, token_files, topk
+from meterwise.llm import byte_bpe, imatch, licenses, mixing, quality, simhash, token_counts, token_files, topk
 from meterwise.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk)}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch)}
 
 ORACLE_SQL: dict[str, str] = {"op9_topk": topk.TOP_K_SQL}
