@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, imatch, licenses, mixing, quality, simhash, token_counts, token_files, topk
+from meterwise.llm import byte_bpe, imatch, licenses, mixing, quality, simhash, suffixes, token_counts, token_files, topk
 from meterwise.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -49,6 +53,6 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch)}
 
 ORACLE_SQL: dict[str, str] = {"op9_topk": topk.TOP_K_SQL}
