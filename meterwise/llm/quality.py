@@ -117,7 +117,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dims: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        sample_rows: int = 3000, folds: int = 5, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 2000,
+        sample_rows: int = 3000, folds: int = 5, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 1500,
         rate: float = 0.1, seed: int = 13) -> tuple[np.ndarray, float]:
     """Train on at most ``sample_rows`` documents of each class; (logit of each bucket, bias)."""
     known = (labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, folds) != 0))
@@ -150,8 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
     kind = texts.schema["id"].dataType.simpleString()
     kind_y = texts.schema["y"].dataType.simpleString()
     sparse = texts.mapInArrow(features, f"id {kind}, y {kind_y}, h long, ids array<int>, counts array<float>")
-    model = sparse.repartition(1).mapInArrow(learn, "logits array<double>, bias double").first()
-    return (np.zeros(buckets), 0.0) if model is None else (np.array(model["logits"]), model["bias"])
+    model = sparse.repartition(1).mapInArrow(learn, "logits array<double>, bias double").collect()  # one row
+    return (np.array(model[0]["logits"]), model[0]["bias"]) if model else (np.zeros(buckets), 0.0)
 
 
 def probability(text: str, logits: np.ndarray, bias: float) -> float:
