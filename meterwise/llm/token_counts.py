@@ -66,36 +66,60 @@ def proven_whole_tokens(path: str) -> frozenset[str]:
     return frozenset(t for t, i, e in zip(found, ids, codes) if e.ids == [i] and normal(t) == t)
 
 
-class TokenCounter:
-    """Counts the tokens of texts; ``costs`` remembers what a run costs."""
+class RunPieces:
+    """Cuts a run without white space into the library's pre-tokens, spelled in its byte alphabet.
 
-    def __init__(self, path: str, whole: frozenset[str]):
-        self.tok = Tokenizer.from_file(path)
-        self.whole = whole
+    Characters below U+0250 never compose with each other; those that the library only lower-cases, as Python does,
+    are proven one by one, and a run of them needs no call of the library's normalizer."""
+
+    def __init__(self, tok: Tokenizer):
+        self.tok = tok
         self.pattern = regex.compile(PIECES)
         self.alphabet = byte_alphabet()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in tok.get_added_tokens_decoder().values()]
         self.proven_chars: dict[str, bool] = {}
-        self.costs: dict[str, int] = {}
+        normal = tok.normalizer.normalize_str
+        self.plain = {c for c in map(chr, range(0x250)) if normal(c) == c.lower() and self.known(c)}
 
     def known(self, c: str) -> bool:
         """Whether the pattern module and the library class this character alike."""
         if c not in self.proven_chars:
-            probe = f"a{c}1"
-            ours = self.pattern.findall(self.tok.normalizer.normalize_str(probe))
-            theirs = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(probe))
-            self.proven_chars[c] = [self.spelled(p) for p in ours] == [p for p, _ in theirs]
+            probe = self.tok.normalizer.normalize_str(f"a{c}1")
+            theirs = self.tok.pre_tokenizer.pre_tokenize_str(probe)
+            self.proven_chars[c] = [self.spelled(p) for p in self.pattern.findall(probe)] == [p for p, _ in theirs]
         return self.proven_chars[c]
 
     def spelled(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece
         return "".join(self.alphabet[b] for b in piece.encode("utf-8"))
 
+    def cut(self, run: str) -> list[str] | None:
+        """The normalized pre-tokens, or None where only the library is known to be right."""
+        if any(s in run for s in self.special):
+            return None
+        if self.plain.issuperset(run):
+            return self.pattern.findall(run.lower())
+        if not all(map(self.known, run)):
+            return None
+        return self.pattern.findall(self.tok.normalizer.normalize_str(run))
+
+
+class TokenCounter:
+    """Counts the tokens of texts; ``costs`` remembers what a run costs."""
+
+    def __init__(self, path: str, whole: frozenset[str]):
+        self.tok = Tokenizer.from_file(path)
+        self.whole = whole
+        self.pieces = RunPieces(self.tok)
+        self.costs: dict[str, int] = {}
+
     def cost(self, run: str) -> int:
-        if any(s in run for s in self.special) or not (run.isascii() or all(map(self.known, run))):
+        found = self.pieces.cut(run)
+        if found is None:
             return len(self.tok.encode(run, add_special_tokens=False).ids)
-        normal = run.lower() if run.isascii() else self.tok.normalizer.normalize_str(run)
-        whole, merge = self.whole, self.tok.model.tokenize
-        return sum(1 if p in whole else len(merge(self.spelled(p))) for p in self.pattern.findall(normal))
+        whole, merge, spelled = self.whole, self.tok.model.tokenize, self.pieces.spelled
+        return sum(1 if p in whole else len(merge(spelled(p))) for p in found)
 
     def count(self, text: str) -> int:
         runs, costs = chunks(text), self.costs

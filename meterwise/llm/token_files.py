@@ -11,7 +11,8 @@ memory.
 
 Distinct white-space-free runs are encoded by the library once per Python
 worker and remembered (a memo with a fixed number of entries): white space
-never takes part in a token of this vocabulary.
+never takes part in a token of this vocabulary.  Runs of proven characters go
+straight to the library's merge model, all others through its whole encoder.
 
 A task writes to a name of its own attempt and then renames, so a retried or
 speculative task leaves the same committed files.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from meterwise.llm.common import batches_of, chunks, new_dir, text_of
-from meterwise.llm.token_counts import MEMO_ENTRIES, WORD_BPE
+from meterwise.llm.token_counts import MEMO_ENTRIES, WORD_BPE, RunPieces
 
 END_ID = 1
 
@@ -49,9 +51,17 @@ class RunEncoder:
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
+        self.pieces = RunPieces(self.tok)
         self.dtype = np.dtype(dtype)
         self.memo: dict[str, bytes] = {}
 
+    def ids(self, run: str) -> list[int]:
+        found = self.pieces.cut(run)
+        if found is None:
+            return self.tok.encode(run, add_special_tokens=False).ids
+        merge, spelled = self.tok.model.tokenize, self.pieces.spelled
+        return [t.id for p in found for t in merge(spelled(p))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         memo, out = self.memo, []
         for t in texts:
@@ -63,9 +73,8 @@ class RunEncoder:
                 pass
             if len(memo) > MEMO_ENTRIES:
                 memo.clear()
-            new = list(set(runs).difference(memo))
-            for r, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                memo[r] = np.array(e.ids, self.dtype).tobytes()
+            for r in set(runs).difference(memo):
+                memo[r] = array(self.dtype.char, self.ids(r)).tobytes()
             out.append(b"".join(map(memo.__getitem__, runs)))
         return out
 
