@@ -104,9 +104,9 @@ INTERPOLATION_METHODS = ("linear", "time", "ffill", "nearest")
 class Routes:
     """Alert recipients per channel; an empty tuple disables the channel."""
 
-    email: tuple[str, ...] = ("operator@company.com", "manager@company.com")
-    sms: tuple[str, ...] = ("+1234567890",)
-    email_sender: str = "alerts@company.com"
+    email: tuple[str, ...] = ()
+    sms: tuple[str, ...] = ()
+    email_sender: str = ""
 
 
 @dataclass(frozen=True)
@@ -156,8 +156,9 @@ class DetectionConfig:
     @property
     def halo_back(self) -> int:
         """Rows a block needs from its predecessor: the longest rolling
-        frame (167 rows back) and the longest lag (168)."""
-        return max(max(ROLLING_WINDOWS), max(k for k, _ in TEMPORAL_LOOKBACKS), 1)
+        frame (167 rows back), the longest lag (168) and the centred trend
+        (half a period back)."""
+        return max(max(ROLLING_WINDOWS), max(k for k, _ in TEMPORAL_LOOKBACKS), self.half_period, 1)
 
     @property
     def halo_forward(self) -> int:

@@ -30,12 +30,12 @@ def detector_type(detector) -> Column:
 
 
 def explain_feature(feature, importance) -> Column:
-    f, imp = _c(feature), fmt_num(importance, 2)
+    f = _c(feature)
     expr = None
     for name, tmpl in FEATURE_EXPLANATIONS.items():
-        txt = F.format_string(tmpl, imp)
-        expr = F.when(f == name, txt) if expr is None else expr.when(f == name, txt)
-    return expr.otherwise(F.format_string(DEFAULT_EXPLANATION, f, imp))
+        expr = F.when(f == name, F.lit(tmpl)) if expr is None else expr.when(f == name, F.lit(tmpl))
+    # the number is rendered once and put into the template that was chosen
+    return F.replace(expr.otherwise(F.format_string(DEFAULT_EXPLANATION, f, F.lit("%s"))), F.lit("%s"), fmt_num(importance, 2))
 
 
 def domain_rules(ts, peak_hours=PEAK_HOURS) -> Column:

@@ -10,10 +10,6 @@ from ..functions.text import severity
 from .rootcause import past_columns, root_cause_summary, temporal_context
 
 
-def expected_range(mean, std, k: float = 2.0):
-    return F.struct((mean - F.lit(k) * std).alias("lower"), (mean + F.lit(k) * std).alias("upper"))
-
-
 def processing_time(cfg: DetectionConfig):
     if cfg.processing_time:
         return F.lit(cfg.processing_time).cast("timestamp_ntz")
@@ -41,5 +37,4 @@ def assemble_alerts(det: DataFrame, cfg: DetectionConfig) -> DataFrame:
         "feature_attribution",
         F.struct(processing_time(cfg).alias("processing_time"),
                  F.col("n").cast("bigint").alias("data_points_used")).alias("metadata"),
-        "attribution_ranked", "row_id",
     )

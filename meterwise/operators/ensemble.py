@@ -82,7 +82,8 @@ def seasonal_importance_rows(sensors: DataFrame, ordinal_base: int) -> DataFrame
 
 def combined_importance(parts: list[DataFrame]) -> DataFrame:
     """Average importance per (sensor, feature) over the detectors
-    that produced one; ``ordinal`` keeps the first-seen feature order."""
+    that produced one; ``ordinal`` keeps the first-seen feature order.  At
+    least one part is needed (see ``sensor_attribution`` for none)."""
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

@@ -61,6 +61,3 @@ def series_frame(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
     clean = min_points_guard(clean_series(readings, cfg.validate()), cfg)
     return core_rows(positional_columns(to_blocks(clean, cfg), cfg))
 
-
-def engineer_features(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    return series_frame(readings, cfg)

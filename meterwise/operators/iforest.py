@@ -3,21 +3,20 @@
 Spark has no isolation forest, so this is the one detector with Python in the
 hot path, and it is Arrow-batched and bounded per task:
 
-* **Fit** - each sensor's training pool is a uniform hash-selected subset of
-  its rows (``u(seed, sensor, pos) < n_estimators * max_samples / n``), so a
-  pool never exceeds ~25,600 rows however long the series.  One
-  ``applyInPandas`` group per sensor builds ``n_estimators`` trees, each on
-  ``psi = min(max_samples, n)`` pool rows drawn without replacement; random
-  feature, uniform split, depth <= ceil(log2 psi).  The generator is seeded
-  from (seed, sensor) and the pool sorted by position, so the forest does not
-  depend on partitioning.  Output: forest table (sensor_id, tree_id, psi,
-  nodes).
+* **Fit** - each tree draws ``psi = min(max_samples, n)`` positions of its
+  sensor uniformly without replacement from *all* rows (a hash of seed, sensor,
+  tree and draw), so no row is out of reach of the forest however long the
+  series.  The drawn positions are joined with the rows, and one
+  ``applyInPandas`` group holds the draws of ``TREES_A_GROUP`` trees; random
+  feature, uniform split, depth <= ceil(log2 psi).  Nothing depends on
+  partitioning or block size.  Output: forest table (sensor_id, tree_id, psi
+  and the nodes as flat arrays).
 * **Score** - rows grouped by ``(sensor_id, blk)`` (at most ``block_rows``
   rows) are cogrouped with their sensor's forest and traversed with NumPy,
   all rows of a tree at once.  ``s = 2^(-E[h]/c(psi))``.
-* **Threshold** - a row is an anomaly when its score is above the
-  ``1 - contamination`` quantile of its sensor's scores (the same as the
-  decision function below 0); confidence = (s - min s) / (max s - min s).
+* **Threshold** - a row is an anomaly when its score is above the linearly
+  interpolated ``1 - contamination`` quantile of its sensor's scores (the same
+  as the decision function below 0); confidence = (s - min s) / (max s - min s).
   Quantile, min and max are per-sensor aggregates.
 """
 
@@ -45,9 +44,9 @@ def feature_vector(df: DataFrame) -> DataFrame:
     return df.withColumn("fx", F.array(*cols))
 
 
-def _uniform(seed: int, *cols) -> "F.Column":
-    h = F.xxhash64(F.lit(seed), *cols)
-    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+TREES_A_GROUP = 25
+#: Strides for seeded bijections of 0..n-1: the first that does not divide n is used.
+_STRIDES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
 def _avg_path(n):
@@ -65,31 +64,25 @@ def _seed_for(seed: int, sensor: str) -> int:
 
 
 def _grow_forest(X: np.ndarray, picks: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Grow every tree of one sensor at once, level by level.
+    """Grow several trees at once, level by level.
 
     ``picks`` (trees x psi) indexes the training rows of each tree.  Nodes of
-    all trees form one table; each level splits every splittable node with
-    vectorised per-node min / max (``reduceat`` over samples sorted by node).
-    Returns per-tree lists of node dicts with tree-local indices."""
+    all trees form one table of flat arrays; each level splits every splittable
+    node with per-node min / max (``reduceat`` over samples sorted by node).
+    Returns, per tree, (feature, threshold, left, right, size) with tree-local
+    child indices."""
     n_trees, psi = picks.shape
     xs = X[picks.reshape(-1)]                       # samples of all trees
     node_of = np.repeat(np.arange(n_trees), psi)    # root of tree t has id t
-    tree_of = list(range(n_trees))
-    feat = [-1] * n_trees
-    thr = [0.0] * n_trees
-    left = [-1] * n_trees
-    right = [-1] * n_trees
-    size = [psi] * n_trees
+    tree = np.arange(n_trees)
+    feat, thr = np.full(n_trees, -1), np.zeros(n_trees)
+    left, right, size = np.full(n_trees, -1), np.full(n_trees, -1), np.full(n_trees, psi)
     frontier = np.arange(n_trees)
     for _ in range(max_depth):
+        frontier = frontier[np.bincount(node_of, minlength=len(feat))[frontier] > 1]
         if len(frontier) == 0:
             break
-        sizes = np.bincount(node_of, minlength=len(feat))[frontier]
-        frontier = frontier[sizes > 1]
-        if len(frontier) == 0:
-            break
-        in_f = np.isin(node_of, frontier)
-        idx = np.flatnonzero(in_f)
+        idx = np.flatnonzero(np.isin(node_of, frontier))
         order = idx[np.argsort(node_of[idx], kind="stable")]
         nodes_sorted = node_of[order]
         starts = np.flatnonzero(np.r_[True, nodes_sorted[1:] != nodes_sorted[:-1]])
@@ -101,81 +94,79 @@ def _grow_forest(X: np.ndarray, picks: np.ndarray, rng: np.random.Generator, max
         f = r.argmax(axis=1)
         ok = r[np.arange(len(ids)), f] >= 0
         ids, f, lo_f, hi_f = ids[ok], f[ok], lo[ok, f[ok]], hi[ok, f[ok]]
+        if len(ids) == 0:
+            break
         t = lo_f + rng.random(len(ids)) * (hi_f - lo_f)
         base = len(feat)
         lid = base + 2 * np.arange(len(ids))
         rid = lid + 1
-        fmap = np.full(len(feat), -1)
+        fmap = np.full(base, -1)
         fmap[ids] = np.arange(len(ids))
-        # route the samples of split nodes
+        # route the samples of split nodes; neither side is empty, as t lies in [lo, hi)
         k = fmap[node_of]
         moving = np.flatnonzero(k >= 0)
         km = k[moving]
-        go_left = xs[moving, f[km]] < t[km]
-        node_of[moving] = np.where(go_left, lid[km], rid[km])
-        counts = np.bincount(node_of, minlength=base + 2 * len(ids))
-        for j, nid in enumerate(ids):
-            feat[nid], thr[nid] = int(f[j]), float(t[j])
-            left[nid], right[nid] = int(lid[j]), int(rid[j])
-        for j, nid in enumerate(ids):
-            for child in (lid[j], rid[j]):
-                feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1)
-                size.append(int(counts[child])); tree_of.append(tree_of[nid])
-        frontier = np.concatenate([lid, rid]) if len(ids) else np.array([], dtype=int)
-        # a split that leaves one side empty cannot happen: t lies in [lo, hi)
-    tree_arr = np.asarray(tree_of)
-    local = np.zeros(len(feat), dtype=np.int64)
-    for tr in range(n_trees):
-        members = np.flatnonzero(tree_arr == tr)
-        local[members] = np.arange(len(members))
-    out = [[] for _ in range(n_trees)]
-    for nid in range(len(feat)):
-        out[tree_of[nid]].append({
-            "feature": feat[nid], "threshold": thr[nid],
-            "left": int(local[left[nid]]) if left[nid] >= 0 else -1,
-            "right": int(local[right[nid]]) if right[nid] >= 0 else -1,
-            "size": size[nid]})
-    return out
+        node_of[moving] = np.where(xs[moving, f[km]] < t[km], lid[km], rid[km])
+        feat[ids], thr[ids], left[ids], right[ids] = f, t, lid, rid
+        more = 2 * len(ids)
+        feat, thr = np.append(feat, np.full(more, -1)), np.append(thr, np.zeros(more))
+        left, right = np.append(left, np.full(more, -1)), np.append(right, np.full(more, -1))
+        size = np.append(size, np.bincount(node_of, minlength=base + more)[base:])
+        tree = np.append(tree, np.repeat(tree[ids], 2))
+        frontier = np.arange(base, base + more)
+    order = np.argsort(tree, kind="stable")
+    cuts = np.flatnonzero(np.diff(tree[order])) + 1
+    first = np.concatenate([[0], cuts])
+    local = np.empty(len(tree), dtype=np.int64)
+    local[order] = np.arange(len(tree)) - first[tree[order]]
+    left, right = np.where(left >= 0, local[left], -1), np.where(right >= 0, local[right], -1)
+    return [tuple(c[i] for c in (feat, thr, left, right, size)) for i in np.split(order, cuts)]
 
 
 def _fit_group(cfg: DetectionConfig):
-    n_trees, max_samples, seed = cfg.n_estimators, cfg.max_samples, cfg.forest_seed
+    seed = cfg.forest_seed
+    names = ["sensor_id", "tree_id", "psi", "feature", "threshold", "left", "right", "size"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        sensor = str(pdf["sensor_id"].iloc[0])
-        X = np.vstack(pdf["fx"].to_numpy()) if len(pdf) else np.zeros((0, len(FOREST_FEATURES)))
-        n_total = int(pdf["n"].iloc[0])
-        psi = int(min(max_samples, n_total, len(X)))
-        rng = np.random.default_rng(_seed_for(seed, sensor))
+        pdf = pdf.sort_values(["tree_id", "pos"])
+        sensor, first = str(pdf["sensor_id"].iloc[0]), int(pdf["tree_id"].iloc[0])
+        X = np.vstack(pdf["fx"].to_numpy())
+        ids, psi = np.unique(pdf["tree_id"].to_numpy()), int(pdf["psi"].iloc[0])
+        rng = np.random.default_rng([_seed_for(seed, sensor), first])
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
-        picks = np.stack([rng.choice(len(X), size=psi, replace=False) for _ in range(n_trees)])
-        trees = _grow_forest(X, picks, rng, max_depth)
-        return pd.DataFrame([(sensor, t, psi, trees[t]) for t in range(n_trees)],
-                            columns=["sensor_id", "tree_id", "psi", "nodes"])
+        trees = _grow_forest(X, np.arange(len(X)).reshape(len(ids), psi), rng, max_depth)
+        return pd.DataFrame([(sensor, int(t), psi, *tree) for t, tree in zip(ids, trees)], columns=names)
 
     return fit
 
 
+def tree_draws(sensors: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """(sensor_id, tree_id, psi, blk, pos): the rows each tree is grown on, from (sensor_id, n).
+    Short series order all positions by hash; in long ones twice as many hashed draws hold
+    ``psi`` different positions but for a chance far below 2^-100."""
+    m = cfg.max_samples
+    each = sensors.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(cfg.n_estimators - 1))))
+    hashed = lambda i: F.xxhash64(F.lit(cfg.forest_seed), F.col("sensor_id"), F.col("tree_id"), i)
+    every = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n"), F.lit(16 * m)) - 1),
+                                                 lambda i: F.struct(hashed(i).alias("h"), i.alias("i")))), lambda s: s["i"])
+    some = F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(2 * m).cast("bigint")), lambda i: F.pmod(hashed(i), F.col("n"))))
+    each = each.withColumn("psi", F.least(F.col("n"), F.lit(m)).cast("int"))
+    drawn = each.select("sensor_id", "tree_id", "psi", F.explode(F.slice(F.when(F.col("n") <= 16 * m, every).otherwise(some), F.lit(1), F.col("psi"))).alias("pos"))
+    return drawn.withColumn("blk", F.floor(F.col("pos") / cfg.block_rows).cast("bigint"))
+
+
 def fit_forest(j: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Forest table per sensor from a bounded uniform pool of its rows."""
-    pool_size = cfg.n_estimators * cfg.max_samples
-    x = feature_vector(j)
-    u = _uniform(cfg.forest_seed, F.col("sensor_id"), F.col("pos"))
-    pool = x.filter(u < F.lit(float(pool_size)) / F.col("n")).select("sensor_id", "pos", "n", "fx")
-    return pool.groupBy("sensor_id").applyInPandas(_fit_group(cfg), FOREST)
+    """Forest table per sensor; every tree draws from all rows of its sensor."""
+    x = feature_vector(j).select("sensor_id", "blk", "pos", "fx")
+    draws = tree_draws(j.groupBy("sensor_id").agg(F.max("n").alias("n")), cfg)
+    pool = x.join(draws, ["sensor_id", "blk", "pos"]).select("sensor_id", "tree_id", "psi", "pos", "fx")
+    return pool.groupBy("sensor_id", F.floor(F.col("tree_id") / TREES_A_GROUP)).applyInPandas(_fit_group(cfg), FOREST)
 
 
 def _trees(forest_pdf: pd.DataFrame):
-    out = []
-    for nodes in forest_pdf.sort_values("tree_id")["nodes"]:
-        nd = list(nodes)
-        out.append((np.array([n["feature"] for n in nd], dtype=np.int64),
-                    np.array([n["threshold"] for n in nd], dtype=float),
-                    np.array([n["left"] for n in nd], dtype=np.int64),
-                    np.array([n["right"] for n in nd], dtype=np.int64),
-                    np.array([n["size"] for n in nd], dtype=float)))
-    return out
+    f = forest_pdf.sort_values("tree_id")
+    return [(np.asarray(a, np.int64), np.asarray(b, float), np.asarray(c, np.int64), np.asarray(d, np.int64), np.asarray(e, float))
+            for a, b, c, d, e in zip(f["feature"], f["threshold"], f["left"], f["right"], f["size"])]
 
 
 def _score(X: np.ndarray, trees, psi: int) -> np.ndarray:
@@ -236,9 +227,11 @@ def score_rows(j: DataFrame, forest: DataFrame, cfg: DetectionConfig,
 
 
 def forest_threshold_aggs(cfg: DetectionConfig):
+    """Least and greatest score, and the interpolated contamination quantile."""
     q = 1.0 - cfg.contamination
-    return [F.min("if_score").alias("if_min"), F.max("if_score").alias("if_max"),
-            F.percentile_approx("if_score", q, cfg.quantile_accuracy).alias("if_threshold")]
+    at = (F.percentile("if_score", F.lit(q)) if cfg.quantiles == "exact"
+          else F.percentile_approx("if_score", q, cfg.quantile_accuracy))
+    return [F.min("if_score").alias("if_min"), F.max("if_score").alias("if_max"), at.alias("if_threshold")]
 
 
 def forest_confidence(j: DataFrame, cfg: DetectionConfig) -> DataFrame:
@@ -265,16 +258,34 @@ def iforest_detect(frame_scaled: DataFrame, cfg: DetectionConfig, materialize: b
     return forest_confidence(attach_per_sensor(scored, th, cfg), cfg)
 
 
+def permuted_features(x: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """(sensor_id, blk, pos, px): each forest feature of ``x`` permuted over the sensor's *whole* series by a
+    seeded bijection of positions, ``(stride * pos + shift) mod n`` with a stride coprime to n.  Arithmetic
+    only: no sort, no group per sensor, and the same result for every block size."""
+    n = F.col("n")
+
+    def target(i: int):
+        turned = _STRIDES[i % len(_STRIDES):] + _STRIDES[:i % len(_STRIDES)]
+        fits = F.filter(F.array(*[F.lit(p).cast("bigint") for p in turned]), lambda p: F.pmod(n, p) != 0)
+        shift = F.pmod(F.xxhash64(F.lit(cfg.forest_seed), F.col("sensor_id"), F.lit(i)), n)
+        return F.pmod(F.pmod(fits[0], n) * F.col("pos") + shift, n)
+
+    moved = F.array(*[F.struct(target(i).alias("to"), F.lit(i).alias("i"), F.col("fx")[i].alias("v")) for i in range(len(FOREST_FEATURES))])
+    rows = x.select("sensor_id", F.explode(moved).alias("m")).select("sensor_id", F.col("m.to").alias("pos"), F.struct("m.i", "m.v").alias("e"))
+    rows = rows.withColumn("blk", F.floor(F.col("pos") / cfg.block_rows).cast("bigint"))
+    return (rows.groupBy("sensor_id", "blk", "pos").agg(F.array_sort(F.collect_list("e")).alias("es"))
+            .select("sensor_id", "blk", "pos", F.transform("es", lambda e: e["v"]).alias("px")))
+
+
 def permutation_importance_rows(j: DataFrame, cfg: DetectionConfig, forest: DataFrame | None = None) -> DataFrame:
-    """|mean s - mean s_permuted| per (sensor, feature).  Each feature
-    column is permuted within the row's block (the whole series when it fits
-    one block) with a generator seeded by (seed, sensor, block, feature);
-    per-block sums are added up per sensor, so every row counts."""
+    """|mean s - mean s_permuted| per (sensor, feature).  Scores of the rows and of the rows with one
+    feature permuted are summed per block and added up per sensor, so every row counts."""
     if forest is None:
         from ..session import cut_lineage
         j = cut_lineage(j)
         forest = cut_lineage(fit_forest(j, cfg))
-    x = feature_vector(j).select("sensor_id", "blk", "fx")
+    x = feature_vector(j).select("sensor_id", "blk", "pos", "n", "fx")
+    x = x.join(permuted_features(x, cfg), ["sensor_id", "blk", "pos"]).select("sensor_id", "blk", "fx", "px")
     fb = _forest_per_block(forest, x)
     nf = len(FOREST_FEATURES)
     schema = "sensor_id string, feature string, n bigint, base double, perm double"
@@ -282,16 +293,14 @@ def permutation_importance_rows(j: DataFrame, cfg: DetectionConfig, forest: Data
     def imp(key, pdf: pd.DataFrame, fpdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) == 0 or len(fpdf) == 0:
             return pd.DataFrame(columns=["sensor_id", "feature", "n", "base", "perm"])
-        sensor, blk = str(key[0]), int(key[1])
-        X = np.vstack(pdf["fx"].to_numpy())
+        X, P = np.vstack(pdf["fx"].to_numpy()), np.vstack(pdf["px"].to_numpy())
         trees, psi = _trees(fpdf), int(fpdf["psi"].iloc[0])
         base = _score(X, trees, psi).sum()
         out = []
         for i in range(nf):
-            rng = np.random.default_rng((_seed_for(cfg.forest_seed, sensor) + 7919 * blk + 104729 * i) % (2 ** 32))
             Xp = X.copy()
-            Xp[:, i] = rng.permutation(Xp[:, i])
-            out.append((sensor, FOREST_FEATURES[i], len(X), base, _score(Xp, trees, psi).sum()))
+            Xp[:, i] = P[:, i]
+            out.append((str(key[0]), FOREST_FEATURES[i], len(X), base, _score(Xp, trees, psi).sum()))
         return pd.DataFrame(out, columns=["sensor_id", "feature", "n", "base", "perm"])
 
     sums = (x.groupBy("sensor_id", "blk").cogroup(fb.groupBy("f_sensor", "f_blk"))

@@ -88,7 +88,6 @@ def clean_series(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
           .withColumn("_vli", F.when(valid, F.col("li")))
           .withColumn("_vus", F.when(valid, F.col("t_us")))
           .withColumn("_xok", extras_ok))
-    has_lp = F.last("value", ignorenulls=True).over(wr).isNotNull()
     r = r.select(
         "*",
         F.last("value", ignorenulls=True).over(wr).alias("lp_val"),

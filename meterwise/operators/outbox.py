@@ -1,9 +1,14 @@
 """Alert outbox.  Instead of sending from inside the engine, every
-message to deliver becomes a row ``(sensor_id, timestamp, channel, to,
-subject, body)`` that a delivery job can read (idempotent, replayable)."""
+message to deliver becomes a row ``(sensor_id, timestamp, channel, from, to,
+subject, body)`` that a delivery job can read (idempotent, replayable).
+
+A channel is a function ``(alerts, routes) -> outbox rows``; ``CHANNELS`` holds
+the built-in ones, and ``route_alerts`` takes any others beside them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import Routes
@@ -35,7 +40,12 @@ def metadata_json(meta: Column) -> Column:
                            iso_text(meta["processing_time"]), meta["data_points_used"])
 
 
-def email_subject(a=F.col) -> Column:
+def ranked(attribution: Column) -> Column:
+    """The entries of ``feature_attribution``, which are kept in rank order."""
+    return F.transform(F.map_entries(attribution), lambda e: F.struct(e["key"].alias("feature"), e["value"].alias("importance")))
+
+
+def email_subject() -> Column:
     return F.format_string("Anomaly Alert - %s - %s", F.col("sensor_id"), F.upper(F.col("severity")))
 
 
@@ -49,7 +59,7 @@ def email_body() -> Column:
         F.upper(F.col("severity")), fmt_num(F.col("confidence_score") * 100.0, 2),
         fmt_num(F.col("value"), 2), fmt_num(F.col("expected_range.lower"), 2),
         fmt_num(F.col("expected_range.upper"), 2), F.coalesce(F.col("root_cause_summary"), F.lit("None")),
-        attribution_lines(F.col("attribution_ranked")), metadata_json(F.col("metadata")))
+        attribution_lines(ranked(F.col("feature_attribution"))), metadata_json(F.col("metadata")))
 
 
 def sms_text() -> Column:
@@ -61,9 +71,9 @@ def sms_text() -> Column:
 
 def email_outbox(alerts: DataFrame, routes: Routes) -> DataFrame:
     if not routes.email:
-        return alerts.filter(F.lit(False)).select(*_empty())
+        return _nothing(alerts)
     return alerts.select(
-        "sensor_id", "timestamp", F.lit("email").alias("channel"),
+        "sensor_id", "timestamp", F.lit("email").alias("channel"), F.lit(routes.email_sender).alias("from"),
         F.lit(", ".join(routes.email)).alias("to"),
         email_subject().alias("subject"), email_body().alias("body"))
 
@@ -71,28 +81,25 @@ def email_outbox(alerts: DataFrame, routes: Routes) -> DataFrame:
 def sms_outbox(alerts: DataFrame, routes: Routes) -> DataFrame:
     """Only high and critical alerts produce a text message."""
     if not routes.sms:
-        return alerts.filter(F.lit(False)).select(*_empty())
+        return _nothing(alerts)
+    none = F.lit(None).cast("string")
     return (alerts.filter(F.col("severity").isin("high", "critical"))
-                  .select("sensor_id", "timestamp", F.lit("sms").alias("channel"),
-                          F.lit(", ".join(routes.sms)).alias("to"),
-                          F.lit(None).cast("string").alias("subject"), sms_text().alias("body")))
-
-
-def _empty():
-    return ["sensor_id", "timestamp", F.lit("none").alias("channel"), F.lit("").alias("to"),
-            F.lit(None).cast("string").alias("subject"), F.lit("").alias("body")]
-
-
-def route_alerts(alerts: DataFrame, routes: Routes) -> DataFrame:
-    """Alert x configured channel with recipients -> outbox rows."""
-    parts = []
-    if routes.email:
-        parts.append(email_outbox(alerts, routes))
-    if routes.sms:
-        parts.append(sms_outbox(alerts, routes))
-    if not parts:
-        return alerts.filter(F.lit(False)).select(*_empty())
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                  .select("sensor_id", "timestamp", F.lit("sms").alias("channel"), none.alias("from"),
+                          F.lit(", ".join(routes.sms)).alias("to"), none.alias("subject"), sms_text().alias("body")))
+
+
+def _nothing(alerts: DataFrame) -> DataFrame:
+    text = ("channel", "from", "to", "subject", "body")
+    return alerts.filter(F.lit(False)).select("sensor_id", "timestamp", *[F.lit(None).cast("string").alias(c) for c in text])
+
+
+Channel = Callable[[DataFrame, Routes], DataFrame]
+CHANNELS: Mapping[str, Channel] = {"email": email_outbox, "sms": sms_outbox}
+
+
+def route_alerts(alerts: DataFrame, routes: Routes, extra: Mapping[str, Channel] | None = None) -> DataFrame:
+    """Alert x channel with recipients -> outbox rows.  ``extra`` adds or replaces channels by name."""
+    out = _nothing(alerts)
+    for channel in {**CHANNELS, **(extra or {})}.values():
+        out = out.unionByName(channel(alerts, routes))
     return out

@@ -36,11 +36,6 @@ def seasonal_profile(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("phase", "seasonal"))).alias("seasonal_map"))
 
 
-def _with_n(frame: DataFrame, per_sensor: DataFrame) -> DataFrame:
-    n = frame.groupBy("sensor_id").agg(F.max("n").alias("n"))
-    return per_sensor.join(n, "sensor_id")
-
-
 def decompose(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """Trend / seasonal / resid columns on every row."""
     prof = seasonal_profile(frame, cfg)
@@ -67,8 +62,3 @@ def seasonal_detect(frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
     flag = (F.col("n") >= 2 * cfg.period) & (F.abs(r) > bound)
     conf = F.least(F.coalesce(F.try_divide(F.abs(r), bound), F.lit(1.0)), F.lit(1.0))
     return j.withColumn("conf_seasonal", F.when(F.coalesce(flag, F.lit(False)), conf))
-
-
-def seasonal_importance(spark_or_df) -> dict:
-    """Constant importance of the decomposition components."""
-    return dict(SEASONAL_IMPORTANCE)

@@ -1,4 +1,4 @@
-"""The batch detection job as one lazy plan.
+"""The batch detection job, a chain of plans cut by checkpoints.
 
 readings -> clean + guard (time chunks) -> positional pass (position blocks)
 -> per-sensor statistics (value stats, scaler, correlations, seasonal phase
@@ -11,6 +11,8 @@ blocks.  Everything else that moves is per-sensor or per-block summaries.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import ENGINEERED_FEATURES, SCALED_FEATURES, DetectionConfig
@@ -135,13 +137,19 @@ def sensor_attribution(frame_with_stats: DataFrame, cfg: DetectionConfig,
     if "seasonal" in cfg.detectors:
         base = len(ENGINEERED_FEATURES) + (1 if extra else 0)
         parts.append(seasonal_importance_rows(sensors.select("sensor_id"), base))
+    if not parts:  # no active detector ranks features: empty attributions
+        none = F.array().cast("array<struct<feature:string,importance:double>>")
+        return sensors.select("sensor_id", F.map_from_entries(none).alias("feature_attribution"), none.alias("attribution_ranked"), "n")
     return attribution_map(combined_importance(parts)).join(sensors.select("sensor_id", "n"), "sensor_id")
 
 
 def detect_alerts(readings: DataFrame, cfg: DetectionConfig | None = None,
-                  scaler_model: DataFrame | None = None, materialize: bool = True) -> DataFrame:
-    """Alert rows for every sensor in ``readings``."""
+                  scaler_model: DataFrame | None = None, materialize: bool = True,
+                  sensor_ids: Sequence[str] | None = None) -> DataFrame:
+    """Alert rows for every sensor in ``readings``, or for ``sensor_ids`` alone (the filter reaches the scan)."""
     cfg = cfg or DetectionConfig()
+    if sensor_ids is not None:
+        readings = readings.filter(F.col("sensor_id").isin(list(sensor_ids)))
     j, stats, forest = _detect(readings, cfg, scaler_model, materialize)
     det = ensemble_detect(j, cfg)
     extra = []

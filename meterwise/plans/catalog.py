@@ -37,7 +37,7 @@ from .batch import _detect, sensor_attribution
 # fixed processing time so rendered messages are reproducible
 FIXED_PROCESSING_TIME = "2024-02-01 00:00:00"
 TWO = DetectionConfig(detectors=("statistical", "seasonal"), processing_time=FIXED_PROCESSING_TIME)
-ROUTES = Routes()
+ROUTES = Routes(email=("ops@example.org", "lead@example.org"), sms=("+10000000000",), email_sender="alerts@example.org")
 
 
 def r6(c) -> Column:

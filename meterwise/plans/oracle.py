@@ -12,7 +12,7 @@ from ..config import (ENGINEERED_FEATURES, FEATURE_EXPLANATIONS, DEFAULT_EXPLANA
                       SEASONAL_IMPORTANCE, SUMMER_MONTHS, WINTER_MONTHS, Routes)
 
 PT = "2024-02-01T00:00:00"  # the fixed processing time, ISO text
-ROUTES = Routes()
+ROUTES = Routes(email=("ops@example.org", "lead@example.org"), sms=("+10000000000",), email_sender="alerts@example.org")
 
 
 def R(x: str) -> str:
@@ -20,7 +20,7 @@ def R(x: str) -> str:
 
 
 def F(x: str, d: int) -> str:
-    return f"printf('%.{d}f', ({x}) + 1e-9)"
+    return f"printf('%.{d}f', {x})"
 
 
 def q(s: str) -> str:

@@ -30,19 +30,15 @@ SCALER_MODEL = T.StructType([
     T.StructField("fitted_at", T.TimestampNTZType()),
 ])
 
-NODE = T.StructType([
-    T.StructField("feature", T.IntegerType()),
-    T.StructField("threshold", T.DoubleType()),
-    T.StructField("left", T.IntegerType()),
-    T.StructField("right", T.IntegerType()),
-    T.StructField("size", T.IntegerType()),
-])
-
 FOREST = T.StructType([
     T.StructField("sensor_id", T.StringType()),
     T.StructField("tree_id", T.IntegerType()),
     T.StructField("psi", T.IntegerType()),
-    T.StructField("nodes", T.ArrayType(NODE)),
+    T.StructField("feature", T.ArrayType(T.IntegerType())),
+    T.StructField("threshold", T.ArrayType(T.DoubleType())),
+    T.StructField("left", T.ArrayType(T.IntegerType())),
+    T.StructField("right", T.ArrayType(T.IntegerType())),
+    T.StructField("size", T.ArrayType(T.IntegerType())),
 ])
 
 DETECTION = T.StructType([
@@ -59,4 +55,4 @@ ALERT_COLUMNS = (
     "root_cause_summary", "feature_attribution", "metadata",
 )
 
-OUTBOX_COLUMNS = ("sensor_id", "timestamp", "channel", "to", "subject", "body")
+OUTBOX_COLUMNS = ("sensor_id", "timestamp", "channel", "from", "to", "subject", "body")

@@ -8,22 +8,27 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "meterwise", extra: dict | None = None) -> SparkSession:
+    """A session with the engine's settings.  The master is the cluster's own
+    unless one is named (tests and the bench name a local one)."""
     b = (
-        SparkSession.builder.master(master)
-        .appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.unix.domain.socket.enabled", "true")
-        .config("spark.driver.memory", "16g")
     )
+    if master:
+        b = b.master(master).config("spark.driver.memory", "16g")
+    if master and not shuffle_partitions:
+        shuffle_partitions = 8
+    if shuffle_partitions:
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
@@ -33,12 +38,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder.  The cluster's setting wins; a
-    scratch folder is created only where the session has none (tests)."""
+    """Return the shared checkpoint folder.  A folder the caller has set stays;
+    else the cluster's setting is used; a scratch folder is made only for a
+    local master (tests), and a cluster without one is an error."""
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="meterwise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 

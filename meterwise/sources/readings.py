@@ -3,7 +3,7 @@
 ``read_readings`` accepts parquet, CSV, JSON or a table name and returns the
 canonical readings: ``sensor_id STRING, timestamp TIMESTAMP_NTZ, value DOUBLE,
 row_id BIGINT`` plus any pass-through columns.  Rows whose timestamp cannot be
-parsed are not silently lost: ``quarantine`` returns them.
+parsed, or without timestamp or sensor, are not silently lost: ``quarantine`` returns them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.numeric import fold_nan
 
-_BAD = "_ts_unparsed"
+_BAD = "_bad_reason"
 
 
 def _parse_ts(c: Column, dtype: T.DataType, fmt: str | None) -> Column:
@@ -45,33 +45,35 @@ def _tag(df: DataFrame, sensor_col: str, ts_col: str, value_col: str,
         fold_nan(value).alias("value"),
         rid.alias("row_id"),
         *passthrough,
-        (F.col(ts_col).isNotNull() & ts.isNull()).alias(_BAD),
+        F.when(F.col(ts_col).isNull(), F.lit("missing timestamp"))
+         .when(ts.isNull(), F.lit("unparsable timestamp"))
+         .when(F.col(sensor_col).isNull(), F.lit("missing sensor")).alias(_BAD),
     )
 
 
 def normalize_readings(df: DataFrame, sensor_col: str = "sensor_id", ts_col: str = "timestamp",
                        value_col: str = "value", row_id_col: str | None = None,
                        ts_format: str | None = None) -> DataFrame:
-    """Typed readings; rows without a usable timestamp or sensor are removed
-    (see ``quarantine`` for the unparsable ones)."""
+    """Typed readings; rows without a usable timestamp or sensor are removed:
+    ``quarantine`` returns exactly those."""
     if row_id_col is None and "row_id" in df.columns:
         row_id_col = "row_id"
     t = _tag(df, sensor_col, ts_col, value_col, row_id_col, ts_format)
-    return (t.filter(F.col("timestamp").isNotNull() & F.col("sensor_id").isNotNull())
-             .drop(_BAD))
+    return t.filter(F.col(_BAD).isNull()).drop(_BAD)
 
 
 def quarantine(df: DataFrame, sensor_col: str = "sensor_id", ts_col: str = "timestamp",
                value_col: str = "value", row_id_col: str | None = None,
                ts_format: str | None = None) -> DataFrame:
-    """Rows whose timestamp text could not be parsed, with the original text."""
+    """Rows without a usable timestamp or sensor, with the original text and the reason:
+    kept rows and quarantined rows add up to the input."""
     if row_id_col is None and "row_id" in df.columns:
         row_id_col = "row_id"
     t = _tag(df.withColumn("_raw_ts", F.col(ts_col).cast("string")), sensor_col, ts_col,
              value_col, row_id_col, ts_format)
-    return (t.filter(F.col(_BAD))
+    return (t.filter(F.col(_BAD).isNotNull())
              .select("sensor_id", F.col("_raw_ts").alias("raw_timestamp"), "value", "row_id",
-                     F.lit("unparsable timestamp").alias("reason")))
+                     F.col(_BAD).alias("reason")))
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet", *,

@@ -6,13 +6,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import RAW_READINGS
-from .readings import normalize_readings
+from .readings import _BAD, _tag, normalize_readings
+
+
+def _parsed(df: DataFrame, column: str) -> DataFrame:
+    text = F.col(column).cast("string")
+    return df.select(text.alias("payload"), F.from_json(text, RAW_READINGS).alias("r")).select("payload", "r.*")
 
 
 def parse_json_payload(df: DataFrame, column: str = "value") -> DataFrame:
     """Kafka-style payload: ``from_json(value.cast('string'))`` -> readings."""
-    parsed = df.select(F.from_json(F.col(column).cast("string"), RAW_READINGS).alias("r"))
-    return normalize_readings(parsed.select("r.*"))
+    return normalize_readings(_parsed(df, column).drop("payload"))
+
+
+def quarantine_json_payload(df: DataFrame, column: str = "value") -> DataFrame:
+    """(payload, reason) of the messages that give no reading: malformed JSON, or no usable timestamp or sensor."""
+    t = _tag(_parsed(df, column), "sensor_id", "timestamp", "value", None, None)
+    return t.filter(F.col(_BAD).isNotNull()).select("payload", F.col(_BAD).alias("reason"))
 
 
 def read_reading_stream(spark: SparkSession, path_or_servers: str, fmt: str = "json", *,

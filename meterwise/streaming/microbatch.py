@@ -1,10 +1,11 @@
 """Batch-isolated stream processing.
 
 Each micro-batch runs the same DataFrame plan as the batch job (nothing is
-pulled to the driver) and its alerts and outbox rows are written to
-``<out>/alerts`` and ``<out>/outbox`` partitioned by ``batch_id`` with dynamic
-partition overwrite, so a replayed batch (at-least-once ``foreachBatch``)
-replaces its own output instead of duplicating it.  The stream's progress
+pulled to the driver).  Its alerts are written once to
+``<out>/alerts/batch_id=<id>``, and the outbox is made from the written copy, so
+both carry the same processing time (one per batch).  A replayed batch
+(at-least-once ``foreachBatch``) overwrites its own folders whole, also when it
+now yields no rows.  The stream's progress
 lives in the caller's ``checkpointLocation``.
 """
 
@@ -19,12 +20,13 @@ from ..plans.batch import detect_alerts
 
 def _writer(out: str, cfg: DetectionConfig):
     def process(batch: DataFrame, batch_id: int) -> None:
-        alerts = detect_alerts(batch, cfg).withColumn("batch_id", F.lit(batch_id))
-        (alerts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(f"{out}/alerts"))
-        outbox = route_alerts(alerts, cfg.routes).withColumn("batch_id", F.lit(batch_id))
-        (outbox.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(f"{out}/outbox"))
+        spark = batch.sparkSession
+        now = cfg.processing_time or spark.range(1).select(F.localtimestamp().cast("string")).first()[0]
+        alerts = detect_alerts(batch, cfg.with_(processing_time=now))
+        path = f"{out}/alerts/batch_id={batch_id}"
+        alerts.write.mode("overwrite").parquet(path)
+        written = spark.read.schema(alerts.schema).parquet(path)
+        route_alerts(written, cfg.routes).write.mode("overwrite").parquet(f"{out}/outbox/batch_id={batch_id}")
     return process
 
 

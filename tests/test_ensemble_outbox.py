@@ -42,6 +42,6 @@ def test_sms_gate_and_routing(spark):
         [("m1", datetime(2024, 1, 1, 5, 7), "statistical_outlier", "high", 12.345),
          ("m1", datetime(2024, 1, 1, 6), "seasonal_shift", "medium", 1.0)],
         "sensor_id string, timestamp timestamp_ntz, anomaly_type string, severity string, value double")
-    s = sms_outbox(alerts, Routes()).collect()
+    s = sms_outbox(alerts, Routes(sms=("+1",))).collect()
     assert len(s) == 1 and s[0].body == "ALERT: m1 - statistical_outlier (high) at 05:07. Value: 12.3"
     assert route_alerts(alerts, Routes(email=(), sms=())).count() == 0

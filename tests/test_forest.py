@@ -1,10 +1,11 @@
+import math
+
 import numpy as np
-import pandas as pd
 
 from helpers import series
 from meterwise.config import DetectionConfig
 from meterwise.operators.features import series_frame
-from meterwise.operators.iforest import _grow_forest, _score, _trees, iforest_detect, permutation_importance_rows
+from meterwise.operators.iforest import _grow_forest, _score, iforest_detect, permutation_importance_rows, tree_draws
 from meterwise.operators.scaler import apply_scaler, fit_scaler
 from meterwise.sources import raw_by_type
 
@@ -23,16 +24,17 @@ def test_grow_forest_structure():
     picks = np.stack([rng.choice(1000, 256, replace=False) for _ in range(30)])
     trees = _grow_forest(X, picks, rng, 8)
     for t in trees:
-        assert sum(n["size"] for n in t if n["feature"] < 0) == 256
-        assert all(n["left"] < len(t) and n["right"] < len(t) for n in t)
-    s = _score(X, _trees(pd.DataFrame({"tree_id": range(30), "nodes": trees})), 256)
+        feature, _, left, right, size = t
+        assert size[feature < 0].sum() == 256 and size[0] == 256
+        assert left.max() < len(size) and right.max() < len(size)
+    s = _score(X, trees, 256)
     assert s[:5].min() > np.quantile(s[5:], 0.99)  # injected points isolate first
 
 
 def test_forest_properties(spark):
     d = iforest_detect(_scaled(spark, raw_by_type(spark, "/root/testdata/sf0.001")), CFG).toPandas()
-    share = d.groupby("sensor_id").conf_isolation_forest.apply(lambda c: c.notna().mean())
-    assert ((share > 0.05) & (share < 0.15)).all()
+    for _, g in d.groupby("sensor_id"):  # without ties, the interpolated quantile leaves this many scores above it
+        assert g.conf_isolation_forest.notna().sum() == math.ceil(round(0.1 * (len(g) - 1), 9))
     c = d.conf_isolation_forest.dropna()
     assert c.min() >= 0 and c.max() <= 1.0
     assert np.isclose(d.groupby("sensor_id").conf_isolation_forest.max(), 1.0).all()
@@ -51,3 +53,20 @@ def test_permutation_importance(spark):
     x = np.random.default_rng(1).normal(10, 1, 300)
     imp = permutation_importance_rows(_scaled(spark, series(spark, list(x))), CFG).toPandas()
     assert len(imp) == 12 and (imp.importance >= 0).all()
+
+
+def test_permutation_importance_independent_of_blocks(spark):
+    r = raw_by_type(spark, "/root/testdata/sf0.001")
+    frames = [permutation_importance_rows(_scaled(spark, r, c), c).toPandas().set_index(["sensor_id", "feature"]).importance.sort_index()
+              for c in (CFG.with_(n_estimators=20), CFG.with_(n_estimators=20, block_rows=200))]
+    assert np.allclose(*frames)
+
+
+def test_draws_reach_all_rows(spark):
+    cfg = CFG.with_(max_samples=8, n_estimators=40)
+    s = spark.createDataFrame([("short", 5), ("middle", 100), ("long", 1000)], "sensor_id string, n bigint")
+    d = tree_draws(s, cfg).toPandas()
+    for name, n in (("short", 5), ("middle", 100), ("long", 1000)):
+        g = d[d.sensor_id == name]
+        assert (g.groupby("tree_id").pos.nunique() == min(8, n)).all() and (g.groupby("tree_id").size() == min(8, n)).all()
+        assert g.pos.between(0, n - 1).all() and g.pos.max() >= 0.8 * n - 1 and g.pos.min() <= 0.2 * n
