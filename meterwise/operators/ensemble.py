@@ -1,9 +1,8 @@
 """Combine detector confidences.
 
 Wide form: each detector contributes a nullable ``conf_<detector>`` column on
-the row (the full outer merge of the detection lists is then free).  Long form
-(``merge_detections``) is offered for plug-in detectors that emit
-``(sensor_id, timestamp, row_id, detector, confidence)`` rows.
+the row (the full outer merge of the detection lists is then free).  The long
+form for plug-in detectors is in ``detectors``.
 """
 
 from __future__ import annotations
@@ -55,23 +54,6 @@ def ensemble_detect(df: DataFrame, cfg: DetectionConfig) -> DataFrame:
         F.col("ensemble_confidence") > F.lit(cfg.min_ensemble_confidence))
 
 
-def detections_long(df: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Wide confidences -> long detection rows (one per detector hit)."""
-    dets = active_detectors(df, cfg)
-    entries = F.array(*[F.struct(F.lit(d).alias("detector"), F.col(f"conf_{d}").alias("confidence"))
-                        for d in dets])
-    return (df.select("sensor_id", "timestamp", "row_id", F.inline(entries))
-              .filter(F.col("confidence").isNotNull()))
-
-
-def merge_detections(long: DataFrame) -> DataFrame:
-    """J1 for long-form detections: one row per reading with a map
-    detector -> confidence (full outer merge of the lists)."""
-    return (long.groupBy("sensor_id", "timestamp", "row_id")
-                .agg(F.map_from_entries(F.collect_list(F.struct("detector", "confidence")))
-                     .alias("detector_scores")))
-
-
 def seasonal_importance_rows(sensors: DataFrame, ordinal_base: int) -> DataFrame:
     """D7 as rows for each sensor (an explode of a literal, not a join)."""
     entries = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(float(v)).alias("importance"),

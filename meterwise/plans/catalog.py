@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import (ENGINEERED_FEATURES, SCALED_FEATURES, DetectionConfig, Routes)
 from ..functions.text import domain_rules, explain_feature
 from ..operators.alerts import assemble_alerts
+from ..operators.detectors import Ensemble, StatisticalDetector
 from ..operators.ensemble import ensemble_columns, ensemble_detect
 from ..operators.features import series_frame
 from ..operators.layout import attach_per_sensor, clean_series, min_points_guard
@@ -31,8 +32,9 @@ from ..operators.seasonal import decompose, phase_means, seasonal_detect
 from ..operators.statistical import correlation_importance, statistical_detect
 from ..operators.stats import series_stats
 from ..operators.windowed import windowed_stats
-from ..sources.fixtures import hourly_by_type, load_table, raw_by_type, raw_by_user
-from .batch import _detect, sensor_attribution
+from ..sources import normalize_readings, quarantine
+from ..sources.fixtures import hourly_by_type, load_table, orders_by_priority, raw_by_type, raw_by_user
+from .batch import _detect, detect_alerts, sensor_attribution
 
 # fixed processing time so rendered messages are reproducible
 FIXED_PROCESSING_TIME = "2024-02-01 00:00:00"
@@ -311,6 +313,58 @@ def q_alert_values(spark, sf):
 
 
 # --------------------------------------------------------------------------- extension
+class SurgeDetector:
+    """A plug-in detector: the value is more than three times its rolling 24-row mean."""
+
+    name = "surge"
+
+    def detect(self, frame, cfg):
+        ratio = F.col("value") / F.col("rolling_mean_24")
+        return (frame.filter((F.col("rolling_mean_24") > 0) & (ratio > 3.0))
+                .select("sensor_id", "timestamp", "row_id", F.least(ratio / 6.0, F.lit(1.0)).alias("confidence")))
+
+    def importance(self, frame, cfg):
+        return None
+
+
+def q_ensemble_plugin(spark, sf):
+    e = Ensemble([StatisticalDetector(), SurgeDetector()], {"statistical": 0.3, "surge": 0.7})
+    return e.detect(_frame(spark, sf), TWO).select("sensor_id", "timestamp", r6("ensemble_confidence").alias("confidence"),
+                                                   "strongest_detector", F.size("detector_scores").cast("bigint").alias("n_detectors"))
+
+
+def q_seasonal_long_period(spark, sf):
+    """A period far longer than the halo of the rolling frames, over blocks of 800 rows."""
+    cfg = TWO.with_(period=400, block_rows=800)
+    d = seasonal_detect(series_frame(raw_by_type(spark, sf), cfg), cfg)
+    return d.filter(F.col("trend").isNotNull()).groupBy("sensor_id").agg(
+        F.count(F.lit(1)).alias("n_trend"), F.count("conf_seasonal").alias("n_hits"), r6(F.sum("trend")).alias("sum_trend"))
+
+
+def q_domain_rules_orders(spark, sf):
+    """R2 over all months of the year."""
+    o = orders_by_priority(spark, sf)
+    return o.select("sensor_id", "row_id", F.array_join(domain_rules(F.col("timestamp")), "; ").alias("insights"))
+
+
+def q_quarantine_counts(spark, sf):
+    """kept and quarantined rows add up to the input; some timestamps and sensors are spoilt by rule."""
+    ev = load_table(spark, sf, "events")
+    i = F.col("event_id")
+    raw = ev.select(F.when(i % 97 != 0, F.col("event_type")).alias("sensor_id"),
+                    F.when(i % 89 == 0, F.lit("not a time")).when(i % 83 != 0, F.col("ts").cast("string")).alias("timestamp"),
+                    F.col("value").cast("double").alias("value"))
+    kept = normalize_readings(raw).select(F.lit("kept").alias("outcome"))
+    return kept.unionAll(quarantine(raw).select("reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_detect_alerts_two(spark, sf):
+    """A4 with the two deterministic detectors, whole alert rows."""
+    a = detect_alerts(hourly_by_type(spark, sf), TWO)
+    return a.select("sensor_id", "timestamp", "anomaly_type", "severity", r6("value").alias("value"), r6("confidence_score").alias("confidence_score"),
+                    "root_cause_summary", F.col("metadata.data_points_used").alias("data_points_used"))
+
+
 def q_windowed_stats(spark, sf):
     w = windowed_stats(raw_by_type(spark, sf), "1 hour")
     return w.select("sensor_id", "window_start", "window_end", "n", r6("mean").alias("mean"),
@@ -357,4 +411,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alerts_per_sensor": q_alerts_per_sensor,
     "alert_values": q_alert_values,
     "windowed_stats": q_windowed_stats,
+    "ensemble_plugin": q_ensemble_plugin,
+    "seasonal_long_period": q_seasonal_long_period,
+    "domain_rules_orders": q_domain_rules_orders,
+    "quarantine_counts": q_quarantine_counts,
+    "detect_alerts_two": q_detect_alerts_two,
 }

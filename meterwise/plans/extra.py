@@ -81,6 +81,19 @@ def q_stream_batch_isolated(spark, sf):
                     F.round("confidence_score", 6).alias("confidence_score"))
 
 
+def q_stream_batch_alerts(spark, sf):
+    """The same stream with the two deterministic detectors: the alerts of the batch job."""
+    from ..streaming import run_batch_isolated
+    run = _run_dir(spark)
+    hourly_by_type(spark, sf).repartition("sensor_id").write.partitionBy("sensor_id").parquet(f"{run}/input")
+    stream = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
+              .parquet(f"{run}/input"))
+    cfg = FULL.with_(min_points=10, detectors=("statistical", "seasonal"))
+    a = run_batch_isolated(stream, f"{run}/out", f"{run}/checkpoint", cfg)
+    return a.select("sensor_id", "timestamp", "anomaly_type", "severity",
+                    F.round(F.col("confidence_score") + F.lit(1e-9), 6).alias("confidence_score"))
+
+
 def q_stream_continuous(spark, sf):
     """Continuous-mode features over the hourly series from the file source."""
     from ..streaming import start_continuous
@@ -104,4 +117,5 @@ ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_alerts": q_detect_alerts,
     "stream_batch_isolated": q_stream_batch_isolated,
     "stream_continuous": q_stream_continuous,
+    "stream_batch_alerts": q_stream_batch_alerts,
 }

@@ -372,6 +372,33 @@ SELECT sensor_id, timestamp, {R('value')} AS value, {R('(value - value__mean) /
        {R(lo)} AS lower, {R(hi)} AS upper, {R(f'({lo} - value__mean) / value__scale')} AS lower_scaled,
        {R(f'({hi} - value__mean) / value__scale')} AS upper_scaled, CAST(n AS BIGINT) AS data_points_used
 FROM alerts"""
+    ratio = "(value / rolling_mean_24)"
+    out["ensemble_plugin"] = f"""{pbase},
+pl AS (SELECT sensor_id, timestamp, conf_statistical AS a,
+         CASE WHEN rolling_mean_24 > 0 AND {ratio} > 3.0 THEN least({ratio} / 6.0, 1.0) END AS b FROM det),
+pw AS (SELECT *, (CASE WHEN a IS NOT NULL THEN 0.3 * a ELSE 0.0 END + CASE WHEN b IS NOT NULL THEN 0.7 * b ELSE 0.0 END) /
+         (CASE WHEN a IS NOT NULL THEN 0.3 ELSE 0.0 END + CASE WHEN b IS NOT NULL THEN 0.7 ELSE 0.0 END) AS c
+       FROM pl WHERE a IS NOT NULL OR b IS NOT NULL)
+SELECT sensor_id, timestamp, {R('c')} AS confidence,
+       CASE WHEN a = greatest(a, b) THEN 'statistical' ELSE 'surge' END AS strongest_detector,
+       CAST((a IS NOT NULL)::INT + (b IS NOT NULL)::INT AS BIGINT) AS n_detectors
+FROM pw WHERE c > 0.5"""
+    out["seasonal_long_period"] = f"""WITH {RAW},{clean()},{features(400)},{seasonal(400)}
+SELECT sensor_id, count(*) AS n_trend,
+       count(CASE WHEN n >= 800 AND abs(resid) > 2.0 * resid_std THEN 1 END) AS n_hits, {R('sum(trend)')} AS sum_trend
+FROM dec JOIN rs USING (sensor_id) WHERE trend IS NOT NULL GROUP BY sensor_id"""
+    out["domain_rules_orders"] = f"""
+SELECT o_orderpriority AS sensor_id, o_orderkey AS row_id, {rules_expr('CAST(o_orderdate AS TIMESTAMP)')} AS insights FROM orders"""
+    out["quarantine_counts"] = """
+SELECT CASE WHEN event_id % 89 = 0 THEN 'unparsable timestamp' WHEN event_id % 83 = 0 THEN 'missing timestamp'
+            WHEN event_id % 97 = 0 THEN 'missing sensor' ELSE 'kept' END AS outcome, count(*) AS n
+FROM events GROUP BY 1"""
+    out["detect_alerts_two"] = f"""{pbase}
+SELECT alerts.sensor_id, timestamp, anomaly_type, severity, {R('value')} AS value, {R('ensemble_confidence')} AS confidence_score,
+       {summary_expr()} AS root_cause_summary, CAST(n AS BIGINT) AS data_points_used
+FROM alerts JOIN top USING (sensor_id)"""
+    out["stream_batch_alerts"] = f"""{pbase}
+SELECT sensor_id, timestamp, anomaly_type, severity, {R('ensemble_confidence')} AS confidence_score FROM alerts"""
     out["windowed_stats"] = f"""WITH {RAW}
 SELECT sensor_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start,
        time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end,
