@@ -12,7 +12,7 @@ have been seen within a span not much longer than the template.
 
 Two kinds of template: *phrases* count only as an unbroken place (all pairs on
 one diagonal); *notices* are longer wordings with labels of their own, accepted
-from ``COVERAGE`` of their pairs on.
+from ``COVERAGE`` of their pairs on if the last pair (the version) is there.
 
 DataFrame functions only.  The template table is a constant of this module, so
 its broadcast has a fixed size; the texts themselves are never shuffled.
@@ -85,16 +85,17 @@ def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def spans(votes: DataFrame) -> DataFrame:
-    """Neighbouring diagonals whose hits touch, merged: (id, text_key, t, kind, label, coverage, first, last)."""
+    """Neighbouring diagonals whose hits touch, merged: (id, text_key, t, kind, label, coverage, whole, first, last)."""
     order = Window.partitionBy("id", "text_key", "t").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.col("first") > F.lag("last").over(order) + NEAR + 1)
     marked = votes.withColumn("run", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order))
     # A run's diagonals see at most the template's positions, so the merged set has the template's length at most.
     runs = (marked.withColumn("tpos", F.explode("seen")).groupBy("id", "text_key", "t", "kind", "label", "n_pairs", "run")
-            .agg(F.count_distinct("tpos").alias("n_seen"), F.min("first").alias("first"), F.max("last").alias("last")))
+            .agg(F.count_distinct("tpos").alias("n_seen"), F.max("tpos").alias("end"), F.min("first").alias("first"), F.max("last").alias("last")))
     longest = F.col("n_pairs") + 2 * NEAR
     return (runs.withColumn("coverage", F.when(F.col("last") - F.col("first") <= longest, F.col("n_seen") / F.col("n_pairs")).otherwise(F.lit(0.0)))
-            .select("id", "text_key", "t", "kind", "label", "coverage", "first", "last"))
+            .withColumn("whole", (F.col("coverage") >= COVERAGE) & (F.col("end") == F.col("n_pairs") - 1))
+            .select("id", "text_key", "t", "kind", "label", "coverage", "whole", "first", "last"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     places = votes.filter((F.col("kind") == "phrase") & (F.size("seen") == F.col("n_pairs"))).select(
         "id", "text_key", F.lit(True).alias("base"), "label", F.col("diagonal").alias("at"), F.lit(1.0).alias("score"))
     found = spans(votes.filter("kind = 'notice'")).select(
-        "id", "text_key", F.lit(False).alias("base"), F.when(F.col("coverage") >= COVERAGE, F.col("label")).alias("label"),
+        "id", "text_key", F.lit(False).alias("base"), F.when(F.col("whole"), F.col("label")).alias("label"),
         F.lit(None).cast("int").alias("at"), F.col("coverage").alias("score"))
     per = places.unionAll(found).groupBy(F.col("id").alias("hid"), F.col("text_key").alias("hkey")).agg(
         F.count_if("base").alias("n_base"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"),
@@ -116,3 +117,41 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                       F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def _template_rows() -> str:
+    rows = []
+    for t, (kind, (phrase, label)) in enumerate([("phrase", p) for p in PHRASES] + [("notice", p) for p in NOTICES]):
+        w = phrase.split()
+        rows += [f"({t}, '{kind}', '{label}', {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
+    return ", ".join(rows)
+
+
+#: The same result in SQL (documents have unique ids there).
+SCAN_SQL = rf"""
+WITH tpl(t, kind, label, n_pairs, tpos, x, y) AS (VALUES {_template_rows()}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT doc_id, i - 1 AS pos, w[i] AS a, w[i + 1] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d)),
+hits AS (SELECT doc_id, t, kind, label, n_pairs, pos - tpos AS diagonal, tpos, pos FROM g JOIN tpl ON a = x AND b = y),
+votes AS (SELECT doc_id, t, kind, label, n_pairs, diagonal, count(DISTINCT tpos) AS n_seen, min(pos) AS first, max(pos) AS last
+          FROM hits GROUP BY ALL),
+base AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+         FROM votes WHERE kind = 'phrase' AND n_seen = n_pairs GROUP BY doc_id),
+marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > {NEAR} OR first > lag(last) OVER o + {NEAR + 1} OR lag(last) OVER o IS NULL
+                          THEN 1 ELSE 0 END AS starts
+           FROM votes WHERE kind = 'notice' WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
+runs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS run FROM marked),
+seen AS (SELECT r.doc_id, r.t, r.label, r.n_pairs, r.run, count(DISTINCT h.tpos) AS n_seen, max(h.tpos) AS ending, min(r.first) AS first, max(r.last) AS last
+         FROM runs r JOIN hits h USING (doc_id, t, diagonal) GROUP BY ALL),
+cover AS (SELECT doc_id, label, ending = n_pairs - 1 AS ends, CASE WHEN last - first <= n_pairs + {2 * NEAR} THEN n_seen / n_pairs ELSE 0.0 END AS coverage FROM seen),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+           FROM (SELECT doc_id, label FROM votes WHERE kind = 'phrase' AND n_seen = n_pairs
+                 UNION ALL SELECT doc_id, label FROM cover WHERE coverage >= {COVERAGE} AND ends) GROUP BY doc_id),
+best AS (SELECT doc_id, max(coverage) AS coverage FROM cover GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(CAST(coverage AS DOUBLE), 0.0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
