@@ -14,11 +14,11 @@ in the same column of the same anchor's segments, and every window lies in
 exactly one segment.  Anchors are counted first; those that occur once are
 done.  Equal segments are taken once, with the number of their places.
 
-Construction, per task and anchor: segments are written column by column to a
-sequential file and read back from the last column to the first.  Each round
-inserts one symbol of every segment: the order of the suffixes that start in
-this column is the stable sort by the new symbol of the order of the column
-after it (the symbols in that order are the round's column of the collection's
+Construction, per task over batches of whole anchors: segments are written
+column by column to a sequential file and read back from the last column to the
+first.  Each round inserts one symbol of every segment: the order of the
+suffixes that start in this column is the stable sort by anchor and new symbol
+of the order of the column after it (the symbols in that order are the round's column of the collection's
 Burrows-Wheeler transform), and the common prefix of neighbours is one more
 than the smallest common prefix between them one round before if their symbols
 agree, else 0.  Transform and prefixes go to sequential files round by round.
@@ -54,7 +54,7 @@ ANCHOR = 64
 CELL = 16
 GROUP_ROWS = 512
 BLOCK = 1 << 19
-TASK_BYTES = 1 << 24
+BATCH_ROWS = 1 << 12
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -146,47 +146,47 @@ def segments(docs: DataFrame, length: int, width: int) -> DataFrame:
 
 
 class Columns:
-    """Column-wise order of one anchor's segments, aligned at the anchor, over sequential files."""
+    """Column-wise order of the segments of several anchors, each aligned at its anchor, over sequential files."""
 
     def __init__(self, folder: str):
         self.files = [os.path.join(folder, n) for n in ("symbols", "transform", "prefixes")]
 
-    def windows(self, segs: list[bytes], left: np.ndarray, places: np.ndarray, length: int) -> list[np.ndarray]:
-        """For each segment, which of its windows stand at two places or more."""
+    def windows(self, anchor: np.ndarray, segs: list[bytes], left: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+        """A row for each segment: True at the offsets of its windows that stand at two places or more.
+        Segments of one anchor are neighbours; only they are compared."""
         n, size = len(segs), np.array([len(s) for s in segs])
         lead, width = int(left.max()), int((size - left).max())
         table = np.zeros((n, lead + width), np.uint8)
         for i, s in enumerate(segs):
             at = lead - left[i]
             table[i, at:at + len(s)] = np.frombuffer(s, np.uint8)
-        np.asfortranarray(table).T.tofile(self.files[0])
+        np.ascontiguousarray(table.T).tofile(self.files[0])
         begin, end = lead - left, lead - left + size
-        marks = [np.zeros(k - length + 1, bool) for k in size]
+        marks = np.zeros((n, int(size.max()) - length + 1), bool)
         order = np.arange(n)
-        prefix = np.zeros(n, np.int64)  # with the one before in the order; the first has 0
+        owner = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]])).astype(np.int32) << 9
+        prefix = np.zeros(n, np.int64)  # with the one before in the order; an anchor's first has 0
         with open(self.files[0], "rb") as symbols, open(self.files[1], "wb") as transform, open(self.files[2], "wb") as prefixes:
             for col in range(lead + width - 1, -1, -1):
                 symbols.seek(col * n)
                 sym = np.frombuffer(symbols.read(n), np.uint8)
                 live = (col >= begin) & (col < end)
-                key = np.where(live, sym.astype(np.int16) + 1, 0)[order]  # 0: outside the segment
+                key = (owner + np.where(live, sym.astype(np.int32) + 1, 0))[order]  # 0: outside the segment
                 step = np.argsort(key, kind="stable")
-                key, old = key[step], prefix
-                # Smallest old prefix between neighbours of the new order: they keep their old order under equal symbols.
-                order = order[step]
+                key, old, order = key[step], prefix, order[step]
+                # Under equal symbols the old order stays, so the old prefixes between two neighbours count.
                 prefix = np.zeros(n, np.int64)
-                same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] > 0)) + 1
+                same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 511 > 0)) + 1
                 if len(same):
-                    lo, hi = step[same - 1] + 1, step[same] + 1
-                    edges = np.stack([lo, hi], 1).ravel()
+                    edges = np.stack([step[same - 1] + 1, step[same] + 1], 1).ravel()
                     prefix[same] = 1 + np.minimum.reduceat(np.append(old, 0), edges)[::2]
-                transform.write(key.astype(np.uint8).tobytes())
+                transform.write((key & 511).astype("<u2").tobytes())
                 prefixes.write(np.minimum(prefix, 0xFFFF).astype("<u2").tobytes())
-                group = np.cumsum(prefix < length) - 1  # a run of equal windows
                 stands = live[order] & (col + length <= end[order])
-                twice = np.bincount(group, places[order] * stands, n)[group] >= 2
-                for i in order[twice & stands].tolist():
-                    marks[i][col - begin[i]] = True
+                if stands.any():
+                    run = np.cumsum(prefix < length) - 1  # a run of equal windows
+                    twice = order[(np.bincount(run, places[order] * stands, n)[run] >= 2) & stands]
+                    marks[twice, col - begin[twice]] = True
         return marks
 
 
@@ -195,36 +195,31 @@ def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _ordered(length: int, task_rows: int):
-    """Rows (anchor, sig, left, places, bytes), sorted by anchor, to the repeated windows (anchor, sig, lo, hi), hi excluded."""
+def _ordered(length: int, batch_rows: int):
+    """Rows (anchor, sig, left, places, bytes), sorted by anchor, to the repeated windows (anchor, sig, lo, hi), hi excluded.
+    Whole anchors are gathered up to ``batch_rows`` segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            columns, held, out = Columns(folder), [], [[], [], [], []]
+            columns, held = Columns(folder), []
 
             def close():
                 anchor, sig, left, places, raw = zip(*held)
-                for a, s, m in zip(anchor, sig, columns.windows(list(raw), np.array(left), np.array(places, float), length)):
-                    lo, hi = _runs(m)
-                    for c, x in zip(out, (np.full(len(lo), a), np.full(len(lo), s), lo, hi)):
-                        c.append(x)
+                anchor, sig = np.array(anchor, np.int64), np.array(sig, np.int64)
+                marks = columns.windows(anchor, list(raw), np.array(left), np.array(places, float), length)
+                edge = np.diff(np.pad(marks.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                at, lo = np.nonzero(edge == 1)
+                _, hi = np.nonzero(edge == -1)
                 held.clear()
-
-            def give():
-                cols = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out]
-                for c in out:
-                    c.clear()
-                return pa.RecordBatch.from_arrays(cols, names=["anchor", "sig", "lo", "hi"])
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (anchor[at], sig[at], lo, hi)], names=["anchor", "sig", "lo", "hi"])
 
             for b in batches:
                 for r in zip(*(c.to_pylist() for c in b.columns)):
-                    if held and held[-1][0] != r[0]:
-                        close()
+                    if len(held) >= batch_rows and held[-1][0] != r[0]:
+                        yield close()
                     held.append(r)
-                yield give()
             if held:
-                close()
-                yield give()
+                yield close()
 
     return run
 
@@ -247,7 +242,7 @@ def repeated_windows(docs: DataFrame, places: DataFrame, length: int, width: int
     cut = staged(cut.dropDuplicates(["anchor", "sig"]), "segments")
     dealt = (cut.filter(F.col("kinds") <= group_rows).select("anchor", "sig", "left", "places", "raw")
              .repartition(n, "anchor").sortWithinPartitions("anchor"))
-    found = dealt.mapInArrow(_ordered(length, group_rows), "anchor long, sig long, lo long, hi long")
+    found = dealt.mapInArrow(_ordered(length, BATCH_ROWS), "anchor long, sig long, lo long, hi long")
     return alone.unionAll(found).unionAll(_split(cut.filter(F.col("kinds") > group_rows), length))
 
 

@@ -55,7 +55,8 @@ def planted(seed, n):
 
 
 @pytest.mark.parametrize("length,group_rows", [(400, 512), (400, 3), (40, 2), (64, 512)])
-def test_planted(spark, length, group_rows):
+def test_planted(spark, length, group_rows, monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH_ROWS", 7)
     check(spark, planted(length + group_rows, 90), length=length, group_rows=group_rows)
 
 
