@@ -103,7 +103,7 @@ def q_stream_continuous(spark, sf):
     q = start_continuous(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10),
                          available_now=True)
     q.awaitTermination()
-    out = spark.read.parquet(f"{run}/out")
+    out = spark.read.parquet(f"{run}/out").filter(~F.col("late"))
     return out.select("sensor_id", "timestamp", F.round("value", 6).alias("value"),
                       F.round("rolling_mean_24", 6).alias("rolling_mean_24"),
                       F.round("value_scaled", 6).alias("value_scaled"),

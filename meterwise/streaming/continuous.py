@@ -1,12 +1,17 @@
 """Continuous mode - features that run across micro-batches.
 
 State per sensor (``applyInPandasWithState``): the last 168 cleaned values
-(ring), the scaler fitted once on the sensor's first ``min_points`` rows, and
-the last processed event time.  Rolling means / deviations and differences of
-a new row therefore see the previous batches, as in the batch job; the
-z-score uses the fit-once scaler.  A watermark bounds lateness: rows behind
-it are dropped by Spark; rows behind the sensor's last processed time are
-dropped by the state function (append-only output).
+(ring), the features of the first rows until the scaler is fitted, and the last
+processed (event time, row_id).  Rolling means / deviations and differences of
+a new row therefore see the previous batches, as in the batch job.
+
+The scaler is fitted once, on the sensor's first ``min_points`` rows in order,
+and scales from the last of them on, however the rows are cut into batches.
+
+Rows of one batch may come in any order.  A row at or behind the sensor's last
+processed (time, row_id) is too late for the append-only output: it is given
+out with ``late`` set and without features, so no row is lost silently.  The
+output's watermark is that of the input.
 """
 
 from __future__ import annotations
@@ -16,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..config import ROLLING_WINDOWS, DetectionConfig
+from ..config import ROLLING_WINDOWS, SCALED_FEATURES, DetectionConfig
 
 RING = max(ROLLING_WINDOWS)
-SCALED = ("value", "rolling_mean_12", "rolling_mean_24", "rolling_mean_168", "rolling_std_12",
-          "rolling_std_24", "rolling_std_168", "rate_of_change", "rate_of_change_abs")
+SCALED = tuple(SCALED_FEATURES)
 
 OUTPUT = T.StructType([
     T.StructField("sensor_id", T.StringType()),
@@ -32,6 +36,7 @@ OUTPUT = T.StructType([
     T.StructField("value_scaled", T.DoubleType()),
     T.StructField("z", T.DoubleType()),
     T.StructField("conf_statistical", T.DoubleType()),
+    T.StructField("late", T.BooleanType()),
 ])
 STATE = T.StructType([
     T.StructField("ring", T.ArrayType(T.DoubleType())),
@@ -40,6 +45,8 @@ STATE = T.StructType([
     T.StructField("means", T.ArrayType(T.DoubleType())),
     T.StructField("scales", T.ArrayType(T.DoubleType())),
     T.StructField("last_us", T.LongType()),
+    T.StructField("last_row", T.LongType()),
+    T.StructField("first", T.ArrayType(T.DoubleType())),
 ])
 
 
@@ -65,14 +72,20 @@ def _state_fn(cfg: DetectionConfig):
         sensor = key[0]
         pdf = pd.concat(list(pdfs), ignore_index=True).drop(columns=["event_time"], errors="ignore")
         if state.exists:
-            ring, pend, pend_ts, means, scales, last_us = state.get
-            ring, pend, pend_ts = list(ring or []), list(pend or []), list(pend_ts or [])
+            ring, pend, pend_ts, means, scales, last_us, last_row, first = state.get
+            ring, pend, pend_ts, first = list(ring or []), list(pend or []), list(pend_ts or []), list(first or [])
         else:
-            ring, pend, pend_ts, means, scales, last_us = [], [], [], None, None, None
-        pdf = pdf.sort_values(["timestamp"], kind="stable")
+            ring, pend, pend_ts, means, scales, last_us, last_row, first = [], [], [], None, None, None, None, []
+        pdf = pdf.sort_values(["timestamp", "row_id", "value"], kind="stable")
         ts_us = pdf["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        keep = np.ones(len(pdf), dtype=bool) if last_us is None else ts_us > last_us
-        pdf, ts_us = pdf[keep], ts_us[keep]
+        row = pdf["row_id"].fillna(-1).astype("int64").to_numpy()
+        keep = np.ones(len(pdf), dtype=bool) if last_us is None else (ts_us > last_us) | ((ts_us == last_us) & (row > last_row))
+        if not keep.all():
+            late = pd.DataFrame({f.name: pd.Series([None] * int((~keep).sum()), dtype="float64") for f in OUTPUT.fields})
+            late["sensor_id"], late["late"] = sensor, True
+            late["timestamp"], late["value"] = pdf["timestamp"][~keep].to_numpy(), pdf["value"][~keep].astype(float).to_numpy()
+            yield late
+        pdf, ts_us, row = pdf[keep], ts_us[keep], row[keep]
         if len(pdf) == 0:
             return
         # gaps: linear between known values (carry-in from the ring); a gap
@@ -94,13 +107,24 @@ def _state_fn(cfg: DetectionConfig):
         n_new = len(ready)
         if n_new:
             feats = _features(np.array(ring + list(ready)), n_new)
-            if means is None and len(ring) + n_new >= min_points:
-                fit = feats[list(SCALED)]
+            wide, unscaled = len(SCALED), n_new
+            if means is None:
+                had = len(first) // wide
+                more = feats[list(SCALED)].iloc[:min_points - had]
+                first += more.to_numpy(dtype=float).ravel().tolist()
+                if len(first) // wide == min_points:
+                    unscaled = len(more) - 1  # scaled from the last row of the fit on
+            else:
+                unscaled = 0
+            if means is None and unscaled < n_new:
+                fit = pd.DataFrame(np.array(first, dtype=float).reshape(-1, wide), columns=list(SCALED))
+                first = []
                 means = [float(np.nanmean(fit[c])) if fit[c].notna().any() else 0.0 for c in SCALED]
                 sd = [float(np.nanstd(fit[c])) if fit[c].notna().any() else 1.0 for c in SCALED]
                 scales = [x if x > 0 else 1.0 for x in sd]
             if means is not None:
                 vs = (feats["value"] - means[0]) / scales[0]
+                vs.iloc[:unscaled] = np.nan
             else:
                 vs = pd.Series([np.nan] * n_new)
             z = vs.abs()
@@ -111,13 +135,14 @@ def _state_fn(cfg: DetectionConfig):
             out["value_scaled"] = vs.to_numpy()
             out["z"] = z.to_numpy()
             out["conf_statistical"] = conf
+            out["late"] = False
             ring = (ring + list(ready))[-RING:]
             last_us = int(ready_ts[-1])
             yield out[[f.name for f in OUTPUT.fields]]
         last_seen = int(all_ts[-1]) if len(all_ts) else last_us
         py = lambda xs: None if xs is None else [None if pd.isna(x) else float(x) for x in xs]
         state.update((py(ring), py(new_pend), [int(x) for x in new_pend_ts], py(means), py(scales),
-                      int(last_seen) if last_seen is not None else None))
+                      int(last_seen) if last_seen is not None else None, int(row[-1]), py(first)))
 
     return fn
 
@@ -127,7 +152,8 @@ def continuous_features(stream: DataFrame, cfg: DetectionConfig | None = None,
     cfg = cfg or DetectionConfig(min_points=10)
     # watermarks need an instant type: event_time is the wall clock read in
     # the session zone (UTC)
-    s = (stream.select("sensor_id", "timestamp", "value",
+    row_id = F.col("row_id").cast("bigint") if "row_id" in stream.columns else F.lit(None).cast("bigint")
+    s = (stream.select("sensor_id", "timestamp", "value", row_id.alias("row_id"),
                        F.col("timestamp").cast("timestamp").alias("event_time"))
                .withWatermark("event_time", watermark))
     return s.groupBy("sensor_id").applyInPandasWithState(
