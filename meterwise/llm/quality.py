@@ -74,7 +74,7 @@ def text_features(text: str, buckets: int = BUCKETS) -> np.ndarray:
         word = sums[ends] - sums[starts]
         out.append(_mix(word + np.uint64(1)))
         out.append(_mix((word[1:] == word[:-1]).astype(np.uint64) + np.uint64(7)))  # the word again, or another one
-    return (np.concatenate(out) % np.uint64(buckets)).astype(np.int64)
+    return (np.concatenate(out) % np.uint64(buckets)).astype(np.int64) if out else np.empty(0, np.int64)
 
 
 def blocks(text: str) -> Iterator[str]:
