@@ -110,7 +110,7 @@ def key_of(id_col: str, text_col: str) -> Column:
 
 
 def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_chars, next_key) of every distinct document, in ascending id order, the first after the last."""
+    """(key, id, n_chars, next_key) of every distinct document, in ascending id order, the first after the last."""
     spark = docs.sparkSession
     keys = docs.select(key_of(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"),
                        F.char_length(text_of(text_col)).cast("long").alias("n_chars"))
@@ -123,7 +123,7 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = parts.groupBy("part").agg(F.min(place).alias("first"))
     row = Window.orderBy("part")  # a row for each range partition
     firsts = firsts.select("part", F.coalesce(F.lead("first").over(row), F.first("first").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))["key"].alias("over"))
-    return inside.join(firsts, "part").select("key", "n_chars", F.coalesce("next_key", "over").alias("next_key"))
+    return inside.join(firsts, "part").select("key", "id", "n_chars", F.coalesce("next_key", "over").alias("next_key"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, buckets: int = BUCKETS) -> DataFrame:
@@ -133,10 +133,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = lexicon(docs, text_col, band, buckets)
     order = staged(successors(docs, id_col, text_col), "order")
     after = order.select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), (F.col("n_chars") / 4).cast("long").cast("int").alias("cut"))
-    roles = order.join(after, "key")
-    held = docs.select(key_of(id_col, text_col).alias("key"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(roles, "key")
-    given = held.groupBy(F.col("prev_key").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"))
-    both = held.select("key", "id", "text", "n_chars", "next_key").join(given, "key")
+    # Lender and borrower read the same columns, so that the texts are shuffled once (the exchange is reused).
+    held = docs.select(key_of(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
+    given = held.join(after, "key").groupBy(F.col("prev_key").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"))
+    both = held.join(order, "key").join(given, "key")
     stays = (F.col("n_chars") - (F.col("n_chars") / 4).cast("long")).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays), F.col("lent")))
     both = with_fingerprint(with_fingerprint(both, F.col("text"), "fp", kept), F.col("edited"), "efp", kept)

@@ -63,11 +63,7 @@ def words_of(text_col: str = "text") -> Column:
 
 def template_table(spark: SparkSession) -> DataFrame:
     """(t, kind, label, n_pairs, tpos, x, y): a row for each pair of neighbouring words of each template."""
-    rows = []
-    for t, (kind, (phrase, label)) in enumerate([("phrase", p) for p in PHRASES] + [("notice", p) for p in NOTICES]):
-        w = phrase.split()
-        rows += [(t, kind, label, len(w) - 1, i, w[i], w[i + 1]) for i in range(len(w) - 1)]
-    return spark.createDataFrame(rows, "t int, kind string, label string, n_pairs int, tpos int, x string, y string")
+    return spark.sql(f"SELECT * FROM VALUES {_template_rows()} AS v(t, kind, label, n_pairs, tpos, x, y)")
 
 
 def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,7 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
                                              names=["id", "y", "h", "ids", "counts"])
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(r["h"], str(r["id"]), int(r["y"]), np.array(r["ids"], np.int64), np.array(r["counts"], float)) for b in batches for r in b.to_pylist()]
+        got = []
+        for b in batches:
+            ids, counts = b.column(3), b.column(4)
+            cuts = ids.offsets.to_numpy()
+            flat, weight = ids.values.to_numpy(), counts.values.to_numpy()
+            got += [(h, str(i), int(y), flat[lo:hi].copy(), weight[lo:hi].copy()) for i, y, h, lo, hi in
+                    zip(*(b.column(k).to_pylist() for k in range(3)), cuts[:-1].tolist(), cuts[1:].tolist())]
         got.sort(key=lambda r: r[:2])
         rows = [(y, i, c / c.sum()) for _, _, y, i, c in got if len(i)]
         logits, bias = train(rows, buckets, dims, steps, rate, seed)
