@@ -285,7 +285,21 @@ def _split(cut: DataFrame, length: int) -> DataFrame:
     live = parts.join(often, ["anchor", "edge", "inner"]).groupBy("anchor", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     each = staged(rows.join(live, ["anchor", "sig"]).mapInArrow(windows, "anchor long, sig long, places long, off long, own long, lo long"), "windows")
     twice = each.groupBy("anchor", "off", "own").agg(F.sum("places").alias("all")).filter("all >= 2").drop("all")
-    return each.join(twice, ["anchor", "off", "own"]).select("anchor", "sig", "lo", (F.col("lo") + 1).alias("hi"))
+    # A segment has fewer windows than ``length``: they are put together again as runs.
+    marked = each.join(twice, ["anchor", "off", "own"]).groupBy("anchor", "sig").agg(F.sort_array(F.collect_set("lo")).alias("at"))
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], [], [], []]
+            for anchor, sig, at in zip(*(c.to_pylist() for c in b.columns)):
+                w = np.array(at, np.int64)
+                gap = np.flatnonzero(np.diff(w) > 1)
+                lo, hi = w[np.concatenate([[0], gap + 1])], w[np.append(gap, len(w) - 1)] + 1
+                for c, x in zip(out, (np.full(len(lo), anchor), np.full(len(lo), sig), lo, hi)):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names=["anchor", "sig", "lo", "hi"])
+
+    return marked.mapInArrow(runs, "anchor long, sig long, lo long, hi long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = ANCHOR,
