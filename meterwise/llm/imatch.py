@@ -8,12 +8,14 @@ buckets over all documents, so the lexicon is one byte a bucket whatever the
 corpus holds (rare terms that share a bucket add a small floor, in proportion
 to the corpus, well under the band).
 
-``SUBSETS`` randomised sub-lexicons each keep one lexicon term in
-2 ** ``THIN_BITS``, drawn by bits of the term's hash.  A text's sorted terms in
-a sub-lexicon are hashed to one value; the fingerprint is the list of values.
+``1 << PART_BITS`` randomised sub-lexicons divide all terms among them by bits
+of the term's hash: every term is in exactly one, so every term used counts.  A
+text's sorted terms in a sub-lexicon are hashed to one value, with the number
+of the sub-lexicon in its upper bits; the fingerprint is the list of values.
 The likeness of two fingerprints is the share of equal values among the
-sub-lexicons that either text has terms of.  A text without lexicon terms is
-fingerprinted by all its terms.
+sub-lexicons that either text has terms of.  A text with fewer than ``FEW``
+lexicon terms is fingerprinted by all its terms, so a text with any term has a
+value at least.
 
 The *next* document is found without a global window: ids are range
 partitioned, neighbours are read inside a partition, and the first id of each
@@ -37,8 +39,8 @@ from meterwise.llm.common import staged, text_of
 BUCKETS = 1 << 18
 #: Document frequency, as a share of all documents, that a lexicon term has at least and at most.
 BAND = (0.005, 0.1)
-SUBSETS = 16
-THIN_BITS = 7
+PART_BITS = 7
+FEW = 8
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -67,42 +69,43 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
     return bytes(out)
 
 
-def fingerprint(text: Column, kept: bytes, subsets: int = SUBSETS, thin_bits: int = THIN_BITS) -> tuple[Column, list[Column]]:
-    """The terms used (to be held as column ``u``) and, over ``u``, each sub-lexicon's value: null where the text has none of its terms."""
+def part_of(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - PART_BITS)
+
+
+def used_terms(text: Column, kept: bytes) -> Column:
+    """The terms that make the fingerprint, hashed again so that the sub-lexicons do not follow the buckets; sorted, thus by sub-lexicon."""
     flags = F.lit(kept)
     named = terms(text)
     inside = F.filter(named, lambda t: F.substring(flags, bucket_of(t, len(kept)) + 1, F.lit(1)) == F.lit(b"\x01"))
-    used = F.when(F.size(inside) > 0, inside).otherwise(named)
-    mask = (1 << thin_bits) - 1
+    return F.array_sort(F.transform(F.when(F.size(inside) >= FEW, inside).otherwise(named), lambda t: F.xxhash64(t)))
 
-    def value(i: int) -> Column:
-        # Further hashes draw the subsets, so that they do not follow the buckets.
-        draw, at = ("even", "odd")[i % 2], thin_bits * (i // 2)
-        part = F.filter(F.col("u"), lambda t: F.shiftrightunsigned(t[draw], at).bitwiseAND(F.lit(mask)) == 0)
-        return F.when(F.size(part) > 0, F.xxhash64(F.transform(part, lambda t: t["t"])))
 
-    drawn = F.transform(used, lambda t: F.struct(t.alias("t"), F.xxhash64(t).alias("even"), F.xxhash64(t, F.lit(1)).alias("odd")))
-    return drawn, [value(i) for i in range(subsets)]
+def values(u: Column) -> Column:
+    """One value for each sub-lexicon that ``u`` has terms of: its terms are written side by side, ';' between sub-lexicons."""
+    border = lambda h, i: F.when(i == 0, "").when(part_of(h) == part_of(F.get(u, i - 1)), ",").otherwise(";")
+    joined = F.array_join(F.transform(u, lambda h, i: F.concat(border(h, i), h.cast("string"))), "")
+    low = F.lit((1 << 64 - PART_BITS) - 1)
+    number = lambda g: part_of(F.substring_index(g, ",", 1).cast("long"))
+    named = lambda g: F.xxhash64(g).bitwiseAND(low).bitwiseOR(F.shiftleft(number(g), 64 - PART_BITS))
+    return F.when(F.size(u) > 0, F.transform(F.split(joined, ";"), named)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str, kept: bytes, **options) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, name: str, kept: bytes) -> DataFrame:
     """``df`` with the column ``name``: struct(whole, parts).  ``whole`` hashes all terms used; ``parts`` are the values."""
-    drawn, values = fingerprint(text, kept, **options)
-    df = df.withColumn("u", drawn)
-    whole = F.xxhash64(F.transform("u", lambda t: t["t"]))
-    return df.withColumn(name, F.struct(whole.alias("whole"), F.array(*values).alias("parts"))).drop("u")
+    df = df.withColumn("u", used_terms(text, kept))
+    return df.withColumn(name, F.struct(F.xxhash64("u").alias("whole"), values(F.col("u")).alias("parts"))).drop("u")
 
 
 def shown(fp: Column) -> Column:
-    """A fingerprint as text: its parts in hexadecimal, '-' for an empty one."""
-    return F.array_join(F.transform(fp["parts"], lambda p: F.lower(F.hex(p))), ".", "-")
+    """A fingerprint as text: its values in hexadecimal, '-' for a text without any term."""
+    return F.when(F.size(fp["parts"]) > 0, F.array_join(F.transform(fp["parts"], lambda p: F.lower(F.hex(p))), ".")).otherwise("-")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    same = F.zip_with(a["parts"], b["parts"], lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None).cast("int")).otherwise(x.eqNullSafe(y).cast("int")))
-    told = F.filter(same, lambda s: s.isNotNull())
-    share = F.aggregate(told, F.lit(0), lambda n, s: n + s) / F.size(told)
-    return F.when(a["whole"] == b["whole"], F.lit(1.0)).when(F.size(told) > 0, share).otherwise(F.lit(0.0))
+    numbers = [F.transform(x["parts"], part_of) for x in (a, b)]
+    share = F.size(F.array_intersect(a["parts"], b["parts"])) / F.size(F.array_union(*numbers))
+    return F.when(a["whole"] == b["whole"], F.lit(1.0)).otherwise(share)
 
 
 def key_of(id_col: str, text_col: str) -> Column:
@@ -133,15 +136,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = lexicon(docs, text_col, band, buckets)
     order = staged(successors(docs, id_col, text_col), "order")
     after = order.select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), (F.col("n_chars") / 4).cast("long").cast("int").alias("cut"))
-    # Lender and borrower read the same columns, so that the texts are shuffled once (the exchange is reused).
+    # Lender and borrower read the same columns, so that the texts are shuffled once (the exchange is reused).  The lender
+    # sends its fingerprint along, so that finished fingerprints are neither written nor shuffled again.
     held = docs.select(key_of(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    given = held.join(after, "key").groupBy(F.col("prev_key").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"))
+    lender = with_fingerprint(held.join(after, "key"), F.col("text"), "fp", kept)
+    given = lender.groupBy(F.col("prev_key").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"), F.min("fp").alias("nfp"))
     both = held.join(order, "key").join(given, "key")
     stays = (F.col("n_chars") - (F.col("n_chars") / 4).cast("long")).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays), F.col("lent")))
     both = with_fingerprint(with_fingerprint(both, F.col("text"), "fp", kept), F.col("edited"), "efp", kept)
-    out = staged(both.select("key", "id", "next_key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "efp"), "fingerprints")
-    following = out.groupBy(F.col("key").alias("next_key")).agg(F.min("fp").alias("nfp"))
-    return out.join(following, "next_key").select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("efp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"))
+    return both.select(
+        F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("fp")).alias("fingerprint"),
+        shown(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"))

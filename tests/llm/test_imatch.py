@@ -45,3 +45,20 @@ def test_documents_keep_likeness_after_an_edit(spark):
 
 def test_empty(spark):
     assert imatch.fingerprints(frame(spark, [])).count() == 0
+
+
+def test_every_term_counts(spark):
+    """Each word of a text without lexicon terms changes its fingerprint, and near copies of short texts stay alike."""
+    words = [f"w{i}" for i in range(40)]
+    given = [" ".join(words[:k]) for k in range(1, 13)] + [" ".join(words[20:30]), " ".join(words[20:29])]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(df, band=(2.0, 3.0)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == len(given)
+    assert all(got[i].near_next > 0.3 for i in range(2, 11)) and 0.3 < got[12].near_next < 1
+
+
+def test_no_text_loses_its_terms(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").filter("text rlike '[a-zA-Z]'")
+    fp = imatch.with_fingerprint(docs, docs.text, "fp", imatch.lexicon(docs))
+    seen = fp.select(imatch.shown(fp.fp).alias("shown"), "fp.whole").distinct().toPandas()
+    assert not seen.shown.isin(["-", ""]).any() and seen.shown.is_unique and seen.whole.is_unique
