@@ -8,8 +8,9 @@ softmax over the average gives the class probabilities.  Vectors and output
 weights are trained together by numpy stochastic gradient descent over mini
 batches, with a step that shrinks per coordinate as its gradients add up.
 
-Training reads at most ``sample_rows`` labelled documents of each class, picked
-by a hash of the id, outside the held-out fold (crc32 of the id as text, modulo
+Training reads at most 2 x ``sample_rows`` labelled documents, picked by a hash
+of the id and so at one rate for both classes (their shares, and with them the
+scores, do not depend on the input's size), outside the held-out fold (crc32 of the id as text, modulo
 ``folds``, equal to 0).  Their features are computed where the rows are; the
 bounded sample is then trained in one task.  The model (buckets x dims floats)
 has a fixed size and is broadcast.  As the average is linear, every bucket's
@@ -119,11 +120,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int, dims: in
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text",
         sample_rows: int = 3000, folds: int = 5, buckets: int = BUCKETS, dims: int = DIMS, steps: int = 1500,
         rate: float = 0.1, seed: int = 13) -> tuple[np.ndarray, float]:
-    """Train on at most ``sample_rows`` documents of each class; (logit of each bucket, bias)."""
+    """Train on at most 2 x ``sample_rows`` documents, both classes at one rate; (logit of each bucket, bias)."""
     known = (labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & (crc_fold(id_col, folds) != 0))
              .groupBy(F.col(id_col).alias("id")).agg(F.min(label).alias("y"), F.max(label).alias("top")).filter("y = top"))
     known = known.withColumn("h", F.xxhash64("id"))
-    some = known.filter("y = 0").orderBy("h", "id").limit(sample_rows).unionAll(known.filter("y = 1").orderBy("h", "id").limit(sample_rows))
+    some = known.orderBy("h", "id").limit(2 * sample_rows)
     some = staged(some.select("id", "y", "h"), "label-sample")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(some), "id")  # 2 x sample_rows at most
     texts = texts.groupBy("id", "y", "h").agg(F.min("text").alias("text"))

@@ -73,3 +73,12 @@ def test_without_labels_or_rows(spark):
     assert not logits.any() and bias == 0
     assert {r.score for r in quality.score(frame(spark), (logits, bias)).collect()} == {0.5}
     assert quality.score(frame(spark, []), (np.zeros(8), 0.0)).count() == 0
+
+
+def test_scores_do_not_depend_on_the_cap(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    share = labels.toPandas().quality.mean()
+    for sample_rows in (300, 3000):  # one binds, the other does not
+        got = quality.score(docs, quality.fit(docs, labels, sample_rows=sample_rows)).toPandas()
+        held = got[got.held_out].merge(labels.toPandas(), on="doc_id")
+        assert abs(held.score.mean() - share) < 0.06, sample_rows
