@@ -21,7 +21,10 @@ suffixes that start in this column is the stable sort by anchor and new symbol
 of the order of the column after it (the symbols in that order are the round's column of the collection's
 Burrows-Wheeler transform), and the common prefix of neighbours is one more
 than the smallest common prefix between them one round before if their symbols
-agree, else 0.  Transform and prefixes go to sequential files round by round.
+agree, else 0.  Only the symbols are read back from a file: the order and the
+prefixes are carried from round to round in memory, one entry a segment of the
+batch (at most ``BATCH_ROWS`` and one more anchor's segments); transform and
+prefixes are also written to sequential files, which nothing reads.
 Neighbours with a common prefix of at least ``length`` are equal windows; a run
 of them that stands for two places or more marks its windows.
 
