@@ -82,3 +82,12 @@ def test_scores_do_not_depend_on_the_cap(spark):
         got = quality.score(docs, quality.fit(docs, labels, sample_rows=sample_rows)).toPandas()
         held = got[got.held_out].merge(labels.toPandas(), on="doc_id")
         assert abs(held.score.mean() - share) < 0.06, sample_rows
+
+
+def test_a_binding_cap_keeps_the_class_shares(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "staged", lambda df, tag: seen.append(df) or df)
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(4000)], "doc_id long, quality int")
+    quality.fit(frame(spark), labels, sample_rows=400, steps=1)
+    y = [r.y for r in seen[0].collect()]
+    assert len(y) == 800 and 0.82 < np.mean(y) < 0.93
