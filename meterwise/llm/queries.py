@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, imatch, licenses, mixing, quality, simhash, suffixes, token_counts, token_files, topk
+from meterwise.llm import byte_bpe, imatch, licenses, mixing, periodic_runs, quality, simhash, suffixes, token_counts, token_files, topk
 from meterwise.llm.common import table
 
 
@@ -53,6 +53,12 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.with_planted_period().alias("text"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch,
+                                   op11_periodic_runs)}
 
 ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL}
