@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -74,3 +76,24 @@ def flat(parts) -> Iterator:
 
 def batches_of(batch: pa.RecordBatch, col: str) -> list:
     return batch.column(batch.schema.get_field_index(col)).to_pylist()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (cut at ASCII white space, nulls have none), one text after the other, and each text's number of words."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat, ends = parts.flatten(), np.asarray(parts.offsets, np.int64)
+    kept = pc.greater(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(np.asarray(kept))])
+    return flat.filter(kept), np.diff(upto[ends - ends[0]])
+
+
+def portions(size: np.ndarray, most: int, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows (lo, hi) whose sizes sum to at most ``most`` (one larger row stands alone), at most ``rows`` of them."""
+    lo, total = 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > lo and (total + n > most or i - lo >= rows):
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if lo < len(size):
+        yield lo, len(size)

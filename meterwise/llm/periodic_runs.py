@@ -40,6 +40,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from meterwise.llm.common import portions, split_words
+
 #: Every remainder modulo 13 is a difference of two of these.
 MODULUS = 13
 COVER = (0, 1, 3, 9)
@@ -205,27 +207,6 @@ def find_runs(codes: np.ndarray, size: np.ndarray, min_length: int, exponent: in
     return runs[np.lexsort((runs[:, 3], runs[:, 1], runs[:, 0]))]
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words of the texts (as bytes), one text after the other, and each text's number of words."""
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat, ends = parts.flatten(), np.asarray(parts.offsets)
-    kept = pc.greater(pc.binary_length(flat), 0)
-    upto = np.concatenate([[0], np.cumsum(np.asarray(kept))])
-    size = np.diff(upto[ends - ends[0]])
-    return flat.filter(kept), size
-
-
-def _portions(size: np.ndarray) -> Iterator[tuple[int, int]]:
-    lo, total = 0, 0
-    for i, n in enumerate(size.tolist()):
-        if i > lo and total + n > BATCH_WORDS:
-            yield lo, i
-            lo, total = i, 0
-        total += n
-    if lo < len(size):
-        yield lo, len(size)
-
-
 def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = 6, exponent: int = 4) -> DataFrame:
     """(id_col, n_words, runs array of (start, length, period) by start and period, collapsed): ``collapsed`` joins with
     one space the words that no run contains after its first ``period`` words.  ``exponent`` is 2 or more."""
@@ -237,9 +218,9 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             # Words are cut a few texts at a time: a batch of very long texts is not spread out at once.
             lengths = np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64) // 6
-            for lo, hi in _portions(lengths):
+            for lo, hi in portions(lengths, BATCH_WORDS):
                 texts = b.column(1).slice(lo, hi - lo)
-                words, size = words_of(texts)
+                words, size = split_words(texts)
                 codes = np.asarray(words.dictionary_encode().indices, np.int64)
                 runs = find_runs(codes, size, min_length, exponent)
                 edge = np.zeros(len(codes) + 1, np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, imatch, licenses, mixing, periodic_runs, quality, simhash, suffixes, token_counts, token_files, topk
+from meterwise.llm import byte_bpe, imatch, lexical, licenses, mixing, periodic_runs, quality, simhash, suffixes, token_counts, token_files, topk
 from meterwise.llm.common import table
 
 
@@ -58,7 +58,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch,
-                                   op11_periodic_runs)}
+                                   op11_periodic_runs, op12_lexical_search)}
 
-ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL, "op12_lexical_search": lexical.SEARCH_SQL}

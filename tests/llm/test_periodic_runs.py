@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import types as T
 
 from meterwise.llm import queries
-from meterwise.llm.periodic_runs import digests, find_runs, periodic_runs, words_of
+from meterwise.llm.common import split_words
+from meterwise.llm.periodic_runs import digests, find_runs, periodic_runs
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
@@ -58,7 +59,7 @@ def test_runs_equal_loops():
 
 def test_words_are_cut_at_ascii_white_space_only():
     texts = [" a  b\tc\n", "", None, "x\x0b\x0cy\r", "one\u00a0word \u2003 \x1c \x85", "\n"]
-    words, size = words_of(pa.array(texts))
+    words, size = split_words(pa.array(texts))
     want = [(t or "").encode().split() for t in texts]
     assert size.tolist() == [len(w) for w in want]
     assert [w.encode() for w in words.to_pylist()] == [x for w in want for x in w]
