@@ -38,7 +38,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from meterwise.llm.common import portions, split_words
 
@@ -241,20 +241,20 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumnRenamed("id", id_col)
 
 
-def with_planted_period(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """The text, but where crc32 of the id (as decimal text) is divisible by 10 its words from one place on repeat some of
-    them; a text with a null id stays as it is."""
+def with_planted_period(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, text_col); where crc32 of the id (as decimal text) is divisible by 10, the words of the text from one place
+    on repeat some of them, at least three times.  A text with a null id stays as it is."""
     h = F.crc32(F.col(id_col).cast("string"))
     g = F.floor(h / 10)
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    n = F.size(words)
-
-    def repeated(w: Column, i: Column) -> Column:
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        return F.when(i < a, w).otherwise(F.element_at(words, (a + (i - a) % p + 1).cast("int")))
-
-    return F.when(h % 10 == 0, F.array_join(F.transform(words, repeated), " ")).otherwise(F.col(text_col))
+    # The words are a column of their own: an expression that is used several times is not cut again for each use.
+    cut = docs.select(id_col, text_col, F.when(h % 10 == 0, F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("__words"))
+    words, n = F.col("__words"), F.size("__words")
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    period = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    again = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.flatten(F.array_repeat(period, 11)))  # (n - a) / p is at most 10
+    edited = F.when(words.isNotNull(), F.array_join(F.slice(again, F.lit(1), n), " ")).otherwise(F.col(text_col))
+    return cut.select(id_col, edited.alias(text_col))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

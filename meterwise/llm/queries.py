@@ -54,7 +54,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", periodic_runs.with_planted_period().alias("text"))
+    docs = periodic_runs.with_planted_period(table(spark, sf_dir, "documents"))
     return periodic_runs.digests(periodic_runs.periodic_runs(docs))
 
 
