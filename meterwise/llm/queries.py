@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from meterwise.llm import byte_bpe, imatch, lexical, licenses, mixing, periodic_runs, quality, simhash, suffixes, token_counts, token_files, topk
+from meterwise.llm import byte_bpe, imatch, lexical, licenses, mixing, periodic_runs, pii, quality, simhash, suffixes, token_counts, token_files, topk
 from meterwise.llm.common import table
 
 
@@ -62,7 +62,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch,
-                                   op11_periodic_runs, op12_lexical_search)}
+                                   op11_periodic_runs, op12_lexical_search, op13_pii)}
 
 ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL, "op12_lexical_search": lexical.SEARCH_SQL}
