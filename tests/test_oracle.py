@@ -46,7 +46,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
+    """The queries of the corpus subpackage (op* and pipeline) are not part of this set: it may be absent."""
     q, o = E.queries(), E.oracle_sql()
-    rows_only = set(q) - set(o)
+    rows_only = {k for k in set(q) - set(o) if not k.startswith("op") and k != "pipeline"}
     assert rows_only == {"iforest_detect", "permutation_importance", "ensemble_three_detectors", "detect_alerts",
-                         "stream_batch_isolated", "stream_continuous"}
+                         "stream_batch_isolated"}
