@@ -60,10 +60,6 @@ def apply_scaler(rows: DataFrame, model: DataFrame, features=SCALED_FEATURES,
     }).drop(*[f"{f}__mean" for f in features], *[f"{f}__scale" for f in features])
 
 
-def fit_new_sensors(rows: DataFrame, existing: DataFrame | None, cfg: DetectionConfig) -> DataFrame:
-    """Fit-once semantics: keep existing sensors' models, fit the others."""
-    fresh = fit_scaler(rows, cfg)
-    if existing is None:
-        return fresh
-    new = fresh.join(existing.select("sensor_id").distinct(), "sensor_id", "left_anti")
-    return existing.unionByName(new)
+def fit_new_sensors(rows: DataFrame, existing: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """Fit-once semantics: the models of the sensors in ``rows`` that ``existing`` has no model of."""
+    return fit_scaler(rows, cfg).join(existing.select("sensor_id").distinct(), "sensor_id", "left_anti")

@@ -1,4 +1,4 @@
-"""Queries checked by row count only (random forest, streaming) and the
+"""Streaming queries, queries checked by row count only (random forest) and the
 flagship query."""
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from ..operators.features import series_frame
 from ..operators.iforest import iforest_detect, permutation_importance_rows
 from ..operators.scaler import apply_scaler, fit_scaler
 from ..schema import ALERT_COLUMNS
-from ..sources.fixtures import hourly_by_type, raw_by_type
+from ..sources.fixtures import hourly_by_type, load_table, raw_by_type
+from ..streaming.continuous import STREAM_SCHEMA
 from .batch import detect_alerts, detection_frame
+from .catalog import gappy
 
 FULL = DetectionConfig(processing_time="2024-02-01 00:00:00")
 
@@ -64,9 +66,6 @@ def _run_dir(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/meterwise-stream-{uuid.uuid4().hex}"
 
 
-STREAM_SCHEMA = "timestamp timestamp_ntz, value double, row_id bigint, sensor_id string"
-
-
 def q_stream_batch_isolated(spark, sf):
     """Hourly series written one file per sensor, streamed one file per
     micro-batch: each batch is one whole series, so the alerts equal the
@@ -94,20 +93,66 @@ def q_stream_batch_alerts(spark, sf):
                     F.round(F.col("confidence_score") + F.lit(1e-9), 6).alias("confidence_score"))
 
 
+def _in_turn(parts: list[DataFrame], folder: str) -> None:
+    """Write the parts one after the other: the file source reads files in the order of their times."""
+    for p in parts:
+        p.coalesce(1).write.mode("append").parquet(folder)
+
+
 def q_stream_continuous(spark, sf):
-    """Continuous-mode features over the hourly series from the file source."""
-    from ..streaming import start_continuous
+    """Continuous-mode features over irregular series with gaps.  Rows come shuffled: each is delayed by up to a day,
+    and every three days (of that time) are one micro-batch.  A heartbeat closes the stream."""
+    from datetime import timedelta
+
+    from ..streaming import heartbeat, start_continuous
     run = _run_dir(spark)
-    hourly_by_type(spark, sf).write.parquet(f"{run}/input")
-    stream = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{run}/input")
-    q = start_continuous(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10),
-                         available_now=True)
+    rows = gappy(spark, sf).select("timestamp", "value", "row_id", "sensor_id")
+    delay = F.pmod(F.xxhash64("row_id"), F.lit(86_400))
+    part = F.floor((F.unix_timestamp(F.col("timestamp").cast("timestamp")) + delay) / (3 * 86_400))
+    rows.withColumn("part", part).write.partitionBy("part").parquet(f"{run}/rows")
+    dealt = spark.read.parquet(f"{run}/rows")
+    days = sorted(r["part"] for r in dealt.select("part").distinct().collect())  # one a three days
+    end = dealt.agg(F.max("timestamp")).first()[0]
+    parts = [dealt.filter(F.col("part") == d).drop("part") for d in days]
+    _in_turn([*parts, heartbeat(spark, end + timedelta(days=400))], f"{run}/input")
+    stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+    q = start_continuous(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10), watermark="25 hours", available_now=True)
     q.awaitTermination()
-    out = spark.read.parquet(f"{run}/out").filter(~F.col("late"))
-    return out.select("sensor_id", "timestamp", F.round("value", 6).alias("value"),
-                      F.round("rolling_mean_24", 6).alias("rolling_mean_24"),
-                      F.round("value_scaled", 6).alias("value_scaled"),
-                      F.round("conf_statistical", 6).alias("conf_statistical"))
+    six = lambda c: F.round(F.col(c) + F.lit(1e-9), 6).alias(c)
+    return spark.read.parquet(f"{run}/out").select(
+        "sensor_id", "timestamp", "row_id", *map(six, ("value", "rolling_mean_24", "rolling_std_168", "rate_of_change", "value_scaled", "conf_statistical")), "late")
+
+
+def q_stream_scaler_registry(spark, sf):
+    """Two micro-batches in two runs of the stream, the second one after a restart.  A sensor is scaled by the model of its first batch;
+    one sensor comes only in the second."""
+    from ..streaming import run_batch_isolated
+    run = _run_dir(spark)
+    early = (F.col("sensor_id") != "view") & (F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    rows = hourly_by_type(spark, sf).select("timestamp", "value", "row_id", "sensor_id")
+    cfg = FULL.with_(detectors=("statistical", "seasonal"))
+    for part in (rows.filter(early), rows.filter(~early)):
+        _in_turn([part], f"{run}/input")
+        stream = spark.readStream.schema(STREAM_SCHEMA).parquet(f"{run}/input")
+        alerts = run_batch_isolated(stream, f"{run}/out", f"{run}/checkpoint", cfg, registry=f"{run}/models")
+    return alerts.select(F.col("batch_id").cast("bigint").alias("batch_id"), "sensor_id", "timestamp",
+                         F.round(F.col("value_scaled") + F.lit(1e-9), 6).alias("value_scaled"), "severity")
+
+
+def q_stream_quarantine(spark, sf):
+    """JSON messages, some of them spoilt by rule; readings and quarantined messages of all committed micro-batches."""
+    from ..streaming import read_committed, run_batch_isolated
+    run = _run_dir(spark)
+    i = F.col("event_id")
+    at = F.when(i % 89 == 0, F.lit("not a time")).when(i % 83 != 0, F.col("ts").cast("string"))
+    whole = F.to_json(F.struct(F.when(i % 97 != 0, F.col("event_type")).alias("sensor_id"), at.alias("timestamp"), F.col("value").cast("double").alias("value")))
+    messages = load_table(spark, sf, "events").select("event_id", F.when(i % 101 == 0, F.lit("{broken")).otherwise(whole).alias("value"))
+    _in_turn([messages.filter(i % 3 == k).select("value") for k in range(3)], f"{run}/input")
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+    out = f"{run}/out"
+    run_batch_isolated(stream, out, f"{run}/checkpoint", FULL.with_(detectors=("statistical",), min_points=10), payload="value")
+    kept = read_committed(spark, out, "readings").select(F.lit("kept").alias("outcome"))
+    return kept.unionAll(read_committed(spark, out, "quarantine").select("reason")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -118,4 +163,6 @@ ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_batch_isolated": q_stream_batch_isolated,
     "stream_continuous": q_stream_continuous,
     "stream_batch_alerts": q_stream_batch_alerts,
+    "stream_scaler_registry": q_stream_scaler_registry,
+    "stream_quarantine": q_stream_quarantine,
 }

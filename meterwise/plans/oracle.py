@@ -399,6 +399,28 @@ SELECT alerts.sensor_id, timestamp, anomaly_type, severity, {R('value')} AS valu
 FROM alerts JOIN top USING (sensor_id)"""
     out["stream_batch_alerts"] = f"""{pbase}
 SELECT sensor_id, timestamp, anomaly_type, severity, {R('ensemble_confidence')} AS confidence_score FROM alerts"""
+    first = "pos < 10"
+    scaled = f"CASE WHEN pos >= 9 THEN (value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END END"
+    out["stream_continuous"] = f"""WITH {GAPPY},{clean()},{features()},
+fit AS (SELECT sensor_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS k FROM feat WHERE {first} GROUP BY 1),
+x AS (SELECT feat.*, CASE WHEN k = 10 THEN {scaled} END AS value_scaled FROM feat JOIN fit USING (sensor_id))
+SELECT sensor_id, timestamp, row_id, {', '.join(f'{R(c)} AS {c}' for c in ('value', 'rolling_mean_24', 'rolling_std_168', 'rate_of_change', 'value_scaled'))},
+       {R('CASE WHEN abs(value_scaled) > 3.0 THEN least(abs(value_scaled) / 3.0, 1.0) END')} AS conf_statistical, false AS late
+FROM x"""
+    # each micro-batch is a series of its own; the batch number is part of the key
+    keyed = HOURLY.replace("src AS", "src0 AS") + """,
+src AS (SELECT sensor_id || '#' || CASE WHEN sensor_id <> 'view' AND timestamp < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS sensor_id,
+               timestamp, value, row_id FROM src0)"""
+    out["stream_scaler_registry"] = f"""{pbase.replace(HOURLY, keyed)},
+model AS (SELECT split_part(sensor_id, '#', 1) AS sensor, arg_min(value__mean, sensor_id) AS m, arg_min(value__scale, sensor_id) AS s
+          FROM st GROUP BY 1)
+SELECT CAST(split_part(alerts.sensor_id, '#', 2) AS BIGINT) AS batch_id, sensor AS sensor_id, timestamp,
+       {R('(value - m) / s')} AS value_scaled, severity
+FROM alerts JOIN model ON sensor = split_part(alerts.sensor_id, '#', 1)"""
+    out["stream_quarantine"] = """
+SELECT CASE WHEN event_id % 101 = 0 THEN 'missing timestamp' WHEN event_id % 89 = 0 THEN 'unparsable timestamp'
+            WHEN event_id % 83 = 0 THEN 'missing timestamp' WHEN event_id % 97 = 0 THEN 'missing sensor' ELSE 'kept' END AS outcome, count(*) AS n
+FROM events GROUP BY 1"""
     out["windowed_stats"] = f"""WITH {RAW}
 SELECT sensor_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start,
        time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end,

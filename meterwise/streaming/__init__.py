@@ -1,6 +1,6 @@
 """Structured Streaming entry points."""
 
-from .microbatch import start_batch_isolated, run_batch_isolated
-from .continuous import continuous_features, start_continuous
+from .microbatch import read_committed, start_batch_isolated, run_batch_isolated
+from .continuous import continuous_features, heartbeat, start_continuous
 
-__all__ = ["start_batch_isolated", "run_batch_isolated", "continuous_features", "start_continuous"]
+__all__ = ["start_batch_isolated", "run_batch_isolated", "read_committed", "continuous_features", "heartbeat", "start_continuous"]

@@ -1,34 +1,53 @@
 """Continuous mode - features that run across micro-batches.
 
-State per sensor (``applyInPandasWithState``): the last 168 cleaned values
-(ring), the features of the first rows until the scaler is fitted, and the last
-processed (event time, row_id).  Rolling means / deviations and differences of
-a new row therefore see the previous batches, as in the batch job.
-
-The scaler is fitted once, on the sensor's first ``min_points`` rows in order,
-and scales from the last of them on, however the rows are cut into batches.
-
-Rows of one batch may come in any order.  A row at or behind the sensor's last
-processed (time, row_id) is too late for the append-only output: it is given
-out with ``late`` set and without features, so no row is lost silently.  The
-output's watermark is that of the input.
+Per sensor a stateful processor keeps the last 168 cleaned values, the scaler
+(fitted once, on the sensor's first ``min_points`` rows in order), the place of
+the last row given out, and a list of rows that wait.  A row waits until the
+watermark (greatest event time seen, less ``watermark``) has passed it; then no
+earlier row is expected and it is given out in (timestamp, row_id, value)
+order, so the result does not depend on how rows are cut into micro-batches or
+shuffled within the watermark.  Missing values wait for the next known value of
+the sensor, as interpolation needs both ends.  An event-time timer per sensor
+wakes it when its next row is due, also if the sensor itself is silent; a gap
+whose right end has not come when the watermark is ``gap_timeout`` behind its
+first row is closed as at the end of a series: the last value is repeated.
+
+A row behind the last one given out is older than the watermark.  It cannot be
+put in order any more and is given out at once with ``late`` set and without
+features, so that no row is lost silently.  Spark itself drops what is older
+than its own watermark; that one lies ``GRACE_DAYS`` further back.  Event times
+must therefore lie after 1980.
+
+Rows of the sensor ``HEARTBEAT`` only advance the watermark.  One far behind
+the data closes the stream: everything that waits is given out, trailing gaps
+included, as in the batch job.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import ROLLING_WINDOWS, SCALED_FEATURES, DetectionConfig
 
 RING = max(ROLLING_WINDOWS)
 SCALED = tuple(SCALED_FEATURES)
+GRACE_DAYS = 3650
+HEARTBEAT = "__heartbeat__"
+STREAM_SCHEMA = "timestamp timestamp_ntz, value double, row_id bigint, sensor_id string"
+_NO_ROW = -(1 << 63)  # sorts as a missing row_id does: first
 
 OUTPUT = T.StructType([
     T.StructField("sensor_id", T.StringType()),
     T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("row_id", T.LongType()),
     T.StructField("value", T.DoubleType()),
     *[T.StructField(f"rolling_{s}_{k}", T.DoubleType()) for k in ROLLING_WINDOWS for s in ("mean", "std")],
     T.StructField("rate_of_change", T.DoubleType()),
@@ -38,15 +57,19 @@ OUTPUT = T.StructType([
     T.StructField("conf_statistical", T.DoubleType()),
     T.StructField("late", T.BooleanType()),
 ])
-STATE = T.StructType([
+SERIES = T.StructType([
     T.StructField("ring", T.ArrayType(T.DoubleType())),
-    T.StructField("pending", T.ArrayType(T.DoubleType())),
-    T.StructField("pending_ts", T.ArrayType(T.LongType())),
     T.StructField("means", T.ArrayType(T.DoubleType())),
     T.StructField("scales", T.ArrayType(T.DoubleType())),
+    T.StructField("first", T.ArrayType(T.DoubleType())),
     T.StructField("last_us", T.LongType()),
     T.StructField("last_row", T.LongType()),
-    T.StructField("first", T.ArrayType(T.DoubleType())),
+    T.StructField("last_value", T.DoubleType()),
+])
+WAITING = T.StructType([
+    T.StructField("us", T.LongType()),
+    T.StructField("row", T.LongType()),
+    T.StructField("value", T.DoubleType()),
 ])
 
 
@@ -64,107 +87,167 @@ def _features(values: np.ndarray, n_new: int) -> pd.DataFrame:
     return f.iloc[len(values) - n_new:].reset_index(drop=True)
 
 
-def _state_fn(cfg: DetectionConfig):
-    min_points = max(cfg.min_points, 1)
-    zt = cfg.z_threshold
+def _place(row: tuple) -> tuple:
+    """The order of the rows of a sensor: timestamp, row_id, value, missing ones first."""
+    return row[0], row[1], -np.inf if row[2] is None else row[2]
+
 
-    def fn(key, pdfs, state):
+def _nullable(xs) -> list:
+    return [None if x is None or x != x else float(x) for x in xs]
+
+
+class SeriesProcessor(StatefulProcessor):
+    """State and timers of one sensor (see the module's text)."""
+
+    def __init__(self, cfg: DetectionConfig, grace_ms: int, gap_ms: int):
+        self.min_points, self.z_threshold = max(cfg.min_points, 1), cfg.z_threshold
+        self.grace_ms, self.gap_ms = grace_ms, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.series = handle.getValueState("series", SERIES)
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sensor = key[0]
-        pdf = pd.concat(list(pdfs), ignore_index=True).drop(columns=["event_time"], errors="ignore")
-        if state.exists:
-            ring, pend, pend_ts, means, scales, last_us, last_row, first = state.get
-            ring, pend, pend_ts, first = list(ring or []), list(pend or []), list(pend_ts or []), list(first or [])
+        state = self.series.get() if self.series.exists() else None
+        last = _place(tuple(state[4:7])) if state is not None and state[4] is not None else None
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        for pdf in rows:
+            if sensor == HEARTBEAT:
+                continue
+            us = pdf["timestamp"].astype("datetime64[us]").astype("int64").tolist()
+            ids = [_NO_ROW if r is None or r != r else int(r) for r in pdf["row_id"].tolist()]
+            new = list(zip(us, ids, _nullable(pdf["value"].tolist())))
+            late = [r for r in new if last is not None and _place(r) < last]
+            if late:
+                yield self._late(sensor, late)
+            held += [r for r in new if last is None or _place(r) >= last]
+        yield from self._give_out(sensor, state, held, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self.series.get() if self.series.exists() else None
+        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        yield from self._give_out(key[0], state, held, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _late(self, sensor: str, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame({f.name: pd.Series([None] * len(rows), dtype="float64") for f in OUTPUT.fields})
+        out["sensor_id"], out["late"] = sensor, True
+        out["timestamp"] = pd.to_datetime([r[0] for r in rows], unit="us")
+        out["row_id"] = pd.array([None if r[1] == _NO_ROW else r[1] for r in rows], dtype="Int64")
+        out["value"] = [np.nan if r[2] is None else r[2] for r in rows]
+        return out
+
+    def _give_out(self, sensor: str, state, held: list[tuple], spark_watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held.sort(key=_place)
+        # 0: no watermark yet
+        horizon = (spark_watermark_ms + self.grace_ms) * 1000 if spark_watermark_ms > 0 else -(1 << 62)
+        due = bisect_left(held, horizon, key=lambda r: r[0])
+        ring, means, scales, first = ([], None, None, []) if state is None else (list(state[0] or []), state[1], state[2], list(state[3] or []))
+        known = [i for i in range(due) if held[i][2] is not None]
+        cut = known[-1] + 1 if known else 0
+        closed = cut < due and held[cut][0] + self.gap_ms * 1000 < horizon
+        if closed or (not ring and not known):  # a leading gap has no value to go on from
+            cut = due
+        rows, held = held[:cut], held[cut:]
+        if rows:
+            filled = pd.Series([*ring[-1:], *[r[2] for r in rows]], dtype=float).interpolate("linear", limit_area="inside").ffill().iloc[len(ring[-1:]):]
+            whole = filled.notna().to_numpy()  # leading gaps stay missing: dropped as in the batch job
+            ready, places = filled[whole].to_numpy(), [r for r, ok in zip(rows, whole) if ok]
+            if len(ready):
+                frame, means, scales, first = self._scaled(_features(np.array(ring + ready.tolist()), len(ready)), means, scales, first)
+                frame.insert(0, "row_id", pd.array([None if r[1] == _NO_ROW else r[1] for r in places], dtype="Int64"))
+                frame.insert(0, "timestamp", pd.to_datetime([r[0] for r in places], unit="us"))
+                frame.insert(0, "sensor_id", sensor)
+                frame["late"] = False
+                ring = (ring + ready.tolist())[-RING:]
+                yield frame[[f.name for f in OUTPUT.fields]]
+            us, row, value = rows[-1]
+            self.series.update((_nullable(ring), means, scales, _nullable(first), us, row, value))
+        if held:
+            self.waiting.put(held)
         else:
-            ring, pend, pend_ts, means, scales, last_us, last_row, first = [], [], [], None, None, None, None, []
-        pdf = pdf.sort_values(["timestamp", "row_id", "value"], kind="stable")
-        ts_us = pdf["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-        row = pdf["row_id"].fillna(-1).astype("int64").to_numpy()
-        keep = np.ones(len(pdf), dtype=bool) if last_us is None else (ts_us > last_us) | ((ts_us == last_us) & (row > last_row))
-        if not keep.all():
-            late = pd.DataFrame({f.name: pd.Series([None] * int((~keep).sum()), dtype="float64") for f in OUTPUT.fields})
-            late["sensor_id"], late["late"] = sensor, True
-            late["timestamp"], late["value"] = pdf["timestamp"][~keep].to_numpy(), pdf["value"][~keep].astype(float).to_numpy()
-            yield late
-        pdf, ts_us, row = pdf[keep], ts_us[keep], row[keep]
-        if len(pdf) == 0:
-            return
-        # gaps: linear between known values (carry-in from the ring); a gap
-        # still open at the batch end waits in ``pending`` for its right end
-        vals = pd.Series(list(pend) + list(pdf["value"].astype(float)))
-        all_ts = np.concatenate([np.asarray(pend_ts, dtype=np.int64), ts_us])
-        prior = pd.Series([ring[-1]] if ring else [], dtype=float)
-        full = pd.concat([prior, vals], ignore_index=True).interpolate("linear", limit_area="inside")
-        full = full.iloc[len(prior):].reset_index(drop=True)
-        last_valid = np.flatnonzero(vals.notna().to_numpy())
-        cut = last_valid[-1] + 1 if len(last_valid) else 0
-        if not ring and len(last_valid) == 0:
-            cut = 0
-        ready = full.iloc[:cut]
-        ready_ts = all_ts[:cut]
-        new_pend, new_pend_ts = list(vals.iloc[cut:]), list(all_ts[cut:])
-        ok = ready.notna().to_numpy()  # leading gaps of a new sensor stay missing: dropped
-        ready, ready_ts = ready[ok].to_numpy(), ready_ts[ok]
-        n_new = len(ready)
-        if n_new:
-            feats = _features(np.array(ring + list(ready)), n_new)
-            wide, unscaled = len(SCALED), n_new
-            if means is None:
-                had = len(first) // wide
-                more = feats[list(SCALED)].iloc[:min_points - had]
-                first += more.to_numpy(dtype=float).ravel().tolist()
-                if len(first) // wide == min_points:
-                    unscaled = len(more) - 1  # scaled from the last row of the fit on
-            else:
-                unscaled = 0
-            if means is None and unscaled < n_new:
-                fit = pd.DataFrame(np.array(first, dtype=float).reshape(-1, wide), columns=list(SCALED))
+            self.waiting.clear()
+        self._wake(held, due - cut, spark_watermark_ms)
+
+    def _wake(self, held: list[tuple], gap: int, spark_watermark_ms: int) -> None:
+        """One timer: when the next row is due, or the open gap (the first ``gap`` rows) is to be closed."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        at = [held[0][0] // 1000 + self.gap_ms] if gap else []
+        at += [held[gap][0] // 1000] if gap < len(held) else []
+        if at:
+            self.handle.registerTimer(max(min(at) + 1 - self.grace_ms, spark_watermark_ms + 1, 1))
+
+    def _scaled(self, feats: pd.DataFrame, means, scales, first: list):
+        """Scaled value, z and confidence; scales from the last row of the fit on."""
+        n_new, wide = len(feats), len(SCALED)
+        unscaled = 0
+        if means is None:
+            more = feats[list(SCALED)].iloc[:self.min_points - len(first) // wide]
+            first = first + more.to_numpy(dtype=float).ravel().tolist()
+            unscaled = n_new
+            if len(first) // wide == self.min_points:
+                unscaled = len(more) - 1
+                fit = pd.DataFrame(np.array([np.nan if x is None else x for x in first], dtype=float).reshape(-1, wide), columns=list(SCALED))
                 first = []
                 means = [float(np.nanmean(fit[c])) if fit[c].notna().any() else 0.0 for c in SCALED]
                 sd = [float(np.nanstd(fit[c])) if fit[c].notna().any() else 1.0 for c in SCALED]
                 scales = [x if x > 0 else 1.0 for x in sd]
-            if means is not None:
-                vs = (feats["value"] - means[0]) / scales[0]
-                vs.iloc[:unscaled] = np.nan
-            else:
-                vs = pd.Series([np.nan] * n_new)
-            z = vs.abs()
-            conf = np.where(z > zt, np.minimum(z / zt, 1.0), np.nan)
-            out = feats.copy()
-            out.insert(0, "timestamp", pd.to_datetime(ready_ts, unit="us"))
-            out.insert(0, "sensor_id", sensor)
-            out["value_scaled"] = vs.to_numpy()
-            out["z"] = z.to_numpy()
-            out["conf_statistical"] = conf
-            out["late"] = False
-            ring = (ring + list(ready))[-RING:]
-            last_us = int(ready_ts[-1])
-            yield out[[f.name for f in OUTPUT.fields]]
-        last_seen = int(all_ts[-1]) if len(all_ts) else last_us
-        py = lambda xs: None if xs is None else [None if pd.isna(x) else float(x) for x in xs]
-        state.update((py(ring), py(new_pend), [int(x) for x in new_pend_ts], py(means), py(scales),
-                      int(last_seen) if last_seen is not None else None, int(row[-1]), py(first)))
-
-    return fn
-
-
-def continuous_features(stream: DataFrame, cfg: DetectionConfig | None = None,
-                        watermark: str = "2 hours") -> DataFrame:
+        out = feats.copy()
+        vs = (feats["value"] - means[0]) / scales[0] if means is not None else pd.Series([np.nan] * n_new)
+        vs.iloc[:unscaled] = np.nan
+        z = vs.abs()
+        out["value_scaled"], out["z"] = vs.to_numpy(), z.to_numpy()
+        out["conf_statistical"] = np.where(z > self.z_threshold, np.minimum(z / self.z_threshold, 1.0), np.nan)
+        return out, means, scales, first
+
+
+def continuous_features(stream: DataFrame, cfg: DetectionConfig | None = None, watermark: str = "2 hours",
+                        gap_timeout: str = "365 days") -> DataFrame:
+    """Needs the RocksDB state store when it is started: see ``rocksdb_state``."""
     cfg = cfg or DetectionConfig(min_points=10)
+    ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
+    grace = GRACE_DAYS * 86_400_000
     # watermarks need an instant type: event_time is the wall clock read in
     # the session zone (UTC)
     row_id = F.col("row_id").cast("bigint") if "row_id" in stream.columns else F.lit(None).cast("bigint")
     s = (stream.select("sensor_id", "timestamp", "value", row_id.alias("row_id"),
                        F.col("timestamp").cast("timestamp").alias("event_time"))
-               .withWatermark("event_time", watermark))
-    return s.groupBy("sensor_id").applyInPandasWithState(
-        _state_fn(cfg), OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+               .withWatermark("event_time", f"{ms(watermark) + grace} milliseconds"))
+    return s.groupBy("sensor_id").transformWithStateInPandas(
+        SeriesProcessor(cfg, grace, ms(gap_timeout)), OUTPUT, "Append", "EventTime")
+
+
+def heartbeat(spark: SparkSession, at: datetime) -> DataFrame:
+    """One row that only advances the watermark to ``at``."""
+    return spark.createDataFrame([(at, None, None, HEARTBEAT)], STREAM_SCHEMA)
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """State lists and timers need the RocksDB state store; a query keeps the setting it was started with."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def start_continuous(stream: DataFrame, out: str, checkpoint_location: str,
                      cfg: DetectionConfig | None = None, watermark: str = "2 hours",
-                     available_now: bool = False):
-    w = (continuous_features(stream, cfg, watermark).writeStream.format("parquet")
+                     available_now: bool = False, gap_timeout: str = "365 days"):
+    w = (continuous_features(stream, cfg, watermark, gap_timeout).writeStream.format("parquet")
          .option("path", out).option("checkpointLocation", checkpoint_location).outputMode("append"))
     if available_now:
         w = w.trigger(availableNow=True)
-    return w.start()
+    with rocksdb_state(stream.sparkSession):
+        return w.start()

@@ -1,13 +1,18 @@
 import tempfile
+from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from meterwise.config import DetectionConfig, Routes
 from meterwise.operators.features import series_frame
 from meterwise.plans import detect_alerts
 from meterwise.sources import hourly_by_type
-from meterwise.streaming import run_batch_isolated, start_continuous
+from meterwise.operators.registry import ScalerRegistry
+from meterwise.operators.scaler import fit_new_sensors, fit_scaler
+from meterwise.sources.commits import CommitLog
+from meterwise.streaming import heartbeat, microbatch, read_committed, run_batch_isolated, start_continuous
 from meterwise.plans.extra import STREAM_SCHEMA
 
 TWO = DetectionConfig(detectors=("statistical", "seasonal"), min_points=10, routes=Routes(email=("a@example.org",)))
@@ -34,40 +39,98 @@ def test_batch_isolated_equals_batch(spark):
     assert all(any(s in r.body for s in stamps) for r in outbox.collect())
 
 
-def test_continuous_features_cross_batches(spark):
-    run = tempfile.mkdtemp(prefix="mw-cont-")
-    h = hourly_by_type(spark, "/root/testdata/sf0.01").cache()
-    days = [("2024-01-01", "2024-01-10"), ("2024-01-10", "2024-01-20"), ("2024-01-20", "2024-02-01")]
-    for i, (a, b) in enumerate(days):  # three files in time order, one micro-batch each
-        (h.filter((F.col("timestamp") >= F.lit(a).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(b).cast("timestamp_ntz")))
-          .coalesce(1).write.parquet(f"{run}/in/part{i}"))
-    stream = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{run}/in"))
-    q = start_continuous(stream, f"{run}/out", f"{run}/ck", TWO, watermark="1000 days", available_now=True)
-    q.awaitTermination()
-    got = spark.read.parquet(f"{run}/out").toPandas()
-    want = series_frame(h, TWO).toPandas()
-    m = want.merge(got, on=["sensor_id", "timestamp"], suffixes=("", "_s"))
-    assert len(m) == len(want) == len(got)
-    for c in ("value", "rolling_mean_12", "rolling_mean_168", "rolling_std_24", "rate_of_change"):
-        x, y = m[c].to_numpy(dtype=float), m[f"{c}_s"].to_numpy(dtype=float)
-        assert np.array_equal(np.isnan(x), np.isnan(y)), c
-        assert np.nanmax(np.abs(x - y)) < 1e-6, c
+CLOSE = datetime(2030, 1, 1)
+
+
+def _stream(spark, folder, files=1):
+    return (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(folder))
 
 
-def _continuous(spark, batches, cfg):
+def _continuous(spark, batches, cfg, close=True, **options):
     run = tempfile.mkdtemp(prefix="mw-cuts-")
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, STREAM_SCHEMA).coalesce(1).write.parquet(f"{run}/in/part{i:03d}")
-    stream = (spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(f"{run}/in"))
-    q = start_continuous(stream, f"{run}/out", f"{run}/ck", cfg, available_now=True)
+    if close:
+        heartbeat(spark, CLOSE).coalesce(1).write.parquet(f"{run}/in/part{len(batches):03d}")
+    q = start_continuous(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", cfg, available_now=True, **options)
     q.awaitTermination()
-    return spark.read.parquet(f"{run}/out").toPandas().sort_values(["late", "timestamp", "value"]).reset_index(drop=True)
+    return spark.read.parquet(f"{run}/out").toPandas().sort_values(["late", "sensor_id", "timestamp", "row_id"]).reset_index(drop=True)
+
+
+def _same(got, want, columns):
+    m = want.merge(got, on=["sensor_id", "row_id"], suffixes=("", "_s"))
+    assert len(m) == len(want) == len(got)
+    for c in columns:
+        x, y = m[c].to_numpy(dtype=float), m[f"{c}_s"].to_numpy(dtype=float)
+        assert np.allclose(x, y, equal_nan=True, atol=1e-6), c
+
+
+def _readings(n=240, sensors="ab", seed=4, missing=0.2, tail=6):
+    rnd = np.random.default_rng(seed)
+    return [(datetime(2024, 1, 1) + timedelta(hours=i // 2), None if rnd.random() < missing or i >= n - tail else float(x), i, s)
+            for s in sensors for i, x in enumerate(rnd.normal(10, 3, n))]
+
+
+@pytest.mark.parametrize("cuts", [1, 3, 20])
+def test_shuffled_stream_equals_the_batch_features(spark, cuts):
+    """Rows delayed by up to 12 hours, gaps, a trailing gap: the batch job's rows, however they are cut."""
+    rows, rnd = _readings(), np.random.default_rng(cuts)
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0] + timedelta(hours=float(rnd.uniform(0, 12))))
+    parts = [[rows[j] for j in rnd.permutation(p)] for p in np.array_split(order, cuts)]
+    got = _continuous(spark, parts, TWO, watermark="12 hours")
+    want = series_frame(spark.createDataFrame(rows, STREAM_SCHEMA), TWO).toPandas()
+    assert not got.late.any() and set(got.sensor_id) == {"a", "b"}
+    _same(got, want, ("value", "rolling_mean_12", "rolling_mean_168", "rolling_std_24", "rate_of_change"))
+
+
+def test_rows_are_given_out_behind_the_watermark_only(spark):
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=i), float(i), i, "s") for i in range(40)]
+    got = _continuous(spark, [rows[:30], rows[30:]], TWO, close=False, watermark="5 hours")
+    assert got.row_id.tolist() == list(range(34))  # the greatest time is that of row 39
+
+
+def test_a_silent_sensor_is_woken_by_its_timer(spark):
+    start = datetime(2024, 1, 1)
+    quiet = [(start + timedelta(hours=i), float(i), i, "quiet") for i in range(5)]
+    busy = [[(start + timedelta(hours=10 * b + i), 1.0, 10 * b + i, "busy") for i in range(10)] for b in range(3)]
+    got = _continuous(spark, [quiet + busy[0], busy[1], busy[2]], TWO, close=False, watermark="2 hours")
+    assert (got.sensor_id == "quiet").sum() == 5
+
+
+def test_an_open_gap_is_closed_after_its_timeout(spark):
+    start = datetime(2024, 1, 1)
+    gap = [(start + timedelta(hours=i), 7.0 if i < 3 else None, i, "gap") for i in range(6)]
+    later = [(start + timedelta(hours=h), 1.0, 100 + h, "other") for h in (8, 40, 41)]
+    got = _continuous(spark, [gap, later], TWO, close=False, watermark="1 hour", gap_timeout="24 hours")
+    g = got[got.sensor_id == "gap"]
+    assert g.value.tolist() == [7.0] * 6
+
+
+def test_late_rows_are_marked(spark):
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=i), float(i), i, "s") for i in range(40)]
+    got = _continuous(spark, [rows[10:], rows[:2], rows[2:10]], TWO, watermark="2 hours")
+    assert len(got) == 40 and got.late.sum() == 8
+    late = got[got.late]  # rows 0 and 1 came before anything was given out: they are in order
+    assert late.rolling_mean_12.isna().all() and sorted(late.value) == list(range(2, 10))
+    # within the watermark nothing is late
+    got = _continuous(spark, [rows[10:], rows[:10]], TWO, watermark="40 hours")
+    assert len(got) == 40 and not got.late.any()
 
 
-def test_continuous_does_not_depend_on_batch_cuts(spark):
-    from datetime import datetime, timedelta
+def test_continuous_restart_goes_on_from_its_state(spark):
+    rows, run = _readings(), tempfile.mkdtemp(prefix="mw-restart-")
+    rows.sort(key=lambda r: r[0])
+    for i, part in enumerate((rows[:200], rows[200:])):
+        spark.createDataFrame(part, STREAM_SCHEMA).coalesce(1).write.parquet(f"{run}/in/part{i}")
+        if i:
+            heartbeat(spark, CLOSE).coalesce(1).write.parquet(f"{run}/in/part9")
+        start_continuous(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", TWO, available_now=True).awaitTermination()
+    got = spark.read.parquet(f"{run}/out").toPandas()
+    want = series_frame(spark.createDataFrame(rows, STREAM_SCHEMA), TWO).toPandas()
+    _same(got, want, ("value", "rolling_mean_168", "rate_of_change"))
+
+
+def test_continuous_scaling_does_not_depend_on_batch_cuts(spark):
     rnd = np.random.default_rng(4)
     rows = [(datetime(2024, 1, 1) + timedelta(hours=i // 2), float(x), i, "s") for i, x in enumerate(rnd.normal(10, 3, 40))]
     cfg = DetectionConfig(detectors=("statistical",), min_points=10)
@@ -78,5 +141,114 @@ def test_continuous_does_not_depend_on_batch_cuts(spark):
         assert len(got) == 40 and not got.late.any()
         for c in ("value", "rolling_mean_12", "value_scaled", "z"):
             assert np.allclose(got[c].astype(float), whole[c].astype(float), equal_nan=True), c
-    late = _continuous(spark, [rows[10:], rows[:10]], cfg)
-    assert late.late.sum() == 10 and late[late.late].rolling_mean_12.isna().all() and len(late) == 40
+
+
+# ------------------------------------------------------------------ commits
+def _hourly(spark, run, sensors=2):
+    h = hourly_by_type(spark, "/root/testdata/sf0.001")
+    names = sorted(r[0] for r in h.select("sensor_id").distinct().collect())[:sensors]
+    rows = h.filter(F.col("sensor_id").isin(names)).select("timestamp", "value", "row_id", "sensor_id")
+    for n in names:
+        rows.filter(F.col("sensor_id") == n).coalesce(1).write.parquet(f"{run}/in/{n}")
+    return rows
+
+
+def _alert_keys(df):
+    return sorted((r.sensor_id, str(r.timestamp), r.anomaly_type, r.severity) for r in df.select("sensor_id", "timestamp", "anomaly_type", "severity").collect())
+
+
+def test_a_run_stopped_between_two_tables_neither_loses_nor_repeats_alerts(spark, monkeypatch):
+    run = tempfile.mkdtemp(prefix="mw-stop-")
+    rows = _hourly(spark, run)
+    route, calls = microbatch.route_alerts, []
+
+    def stops_once(alerts, routes):
+        calls.append(1)
+        if len(calls) == 2:  # the second batch: its alerts are written, its outbox is not
+            raise RuntimeError("stopped")
+        return route(alerts, routes)
+
+    monkeypatch.setattr(microbatch, "route_alerts", stops_once)
+    with pytest.raises(Exception, match="stopped"):
+        run_batch_isolated(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", TWO)
+    assert CommitLog(spark, f"{run}/out").batches() == [0]
+    seen = read_committed(spark, f"{run}/out", "alerts")
+    assert seen.select("batch_id").distinct().count() == 1  # the half-written batch is not seen
+    assert read_committed(spark, f"{run}/out", "outbox").count() == seen.count()
+    first = CommitLog(spark, f"{run}/out").entry(0)
+    got = run_batch_isolated(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", TWO)
+    assert _alert_keys(got) == _alert_keys(detect_alerts(rows, TWO))
+    assert read_committed(spark, f"{run}/out", "outbox").count() == got.count()
+    assert CommitLog(spark, f"{run}/out").entry(0) == first
+
+
+def test_a_committed_batch_is_not_written_again(spark):
+    run = tempfile.mkdtemp(prefix="mw-replay-")
+    rows = _hourly(spark, run, 1)
+    process = microbatch._writer(f"{run}/out", TWO, f"{run}/ck", None, None)
+    process(rows, 0)
+    before = read_committed(spark, f"{run}/out", "alerts").collect()
+    process(rows.limit(0), 0)
+    assert read_committed(spark, f"{run}/out", "alerts").collect() == before
+    with pytest.raises(ValueError, match="belongs to the stream"):
+        microbatch._writer(f"{run}/out", TWO, f"{run}/other", None, None)(rows, 0)
+
+
+def test_commit_is_published_once(spark):
+    log = CommitLog(spark, tempfile.mkdtemp(prefix="mw-log-") + "/out")
+    assert log.batches() == [] and not log.committed(3)
+    assert log.commit(3, a=1) and not log.commit(3, a=2)
+    assert log.batches() == [3] and log.entry(3) == {"a": 1}
+    with pytest.raises(ValueError, match="no batch"):
+        CommitLog(spark, tempfile.mkdtemp(prefix="mw-log-")).read("alerts")
+
+
+# ------------------------------------------------------------------ scaler registry
+def test_second_micro_batch_is_scaled_by_the_first_model(spark):
+    run = tempfile.mkdtemp(prefix="mw-reg-")
+    rows = hourly_by_type(spark, "/root/testdata/sf0.01").filter(F.col("sensor_id").isin("click", "view")).select("timestamp", "value", "row_id", "sensor_id").cache()
+    early = F.col("timestamp") < F.lit("2024-01-16").cast("timestamp_ntz")
+    first = rows.filter(early & (F.col("sensor_id") == "click"))
+    for i, part in enumerate((first, rows.filter(~early))):
+        part.coalesce(1).write.parquet(f"{run}/in/part{i}")
+        alerts = run_batch_isolated(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", TWO, registry=f"{run}/models")  # the second run is a restart
+    models = {(r.sensor_id, r.feature): r for r in ScalerRegistry(spark, f"{run}/models").models().collect()}
+    assert {(s, m.version) for (s, f), m in models.items()} == {("click", 0), ("view", 1)}
+    want = {r.feature: r for r in fit_scaler(series_frame(first, TWO), TWO).collect()}
+    assert abs(models["click", "value"].mean - want["value"].mean) < 1e-9
+    late = [r for r in alerts.collect() if r.sensor_id == "click" and r.batch_id == 1]
+    assert late and all(abs(r.value_scaled - (r.value - want["value"].mean) / want["value"].scale) < 1e-6 for r in late)
+
+
+def test_registry_keeps_first_models_in_batch_jobs_too(spark):
+    from helpers import series
+    reg = ScalerRegistry(spark, tempfile.mkdtemp(prefix="mw-reg-") + "/m")
+    assert reg.models().count() == 0
+    a, b = series(spark, [float(i) for i in range(20)], "a"), series(spark, [float(5 * i) for i in range(20)], "b")
+    one = reg.register(a, TWO).collect()
+    again = reg.register(a.withColumn("value", F.col("value") * 3), TWO).collect()
+    assert sorted(map(str, one)) == sorted(map(str, again)) and reg.log.batches() == [0]
+    both = reg.register(a.unionByName(b), TWO)
+    assert {(r.sensor_id, r.version) for r in both.select("sensor_id", "version").distinct().collect()} == {("a", 0), ("b", 1)}
+    assert reg.register(series(spark, [1.0, 2.0], "short"), TWO).count() == both.count()  # under min_points: no model yet
+    assert fit_new_sensors(series_frame(a.unionByName(b), TWO), reg.models().filter("sensor_id = 'a'"), TWO).select("sensor_id").distinct().collect() == [("b",)]
+
+
+# ------------------------------------------------------------------ quarantine of streams
+def test_kept_and_quarantined_messages_are_all_messages(spark):
+    run = tempfile.mkdtemp(prefix="mw-quar-")
+    good = [f'{{"sensor_id": "m{i % 2}", "timestamp": "2024-01-01T{i:02d}:00:00Z", "value": {i}}}' for i in range(24)]
+    bad = ["{broken", '{"sensor_id": "m0", "timestamp": "soon", "value": 1}', '{"timestamp": "2024-01-01T00:00:00Z", "value": 1}', "", None]
+    messages = [(m,) for m in good + bad]
+    for i in range(2):
+        spark.createDataFrame(messages[i::2], "value string").coalesce(1).write.parquet(f"{run}/in/part{i}")
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{run}/in")
+    out = f"{run}/out"
+    for _ in range(2):  # the second run has nothing new
+        run_batch_isolated(stream, out, f"{run}/ck", TWO, payload="value")
+        kept, spoilt = read_committed(spark, out, "readings"), read_committed(spark, out, "quarantine")
+        assert (kept.count(), spoilt.count()) == (24, 5)
+    process = microbatch._writer(out, TWO, f"{run}/ck", None, "value")
+    process(spark.createDataFrame(messages, "value string"), 0)  # a replay
+    assert (read_committed(spark, out, "readings").count(), read_committed(spark, out, "quarantine").count()) == (24, 5)
+    assert {r.reason for r in spoilt.collect()} == {"missing timestamp", "unparsable timestamp", "missing sensor"}
