@@ -9,10 +9,12 @@ token totals before it, so a document's global start is ``base + offset`` and
 no task ever holds more than its own partition.  Readers map the files into
 memory.
 
-Distinct white-space-free runs are encoded by the library once per Python
-worker and remembered (a memo with a fixed number of entries): white space
-never takes part in a token of this vocabulary.  Runs of proven characters go
-straight to the library's merge model, all others through its whole encoder.
+A few megabytes of texts at a time are cut into units (stretches of letters,
+single digits, signs: ``common.units``) and dictionary-encoded in Arrow; each
+different unit is encoded once per Python worker and remembered (a memo with a
+fixed number of entries).  Units of proven characters go straight to the
+library's merge model, all others, and whole texts with a special token's
+string, through its whole encoder.
 
 A task writes to a name of its own attempt and then renames, so a retried or
 speculative task leaves the same committed files.
@@ -33,20 +35,22 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from meterwise.llm.common import batches_of, chunks, new_dir, text_of
+from meterwise.llm.common import gathered, new_dir, portions, text_of, units
 from meterwise.llm.token_counts import MEMO_ENTRIES, WORD_BPE, RunPieces
 
 END_ID = 1
+BATCH_BYTES = 1 << 23
 
 
 class RunEncoder:
-    """Texts to id bytes, a run between white space at a time."""
+    """Texts to ids: the different units of the texts are encoded, the texts' ids gathered from them."""
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,27 +60,44 @@ class RunEncoder:
         self.memo: dict[str, bytes] = {}
 
     def ids(self, run: str) -> list[int]:
+        run = run.strip(" \t\n\r\x0b\x0c")
+        if run.isascii() and run.isalpha():
+            return [t.id for t in self.tok.model.tokenize(run.lower())]
         found = self.pieces.cut(run)
         if found is None:
             return self.tok.encode(run, add_special_tokens=False).ids
         merge, spelled = self.tok.model.tokenize, self.pieces.spelled
         return [t.id for p in found for t in merge(spelled(p))]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        memo, out = self.memo, []
-        for t in texts:
-            runs = chunks(t)
-            try:
-                out.append(b"".join(map(memo.__getitem__, runs)))
-                continue
-            except KeyError:
-                pass
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for r in set(runs).difference(memo):
-                memo[r] = array(self.dtype.char, self.ids(r)).tobytes()
-            out.append(b"".join(map(memo.__getitem__, runs)))
-        return out
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, each closed by ``end_id``, and each text's number of ids."""
+        odd = np.zeros(len(texts), bool)
+        for special in self.pieces.special:
+            odd |= np.asarray(pc.match_substring(texts, special).cast(pa.uint8())).astype(bool)
+        runs, n = units(pc.if_else(pa.array(odd), "", texts), single_digits=True, lower=True)
+        words = runs.dictionary_encode()
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        memo, known = self.memo, []
+        for r in words.dictionary.to_pylist():
+            got = memo.get(r)
+            if got is None:
+                got = memo[r] = array(self.dtype.char, self.ids(r)).tobytes()
+            known.append(got)
+        at = np.asarray(words.indices, np.int64)
+        if odd.any():  # the strings of special tokens are found in the whole text: it is encoded whole
+            where = np.flatnonzero(odd)
+            at = np.insert(at, (np.cumsum(n) - n)[where], len(known) + np.arange(len(where)))
+            n[where] = 1
+            known += [array(self.dtype.char, self.tok.encode(t, add_special_tokens=False).ids).tobytes() for t in texts.take(pa.array(where)).to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        store, end = np.frombuffer(b"".join(known), self.dtype), np.cumsum(size)
+        total = np.diff(np.concatenate([[0], np.cumsum(size[at])])[np.concatenate([[0], np.cumsum(n)])]) + 1
+        out = np.full(int(total.sum()), end_id, self.dtype)
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(total) - 1] = False
+        out[inner] = store[gathered((end - size)[at], end[at])]
+        return out, total
 
 
 _ENCODERS: dict[tuple[str, str], RunEncoder] = {}
@@ -121,7 +142,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, dtype) not in _ENCODERS:
             _ENCODERS[path, dtype] = RunEncoder(path, dtype)
-        encoder, end = _ENCODERS[path, dtype], np.array([end_id], dtype).tobytes()
+        encoder = _ENCODERS[path, dtype]
         tc = TaskContext.get()
         part, lens, n_docs = tc.partitionId(), [np.empty(0, np.int64)], 0
         fs, root = _filesystem(folder)
@@ -132,11 +153,11 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
                 continue
             ids = ids or fs.open_output_stream(own)
             keys += b.column(0).to_pylist()
-            coded = [c + end for c in encoder.encode(batches_of(b, "text"))]
-            for c in coded:
-                ids.write(c)
-            lens.append(np.fromiter(map(len, coded), np.int64, len(coded)) // np.dtype(dtype).itemsize)
-            n_docs += len(coded)
+            for lo, hi in portions(np.asarray(pc.binary_length(b.column(1)), np.int64), BATCH_BYTES):
+                coded, total = encoder.encode(b.column(1).slice(lo, hi - lo), end_id)
+                ids.write(coded)
+                lens.append(total)
+            n_docs += b.num_rows
         if ids is None:
             return
         ids.close()
@@ -148,8 +169,9 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n_docs], pa.int64()),
                                           pa.array([int(offsets[-1])], pa.int64())], names=["part", "n_docs", "n_tokens"])
 
+    # Rows of one id (or without one) can be many: their texts' first characters deal them out further.
     ordered = (docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-               .repartitionByRange(n, "id").sortWithinPartitions("id", "text"))
+               .repartitionByRange(n, F.col("id"), F.substring("text", 1, 32)).sortWithinPartitions("id", "text"))
     parts = sorted(ordered.mapInArrow(write, "part int, n_docs long, n_tokens long").collect())  # a row a partition
     rows, base, first = [], 0, 0
     for p, d, t in parts:
@@ -159,12 +181,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
         f.write(json.dumps({"dtype": dtype, "end_id": end_id, "folder": folder,
                             "parts": [dict(zip(("part", "n_docs", "n_tokens", "base", "first"), r)) for r in rows]}).encode())
     out = spark.createDataFrame(rows, "part int, n_docs long, n_tokens long, base long, first long")
-    return out.withColumn("folder", F.lit(folder)).withColumn("dtype", F.lit(dtype))
+    kind = docs.schema[id_col].dataType.simpleString()
+    return out.withColumns({"folder": F.lit(folder), "dtype": F.lit(dtype), "id": F.lit(None).cast(kind)})
 
 
-def read_token_files(manifest: DataFrame, what: str = "digest", id_col: str = "doc_id", id_type: str = "long") -> DataFrame:
-    """Per document, in file order: its id, seq (its number), start, n_tokens and either the ids' crc32
-    as 32-bit little-endian integers (``digest``) or the ids themselves (``ids``)."""
+def read_token_files(manifest: DataFrame, what: str = "digest", id_col: str = "doc_id") -> DataFrame:
+    """Per document, in file order: its id (of the type of the manifest's empty column ``id``), seq (its number), start,
+    n_tokens and either the ids' crc32 as 32-bit little-endian integers (``digest``) or the ids themselves (``ids``)."""
+    id_type = manifest.schema["id"].dataType.simpleString()
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,5 +209,5 @@ def read_token_files(manifest: DataFrame, what: str = "digest", id_col: str = "d
 
     last = "ids_crc32 long" if what == "digest" else "ids array<long>"
     n = max(1, manifest.count())
-    out = manifest.repartition(n, "part").mapInArrow(read, f"id {id_type}, seq long, start long, n_tokens long, {last}")
+    out = manifest.drop("id").repartition(n, "part").mapInArrow(read, f"id {id_type}, seq long, start long, n_tokens long, {last}")
     return out.withColumnRenamed("id", id_col)
