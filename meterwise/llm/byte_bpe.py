@@ -8,9 +8,12 @@ resolved whole.  Tier two merges the others: the bytes form a doubly linked
 list, and a heap gives the pair of lowest rank, leftmost first; pairs that
 have changed since they were pushed are skipped.
 
-Units (a run without white space and the blank before it, or a run of white
-space) never share a pre-token, so each distinct unit is encoded once per
-Python worker and remembered (a memo with a fixed number of entries).
+Units (a stretch of letters, digits or signs and the blank before it, or a run of
+white space: ``common.units``) never share a pre-token.  A few megabytes of texts at a time are cut into
+units and dictionary-encoded in Arrow; each different unit is encoded once per
+Python worker and remembered (a memo with a fixed number of entries), and the
+texts' ids are put together from there.  Texts with white space outside ASCII
+are encoded without units.
 
 Defined cases: a null text is the empty text (no ids); ids can be null or
 repeated, rows are treated one by one; texts are encoded whole whatever their
@@ -21,21 +24,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
-import re
 from collections.abc import Iterable, Iterator
+from functools import cache
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from meterwise.llm.common import _NOT_SPACE, batches_of, text_of
+from meterwise.llm.common import FURTHER_SPACES, flat, gathered, portions, text_of, units
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 MEMO_ENTRIES = 1 << 19
+BATCH_BYTES = 1 << 23
 KEYS_A_BUCKET = 4
 
 
@@ -85,70 +91,102 @@ class PerfectHash:
         return found[1] if found[0] == key else None
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge the lowest-ranked adjacent pair, leftmost first, until none is left."""
-    n = len(piece)
-    parts: list[bytes | None] = [piece[i:i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, size = heapq.heappop(heap)
-        j = after[i] if parts[i] is not None else n
-        if j >= n or len(parts[i]) + len(parts[j]) != size:
-            continue  # one of the two has been merged since
-        parts[i] += parts[j]
-        parts[j] = None
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if (r := ranks.get(parts[i] + parts[k])) is not None:
-                heapq.heappush(heap, (r, i, len(parts[i]) + len(parts[k])))
-        if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + parts[i])) is not None:
-            heapq.heappush(heap, (r, h, len(parts[h]) + len(parts[i])))
-    return [ranks[p] for p in parts if p is not None]
+class Merges:
+    """Merges the bytes of a piece: the neighbouring pair of lowest rank first, the leftmost of equal ones."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.pairs: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+
+    def merge(self, piece: bytes) -> list[int]:
+        """The symbols form a doubly linked list; a heap gives the next pair, pairs that have changed since are skipped."""
+        n, rank = len(piece), self.pairs.get
+        ids = [self.of_byte[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            r, i = top >> 32, top & 0xFFFFFFFF
+            j = after[i]
+            if ids[i] < 0 or j >= n or rank(ids[i] << 32 | ids[j]) != r:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = r, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (q := rank(r << 32 | ids[k])) is not None:
+                    heappush(heap, q << 32 | i)
+            h = before[i]
+            if h >= 0 and (q := rank(ids[h] << 32 | r)) is not None:
+                heappush(heap, q << 32 | h)
+        return [i for i in ids if i >= 0]
+
+
+class Coded(NamedTuple):
+    """What is remembered of a unit: its ids, the same as decimal text with a comma before each, and the bytes they stand for."""
+
+    ids: tuple[int, ...]
+    listed: bytes
+    decoded: bytes
 
 
 class ByteBPE:
     """Encoder and decoder of one vocabulary of ranks."""
 
     def __init__(self, ranks: dict[bytes, int], table: PerfectHash | None = None, pattern: str = public_tokenizers.PATTERN):
-        self.ranks = ranks
         self.table = table or PerfectHash(ranks)
+        self.merges = Merges(ranks)
         self.pattern = regex.compile(pattern)
-        self.units = re.compile(r" ?\S+|\s+(?!\S)|\s+")
         self.vocab = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, Coded] = {}
 
-    def encode_unit(self, unit: str) -> tuple[int, ...]:
+    def encode(self, text: str) -> list[int]:
+        """Ids of any text; every match of the pattern by itself."""
         ids: list[int] = []
-        for piece in self.pattern.findall(unit):
+        for piece in self.pattern.findall(text):
             raw = piece.encode("utf-8")
             whole = self.table.get(raw)
             if whole is not None:
                 ids.append(whole)
             else:
-                ids += merge_bytes(raw, self.ranks)
-        return tuple(ids)
-
-    def encode(self, text: str) -> list[int]:
-        if any(c in text for c in _NOT_SPACE):
-            units = self.pattern.findall(text)
-        else:
-            units = self.units.findall(text)
-        memo, ids = self.memo, []
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for u in units:
-            got = memo.get(u)
-            if got is None:
-                got = memo[u] = self.encode_unit(u)
-            ids += got
+                ids += self.merges.merge(raw)
         return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
+    def coded(self, text: str) -> Coded:
+        ids = tuple(self.encode(text))
+        return Coded(ids, b"".join(b",%d" % i for i in ids), self.decode(ids))
+
+    def units_of(self, texts: pa.Array) -> tuple[list[Coded], np.ndarray, np.ndarray]:
+        """(different units, the unit at each place of the texts, each text's number of units).  Each different unit is
+        encoded once; a text with white space outside ASCII is a unit by itself."""
+        odd = np.asarray(pc.match_substring_regex(texts, FURTHER_SPACES).cast(pa.uint8())).astype(bool)
+        cut, n = units(pc.if_else(pa.array(odd), "", texts))
+        words = cut.dictionary_encode()
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        memo, known = self.memo, []
+        for u in words.dictionary.to_pylist():
+            got = memo.get(u)
+            if got is None:
+                got = memo[u] = self.coded(u)
+            known.append(got)
+        at = np.asarray(words.indices, np.int64)
+        if odd.any():
+            where = np.flatnonzero(odd)
+            at = np.insert(at, (np.cumsum(n) - n)[where], len(known) + np.arange(len(where)))
+            n[where] = 1
+            known += [self.coded(t) for t in texts.take(pa.array(where)).to_pylist()]
+        return known, at, n
+
 
 _CODERS: dict[str, ByteBPE] = {}
 
@@ -160,28 +198,45 @@ def coder(path: str | None = None, table: PerfectHash | None = None) -> ByteBPE:
     return _CODERS[path]
 
 
+@cache
+def perfect_hash(path: str) -> PerfectHash:
+    """Built once a process: the driver sends it to the workers."""
+    return PerfectHash(read_ranks(path))
+
+
+def _joined(parts: list[bytes], at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts' parts put together, as binary."""
+    each = pa.array(parts, pa.large_binary()).take(pa.array(at))
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), each), pa.scalar(b"", pa.large_binary()))
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
                      returns: str = "digest") -> DataFrame:
     """Encode, then decode the ids.  ``returns='ids'`` gives (id, ids, decoded binary);
     ``'digest'`` gives (id, n_tokens, ids_sha256, decoded_sha256)."""
 
     path = path or public_tokenizers.path(BYTE_BPE)
-    table = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(path)))  # as many slots as the vocabulary
+    table = docs.sparkSession.sparkContext.broadcast(perfect_hash(path))  # as many slots as the vocabulary
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, table.value)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for b in batches:
-            n, first, second = [], [], []
-            for t in batches_of(b, "text"):
-                ids = bpe.encode(t)
-                back = bpe.decode(ids)
-                n.append(len(ids))
-                first.append(ids if returns == "ids" else sha(",".join(map(str, ids)).encode()))
-                second.append(back if returns == "ids" else sha(back))
-            kinds = (pa.list_(pa.int32()), pa.binary()) if returns == "ids" else (pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(first, kinds[0]), pa.array(second, kinds[1])],
-                                             names=["id", "n_tokens", "first", "second"])
+            for lo, hi in portions(np.asarray(pc.binary_length(b.column(1)), np.int64), BATCH_BYTES):
+                known, at, n = bpe.units_of(b.column(1).slice(lo, hi - lo))
+                ends = np.concatenate([[0], np.cumsum(n)])
+                size = np.array([len(k.ids) for k in known], np.int64)
+                upto = np.concatenate([[0], np.cumsum(size[at])])[ends]
+                back = _joined([k.decoded for k in known], at, ends)
+                if returns == "ids":
+                    begin = np.cumsum(size) - size
+                    store = np.fromiter(flat(k.ids for k in known), np.int32, int(size.sum()))
+                    first = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(store[gathered(begin[at], (begin + size)[at])]))
+                    second = back.cast(pa.binary())
+                else:
+                    first = pa.array([sha(memoryview(x.as_buffer())[1:]) for x in _joined([k.listed for k in known], at, ends)])
+                    second = pa.array([sha(x.as_buffer()) for x in back])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(upto)), first, second], names=["id", "n_tokens", "first", "second"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     a, b = ("array<int>", "binary") if returns == "ids" else ("string", "string")

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -39,7 +40,9 @@ def test_counts_and_ids_equal_the_library(given, library):
     counter = token_counts.TokenCounter(PATH, token_counts.proven_whole_tokens(PATH))
     assert [counter.count(t) for t in given] == [len(w) for w in want]
     encoder = token_files.RunEncoder(PATH, "<u2")
-    assert encoder.encode(given) == [np.array(w, "<u2").tobytes() for w in want]
+    got, n = encoder.encode(pa.array(given), 1)
+    assert n.tolist() == [len(w) + 1 for w in want]
+    assert got.tolist() == [i for w in want for i in [*w, 1]]
 
 
 def test_proven_tokens_are_single(library):
@@ -102,6 +105,39 @@ def test_encoding_equals_the_library(given, ranks, table_of):
         assert bpe.decode(got) == t.encode()
 
 
+def test_units_put_together_equal_the_library(given, ranks, table_of):
+    """Units, blanks and white space outside ASCII, several texts at a time."""
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rnd = random.Random(7)
+    spaces = ["".join(rnd.choice([" ", "\n", "\t", "\r", "\x0b", "\u3000", "a", "b1", "é", "!", "\x1c"]) for _ in range(rnd.randrange(12))) for _ in range(4000)]
+    bpe = byte_bpe.ByteBPE(ranks, table_of)
+    for texts_ in (spaces, given, [], [""], ["", " ", ""]):
+        known, at, n = bpe.units_of(pa.array(texts_, pa.string()))
+        ends = np.cumsum(n).tolist()
+        for t, lo, hi in zip(texts_, [0, *ends], ends):
+            ids_ = [i for k in at[lo:hi] for i in known[k].ids]
+            assert ids_ == ref.encode_ordinary(t), t
+            assert b"".join(known[k].decoded for k in at[lo:hi]) == t.encode()
+
+
+def test_ids_are_gathered(spark, ranks):
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    data = [(i, r[1]) for i, r in enumerate(rows())]
+    got = byte_bpe.encode_documents(spark.createDataFrame(data, "doc_id long, text string"), returns="ids").collect()
+    for r, (_, t) in zip(sorted(got, key=lambda r: r.doc_id), data, strict=True):
+        assert r.ids == ref.encode_ordinary(t or "") and bytes(r.decoded) == (t or "").encode()
+
+
+def test_token_files_of_text_ids(spark, library, tmp_path):
+    data = [(None, "b a"), (None, "a b"), ("x", "one"), ("x", "one"), ("a", None), ("é", "")]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    manifest = token_files.write_token_files(docs, folder=str(tmp_path / "named"), partitions=3)
+    got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.seq)
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1] or ""))
+    assert [r.doc_id for r in got] == [r[0] for r in order]
+    assert [r.n_tokens for r in got] == [len(w) + 1 for w in ids(library, [r[1] or "" for r in order])]
+
+
 def test_long_repeated_piece(ranks, table_of):
     ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     bpe = byte_bpe.ByteBPE(ranks, table_of)
