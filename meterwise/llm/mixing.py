@@ -13,8 +13,8 @@ that keeps each one's expectation, until one of the fractions is 0 or 1; a*p +
 b*q does not change.  That one is decided, the other goes on to the next
 pairing.  Documents are dealt by hash into small groups, each group leaves one
 document undecided, and these residuals meet in groups again: a tree whose
-levels are one small shuffle each.  A source's taken words thus end within one
-document of its target.
+levels are one small shuffle each.  In a source's last group the last document
+goes to the nearer side, and the group's others make up for what is left over.
 
 DataFrame functions only.  Randomness is a hash of the ids and texts, so reruns
 and retried tasks agree whatever the partitioning.
@@ -30,10 +30,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from meterwise.llm.common import staged, text_of
+from meterwise.llm.common import spare_name, staged, text_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 FAN = 32
+SMALL = 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
@@ -68,7 +69,7 @@ def _pair(acc: Column, x: Column) -> Column:
     grows = _uniform(a["h"], b["h"]) * (gain + loss) < loss
     p_of = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     unit = lambda u, p: F.struct(u["h"].alias("h"), u["id"].alias("id"), u["size"].alias("size"), p_of(p).alias("p"))
-    ended = lambda u, x: F.struct(u["h"].alias("h"), u["id"].alias("id"), F.lit(x).alias("x"))
+    ended = lambda u, x: F.struct(u["h"].alias("h"), u["id"].alias("id"), u["size"].alias("size"), F.lit(x).alias("x"))
     step = lambda done, kept: F.struct(kept.alias("unit"), F.concat(acc["done"], F.array(done)).alias("done"))
     return (F.when(grows & (a_free <= b_held), step(ended(a, 1), unit(b, b["p"] - gain / b["size"])))
             .when(grows, step(ended(b, 0), unit(a, a["p"] + gain / a["size"])))
@@ -76,21 +77,38 @@ def _pair(acc: Column, x: Column) -> Column:
             .otherwise(step(ended(b, 1), unit(a, a["p"] - loss / a["size"]))))
 
 
+def _closed(r: Column) -> Column:
+    """The last group of a source: its last unit goes to the nearer side, and what that leaves over or short is made up for by
+    the group's other units, larger ones first: each changes sides if the source's words come nearer to the target."""
+    last = F.struct(r["unit"]["h"].alias("h"), r["unit"]["id"].alias("id"), r["unit"]["size"].alias("size"), (r["unit"]["p"] >= 0.5).cast("int").alias("x"))
+    short = r["unit"]["size"] * (r["unit"]["p"] - last["x"])
+    by_size = F.reverse(F.array_sort(F.transform(r["done"], lambda d: F.struct(d["size"].alias("size"), d["h"].alias("h"), d["id"].alias("id"), d["x"].alias("x")))))
+    unit = lambda d, x: F.struct(d["h"].alias("h"), d["id"].alias("id"), d["size"].alias("size"), x.alias("x"))
+
+    def turn(acc: Column, d: Column) -> Column:
+        left = acc["short"] - d["size"] * (1 - 2 * d["x"])
+        better = F.abs(left) < F.abs(acc["short"])
+        return F.struct(F.when(better, left).otherwise(acc["short"]).alias("short"),
+                        F.concat(acc["done"], F.array(unit(d, F.when(better, 1 - d["x"]).otherwise(d["x"])))).alias("done"))
+
+    return F.aggregate(by_size, F.struct(short.alias("short"), F.array(last).alias("done")), turn)["done"]
+
+
 def rounded(units: DataFrame, largest: int, fan: int = FAN) -> DataFrame:
     """Decide every unit (source, n, h, id, size, p): (source, h, id, x) with x 0 or 1.  ``largest``: the most units of a source."""
-    buckets = F.ceil(F.col("n") / fan).cast("long")
-    units = units.select("source", F.pmod("h", buckets).alias("node"), F.struct("h", "id", "size", "p").alias("unit"))
+    # A source of few documents is one group, so that all of them can make up for its last one.
+    buckets = F.when(F.col("n") <= SMALL * fan, F.lit(1)).otherwise(F.ceil(F.col("n") / fan)).cast("long")
+    units = units.select("source", F.pmod("h", buckets).alias("node"), buckets.alias("nodes"), F.struct("h", "id", "size", "p").alias("unit"))
     decided, left = [], -(-largest // fan)
     while True:
-        groups = units.groupBy("source", "node").agg(F.sort_array(F.collect_list("unit")).alias("units"))
-        start = F.struct(F.col("units")[0].alias("unit"), F.array().cast("array<struct<h:bigint,id:" + units.schema["unit"].dataType["id"].dataType.simpleString() + ",x:int>>").alias("done"))
-        groups = staged(groups.select("source", "node", F.aggregate(F.slice("units", 2, F.greatest(F.size("units"), F.lit(1))), start, _pair).alias("r")), "rounding")
-        decided.append(groups.select("source", F.explode("r.done").alias("d")).select("source", "d.h", "d.id", "d.x"))
+        groups = units.groupBy("source", "node", "nodes").agg(F.sort_array(F.collect_list("unit")).alias("units"))
+        start = F.struct(F.col("units")[0].alias("unit"), F.array().cast("array<struct<h:bigint,id:" + units.schema["unit"].dataType["id"].dataType.simpleString() + ",size:double,x:int>>").alias("done"))
+        groups = staged(groups.select("source", "node", "nodes", F.aggregate(F.slice("units", 2, F.greatest(F.size("units"), F.lit(1))), start, _pair).alias("r")), "rounding")
+        done = F.when(F.col("nodes") == 1, _closed(F.col("r"))).otherwise(F.col("r.done"))
+        decided.append(groups.select("source", F.explode(done).alias("d")).select("source", "d.h", "d.id", "d.x"))
         if left <= 1:
-            last = (_uniform(F.col("r.unit.h"), F.lit(1)) < F.col("r.unit.p")).cast("int")
-            decided.append(groups.select("source", "r.unit.h", "r.unit.id", last.alias("x")))
             break
-        units = groups.select("source", F.floor(F.col("node") / fan).alias("node"), "r.unit")
+        units = groups.filter("nodes > 1").select("source", F.floor(F.col("node") / fan).alias("node"), F.ceil(F.col("nodes") / fan).alias("nodes"), "r.unit")
         left = -(-left // fan)
     out = decided[0]
     for d in decided[1:]:
@@ -100,7 +118,8 @@ def rounded(units: DataFrame, largest: int, fan: int = FAN) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1),
         share: float = 1.0, most: float = 3.0, seed: int = 17, fan: int = FAN) -> DataFrame:
-    """(id, text_key, size, source, source_size, target, copies, taken): a row for each row of ``docs``."""
+    """(id, text_key, copy, size, source, source_size, target, copies, taken): a row for each row of ``docs``; ``copy`` numbers
+    the rows that agree in id, text and source."""
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("text_key"),
                        F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
     base = base.withColumn("copy", F.row_number().over(Window.partitionBy("id", "text_key", "source").orderBy("size")))
@@ -115,16 +134,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     picks = rounded(units, largest, fan).select(F.col("h").alias("ph"), F.col("id").alias("pid"), "x")
     out = joined.join(picks, (F.col("h") == F.col("ph")) & F.col("id").eqNullSafe(F.col("pid")), "left")
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce("x", F.lit(0))).otherwise(F.lit(0))
-    return out.withColumn("copies", copies).select("id", "text_key", "size", "source", "source_size", "target", "copies",
+    return out.withColumn("copies", copies).select("id", "text_key", "copy", "size", "source", "source_size", "target", "copies",
                                                    (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    total = (mix(docs, id_col, text_col, **options).groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__key"))
-             .agg(F.sum("copies").alias("__copies")).filter("__copies > 0"))
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_col))
-    one = keyed.join(total, keyed[id_col].eqNullSafe(total["__id"]) & (keyed["__text_key"] == total["__key"]))
-    one = one.dropDuplicates([id_col, "__text_key"])
-    again = one.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return again.select(*[again[f"`{c}`"] for c in docs.columns])
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it.  Rows that agree in id, text and source are numbered in the
+    order of their other columns' hash."""
+    total = mix(docs, id_col, text_col, source_col, **options).filter("copies > 0").select("id", "text_key", "source", "copy", "copies")
+    name = {c: spare_name(docs.columns, c) for c in ("key", "row", "copies", "again")}
+    key, row = name["key"], name["row"]
+    whole = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{source_col}`").cast("string").alias("source")))
+    keyed = whole.withColumn(row, F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))))
+    taken = total.select(F.struct("id", "text_key", "source").alias(f"{key}_"), F.col("copy").alias(f"{row}_"), F.col("copies").alias(name["copies"]))
+    one = keyed.join(taken, F.col(key).eqNullSafe(F.col(f"{key}_")) & (F.col(row) == F.col(f"{row}_")))
+    again = one.withColumn(name["again"], F.explode(F.sequence(F.lit(1), F.col(name["copies"]).cast("int"))))
+    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
