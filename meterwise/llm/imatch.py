@@ -1,21 +1,25 @@
 """I-Match document fingerprints.
 
 Terms are the distinct lower-case words of a text.  A lexicon keeps those whose
-document frequency lies within a chosen band of inverse document frequency:
-very common terms say little, very rare ones are often damage.  Terms are
-hashed into a fixed number of buckets and the frequencies are counted for
-buckets over all documents, so the lexicon is one byte a bucket whatever the
-corpus holds (rare terms that share a bucket add a small floor, in proportion
-to the corpus, well under the band).
-
-``1 << PART_BITS`` randomised sub-lexicons divide all terms among them by bits
-of the term's hash: every term is in exactly one, so every term used counts.  A
-text's sorted terms in a sub-lexicon are hashed to one value, with the number
-of the sub-lexicon in its upper bits; the fingerprint is the list of values.
-The likeness of two fingerprints is the share of equal values among the
-sub-lexicons that either text has terms of.  A text with fewer than ``FEW``
-lexicon terms is fingerprinted by all its terms, so a text with any term has a
-value at least.
+document frequency lies within a chosen band of inverse document frequency: very
+common terms say little, very rare ones are often damage.  Frequencies are
+counted by term (its 64-bit hash) over all documents; a term of the lexicon
+stands in ``BAND[0]`` of all documents at least, so the lexicon has at most (mean
+number of distinct terms a document) / ``BAND[0]`` terms, whatever the corpus holds.
+
+A text's terms within the lexicon are used, and where they are fewer than
+``FEW``, as many others, those of smallest hash, as are missing.  A text
+that changes by one term thus changes by one or two of its used terms, however
+many the lexicon holds of them.
+
+The used terms are hashed for several randomised, overlapping sub-lexicons
+(``FAMILIES``): four that leave out a quarter of the terms each, eight of an
+eighth, 128 of a 128th.  The large ones tell whether texts are
+practically the same, the small ones how much of them is.  Every term falls in
+five, so every term used counts.  A text's sorted terms in a sub-lexicon are
+hashed to one value, with the number of the sub-lexicon in its upper bits; the
+fingerprint is the list of values.  The likeness of two fingerprints is the
+share of equal values among the sub-lexicons that either text has terms of.
 
 The *next* document is found without a global window: ids are range
 partitioned, neighbours are read inside a partition, and the first id of each
@@ -36,11 +40,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterwise.llm.common import staged, text_of
 
-BUCKETS = 1 << 18
 #: Document frequency, as a share of all documents, that a lexicon term has at least and at most.
 BAND = (0.005, 0.1)
-PART_BITS = 7
-FEW = 8
+PART_BITS = 8
+FEW = 32
+#: (number of classes, whether a sub-lexicon holds one class or all but one): the terms' hashes are dealt into classes anew for each family.
+FAMILIES = ((4, False), (8, True), (128, True))
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -50,35 +55,43 @@ def terms(text: Column) -> Column:
     return F.array_sort(F.transform(found, lambda t: F.xxhash64(t)))
 
 
-def bucket_of(term: Column, buckets: int) -> Column:
-    return F.pmod(term, F.lit(buckets)).cast("int")
-
-
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, buckets: int = BUCKETS) -> bytes:
-    """One byte a bucket, 1 where the bucket's document frequency lies within the band."""
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> list[int]:
+    """The hashes of the terms whose document frequency lies within the band, sorted."""
     n = docs.count()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit(TERM), F.lit(0)))).alias("t"))
-    df = words.select(bucket_of(F.xxhash64("t"), buckets).alias("b")).groupBy("b").count()
+    df = docs.select(F.explode(terms(text_of(text_col))).alias("t")).groupBy("t").count()
     kept = df.filter(F.col("count").between(band[0] * n, band[1] * n))
-    bits = kept.groupBy((F.col("b") / 64).cast("int").alias("i")).agg(F.expr("bit_or(shiftleft(1L, b % 64))").alias("bits"))
-    out = bytearray(buckets)
-    for r in bits.collect():  # buckets / 64 rows at most
-        for j in range(64):
-            if r["bits"] >> j & 1:
-                out[64 * r["i"] + j] = 1
-    return bytes(out)
+    return sorted(r["t"] for r in kept.select("t").collect())  # bounded by the band
 
 
 def part_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - PART_BITS)
 
 
-def used_terms(text: Column, kept: bytes) -> Column:
-    """The terms that make the fingerprint, hashed again so that the sub-lexicons do not follow the buckets; sorted, thus by sub-lexicon."""
-    flags = F.lit(kept)
-    named = terms(text)
-    inside = F.filter(named, lambda t: F.substring(flags, bucket_of(t, len(kept)) + 1, F.lit(1)) == F.lit(b"\x01"))
-    return F.array_sort(F.transform(F.when(F.size(inside) >= FEW, inside).otherwise(named), lambda t: F.xxhash64(t)))
+def used_terms(text: Column, kept: list[int]) -> Column:
+    """The terms that make the fingerprint: those of the lexicon, and others of smallest hash if they are few."""
+    known = (lambda t: t.isin(kept)) if kept else (lambda t: F.lit(False))
+    ranked = F.array_sort(F.transform(terms(text), lambda t: F.struct((~known(t)).alias("other"), t.alias("h"))))
+    inside = F.size(F.filter(ranked, lambda x: ~x["other"]))
+    return F.transform(F.slice(ranked, F.lit(1), F.greatest(inside, F.lit(FEW))), lambda x: x["h"])
+
+
+def entries(used: Column) -> Column:
+    """For each used term and each sub-lexicon that it falls in: the term's hash under the number of the sub-lexicon; sorted."""
+    low = F.lit((1 << 64 - PART_BITS) - 1)
+
+    def of(h: Column) -> Column:
+        out, first, shift = [], 0, 0
+        for classes, one in FAMILIES:
+            own = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(classes - 1))
+            shift += classes.bit_length()
+            for k in range(1 if one else classes - 1):
+                part = own if one else (own + 1 + k) % classes
+                out.append(h.bitwiseAND(low).bitwiseOR(F.shiftleft(part + first, 64 - PART_BITS)))
+            first += classes
+        return F.array(*out)
+
+    # Hashed again: the classes do not follow the hashes by which terms were chosen.
+    return F.array_sort(F.flatten(F.transform(used, lambda t: of(F.xxhash64(t)))))
 
 
 def values(u: Column) -> Column:
@@ -91,10 +104,10 @@ def values(u: Column) -> Column:
     return F.when(F.size(u) > 0, F.transform(F.split(joined, ";"), named)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_fingerprint(df: DataFrame, text: Column, name: str, kept: bytes) -> DataFrame:
+def with_fingerprint(df: DataFrame, text: Column, name: str, kept: list[int]) -> DataFrame:
     """``df`` with the column ``name``: struct(whole, parts).  ``whole`` hashes all terms used; ``parts`` are the values."""
-    df = df.withColumn("u", used_terms(text, kept))
-    return df.withColumn(name, F.struct(F.xxhash64("u").alias("whole"), values(F.col("u")).alias("parts"))).drop("u")
+    df = df.withColumn("e", entries(used_terms(text, kept)))
+    return df.withColumn(name, F.struct(F.xxhash64("e").alias("whole"), values(F.col("e")).alias("parts"))).drop("e")
 
 
 def shown(fp: Column) -> Column:
@@ -129,22 +142,22 @@ def successors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return inside.join(firsts, "part").select("key", "id", "n_chars", F.coalesce("next_key", "over").alias("next_key"))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND, buckets: int = BUCKETS) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row of ``docs``.
 
     The edited text has its last n_chars // 4 code points replaced by the first as many of the next document."""
-    kept = lexicon(docs, text_col, band, buckets)
+    kept = lexicon(docs, text_col, band)
     order = staged(successors(docs, id_col, text_col), "order")
     after = order.select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), (F.col("n_chars") / 4).cast("long").cast("int").alias("cut"))
-    # Lender and borrower read the same columns, so that the texts are shuffled once (the exchange is reused).  The lender
-    # sends its fingerprint along, so that finished fingerprints are neither written nor shuffled again.
+    # Lender and borrower read the same columns, so that texts and their fingerprints are made and shuffled once (the exchange is reused).
     held = docs.select(key_of(id_col, text_col).alias("key"), text_of(text_col).alias("text"))
-    lender = with_fingerprint(held.join(after, "key"), F.col("text"), "fp", kept)
-    given = lender.groupBy(F.col("prev_key").alias("key")).agg(F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"), F.min("fp").alias("nfp"))
+    held = with_fingerprint(held, F.col("text"), "fp", kept)
+    given = held.join(after, "key").groupBy(F.col("prev_key").alias("key")).agg(
+        F.min(F.substring("text", F.lit(1), F.col("cut"))).alias("lent"), F.min("fp").alias("nfp"))
     both = held.join(order, "key").join(given, "key")
     stays = (F.col("n_chars") - (F.col("n_chars") / 4).cast("long")).cast("int")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), stays), F.col("lent")))
-    both = with_fingerprint(with_fingerprint(both, F.col("text"), "fp", kept), F.col("edited"), "efp", kept)
+    both = with_fingerprint(both, F.col("edited"), "efp", kept)
     return both.select(
         F.col("id").alias(id_col), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), shown(F.col("fp")).alias("fingerprint"),
         shown(F.col("efp")).alias("edited_fingerprint"), likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"))

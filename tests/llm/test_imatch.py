@@ -1,5 +1,9 @@
 import hashlib
 
+import pytest
+import regex
+import xxhash
+
 from meterwise.llm import imatch
 from meterwise.llm.common import table
 from tests_llm_edge import frame, rows
@@ -62,3 +66,88 @@ def test_no_text_loses_its_terms(spark):
     fp = imatch.with_fingerprint(docs, docs.text, "fp", imatch.lexicon(docs))
     seen = fp.select(imatch.shown(fp.fp).alias("shown"), "fp.whole").distinct().toPandas()
     assert not seen.shown.isin(["-", ""]).any() and seen.shown.is_unique and seen.whole.is_unique
+
+
+def xx(data):
+    """Spark's xxhash64 of a string, or of longs one after the other."""
+    if isinstance(data, str):
+        return xxhash.xxh64_intdigest(data.encode(), 42)
+    seed = 42
+    for x in data:
+        seed = xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def by_loops(texts):
+    """{text: {sub-lexicon: value}} by plain loops."""
+    words = {t: {xx(w) for w in regex.findall(r"[\p{L}\p{N}]+", t.lower())} for t in texts}
+    n, df = len(texts), {}
+    for t in texts:
+        for h in words[t]:
+            df[h] = df.get(h, 0) + 1
+    lexicon = {h for h, k in df.items() if imatch.BAND[0] * n <= k <= imatch.BAND[1] * n}
+    out = {}
+    for t in texts:
+        ranked = sorted(words[t], key=lambda h: (h not in lexicon, signed(h)))
+        used = ranked[:max(imatch.FEW, len(words[t] & lexicon))]
+        groups = {}
+        for h in used:
+            g, first, shift = xx([h]), 0, 0
+            for classes, one in imatch.FAMILIES:
+                own = g >> shift & classes - 1
+                for k in range(classes):
+                    if one == (k == own):
+                        groups.setdefault(first + k, []).append(signed(g & (1 << 56) - 1 | (first + k) << 56))
+                first, shift = first + classes, shift + classes.bit_length()
+        out[t] = {k: xx(",".join(map(str, sorted(g)))) & (1 << 56) - 1 | k << 56 for k, g in groups.items()}
+    return out
+
+
+def alike(a, b):
+    return 1.0 if a == b else sum(a.get(k) == b.get(k) for k in a.keys() & b.keys()) / len(a.keys() | b.keys())
+
+
+def test_fingerprints_equal_loops(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    given = [(r.doc_id, r.text or "") for r in docs.orderBy("doc_id").collect()]
+    want = by_loops([t for _, t in given])
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    for i, (d, t) in enumerate(given):
+        order = sorted(want[t].values(), key=signed)
+        assert got[d].fingerprint == (".".join(f"{v:x}" for v in order) or "-")
+        assert got[d].near_next == pytest.approx(alike(want[t], want[given[(i + 1) % len(given)][1]]))
+
+
+@pytest.mark.parametrize("common", range(0, 60, 4))
+def test_one_word_changes_little_at_every_size(spark, common):
+    """Texts of 70 words, ``common`` of them in the lexicon; one of either kind is changed: no switch at any size."""
+    lex = [f"c{i}" for i in range(60)]
+    first = lex[:common] + [f"r{i}" for i in range(70 - common)]
+    texts = [first, [*first[:-1], "new"], [*first[1:], lex[59] if common else "new"]]
+    filler = [[f"f{i}x{j}" for j in range(5)] + (lex if i % 20 == 0 else []) for i in range(400)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts + filler)], "doc_id long, text string")
+    kept = imatch.lexicon(df)
+    fp = imatch.with_fingerprint(df.filter("doc_id < 3"), df.text, "fp", kept)
+    a, b, c = (r.fp for r in fp.orderBy("doc_id").select("fp").collect())
+    share = lambda x, y: len(set(x.parts) & set(y.parts)) / len({p >> 56 for p in [*x.parts, *y.parts]})
+    assert share(a, b) > 0.55 and share(a, c) > 0.5
+
+
+def test_lexicon_holds_exactly_the_band(spark):
+    data = [(i, " ".join(["all", *(f"half{i % 2}",), *([f"w{k}" for k in range(30) if i % (k + 2) == 0])])) for i in range(400)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    n = {}
+    for _, t in data:
+        for w in t.split():
+            n[w] = n.get(w, 0) + 1
+    assert imatch.lexicon(df, band=(0.05, 0.2)) == sorted(signed(xx(w)) for w, k in n.items() if 20 <= k <= 80)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"t{i}" for i in range(120_000))), (2, "z" * 1_000_000), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    assert got[2].n_chars == 1_000_000 and got[1].near_edited < 1 and got[3].fingerprint == "-"
