@@ -133,9 +133,11 @@ class DetectionConfig:
     # temporal context anchor: "anomaly" (lag from the alert row) or
     # "series_end" (count back from the last row of the series)
     temporal_anchor: str = "anomaly"
-    # quartiles: "exact" (percentile) or "approx" (percentile_approx sketch,
-    # bounded memory for very hot sensors)
+    # quantiles: "exact" (a value -> count map per sensor; the batch job selects
+    # instead when a series is longer than ``quantile_map_rows``), "selection"
+    # (as exact, bounded memory, more passes) or "approx" (one sketch)
     quantiles: str = "exact"
+    quantile_map_rows: int = 1_000_000
     quantile_accuracy: int = 100_000
     # physical layout.  A series is never one task: rows are ordered inside
     # time chunks of about ``chunk_rows`` rows and processed in position
@@ -175,8 +177,8 @@ class DetectionConfig:
             raise ValueError("block_rows must exceed the halo")
         if self.period < 2:
             raise ValueError("period must be >= 2")
-        if self.quantiles not in ("exact", "approx"):
-            raise ValueError("quantiles must be 'exact' or 'approx'")
+        if self.quantiles not in ("exact", "selection", "approx"):
+            raise ValueError("quantiles must be 'exact', 'selection' or 'approx'")
         unknown = set(self.detectors) - set(DETECTOR_ORDER)
         if unknown:
             raise ValueError(f"unknown detectors {unknown}")

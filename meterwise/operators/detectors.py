@@ -9,10 +9,11 @@ weight, with the same rules as the wide path of the built-in detectors.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DetectionConfig
@@ -76,6 +77,39 @@ class IsolationForestDetector:
         return permutation_importance_rows(self._scaled(frame, cfg), cfg)
 
 
+class PandasDetector:
+    """A detector from a function over pandas: it gets some neighbouring rows of one sensor, in order of ``pos``, and returns a
+    confidence for each row (missing: no anomaly).
+
+    The function sees a block of positions with the ``back`` rows before it and the ``ahead`` rows after it; what it returns
+    for those is left out.  A function that looks no further gives the result over the whole series, while no group is
+    larger than a block with its halo."""
+
+    def __init__(self, name: str, fn: Callable[[pd.DataFrame], pd.Series], back: int = 0, ahead: int = 0, columns: Sequence[str] = ("value",)):
+        self.name, self.fn, self.back, self.ahead, self.columns = name, fn, back, ahead, tuple(columns)
+
+    def detect(self, frame: DataFrame, cfg: DetectionConfig) -> DataFrame:
+        from .layout import CORE, with_halo
+        fn, keys = self.fn, list(DETECTION_KEYS)
+        columns = list(dict.fromkeys([*keys, "pos", "n", *self.columns]))
+        blocks = with_halo(frame.select(*columns), cfg.block_rows, self.back, self.ahead)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("pos", ignore_index=True)
+            confidence = pd.Series(fn(pdf.drop(columns=["role", "blk"])), dtype=float).reset_index(drop=True)
+            if len(confidence) != len(pdf):
+                raise ValueError(f"{self.name} returned {len(confidence)} confidences for {len(pdf)} rows")
+            hit = (pdf["role"] == CORE) & confidence.notna()
+            return pdf.loc[hit, keys].assign(confidence=confidence[hit])
+
+        kinds = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
+        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", confidence double"
+        return blocks.groupBy("sensor_id", "blk").applyInPandas(run, schema)
+
+    def importance(self, frame: DataFrame, cfg: DetectionConfig) -> None:
+        return None
+
+
 def merge_detections(long: DataFrame) -> DataFrame:
     """(sensor_id, timestamp, row_id, detector, confidence) rows to one row per reading with a map
     detector -> confidence.  A map holds one entry per detector."""

@@ -11,9 +11,9 @@ hot path, and it is Arrow-batched and bounded per task:
   feature, uniform split, depth <= ceil(log2 psi).  Nothing depends on
   partitioning or block size.  Output: forest table (sensor_id, tree_id, psi
   and the nodes as flat arrays).
-* **Score** - rows grouped by ``(sensor_id, blk)`` (at most ``block_rows``
-  rows) are cogrouped with their sensor's forest and traversed with NumPy,
-  all rows of a tree at once.  ``s = 2^(-E[h]/c(psi))``.
+* **Score** - the rows of each ``(sensor_id, blk)`` follow their sensor's trees
+  in one sorted stream: a task keeps one forest and scores an Arrow batch at a
+  time with NumPy, all rows of a tree at once.  ``s = 2^(-E[h]/c(psi))``.
 * **Threshold** - a row is an anomaly when its score is above the linearly
   interpolated ``1 - contamination`` quantile of its sensor's scores (the same
   as the decision function below 0); confidence = (s - min s) / (max s - min s).
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..config import ENGINEERED_FEATURES, FOREST_FEATURES, SCALED_FEATURES, DetectionConfig
 from ..schema import FOREST
+from .quantiles import exact_quantiles
 
 EULER = 0.5772156649015329
 
@@ -163,12 +164,6 @@ def fit_forest(j: DataFrame, cfg: DetectionConfig) -> DataFrame:
     return pool.groupBy("sensor_id", F.floor(F.col("tree_id") / TREES_A_GROUP)).applyInPandas(_fit_group(cfg), FOREST)
 
 
-def _trees(forest_pdf: pd.DataFrame):
-    f = forest_pdf.sort_values("tree_id")
-    return [(np.asarray(a, np.int64), np.asarray(b, float), np.asarray(c, np.int64), np.asarray(d, np.int64), np.asarray(e, float))
-            for a, b, c, d, e in zip(f["feature"], f["threshold"], f["left"], f["right"], f["size"])]
-
-
 def _score(X: np.ndarray, trees, psi: int) -> np.ndarray:
     if len(trees) == 0 or len(X) == 0:
         return np.full(len(X), np.nan)
@@ -198,6 +193,50 @@ def _forest_per_block(forest: DataFrame, rows: DataFrame) -> DataFrame:
     return forest.join(blocks, forest["sensor_id"] == blocks["f_sensor"]).drop("sensor_id")
 
 
+def _with_trees(rows: DataFrame, forest: DataFrame) -> DataFrame:
+    """The rows of each (sensor, block) behind its sensor's trees, in one sorted stream: ``tree`` is set on tree rows only."""
+    fb = _forest_per_block(forest, rows)
+    parts = [F.col(c) for c in ("tree_id", "psi", "feature", "threshold", "left", "right", "size")]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields if f.name not in ("sensor_id", "blk")]
+    trees = fb.select(F.col("f_sensor").alias("sensor_id"), F.col("f_blk").alias("blk"), *empty, F.struct(*parts).alias("tree"))
+    none = F.lit(None).cast(trees.schema["tree"].dataType)
+    both = trees.unionByName(rows.withColumn("tree", none))
+    return both.repartition("sensor_id", "blk").sortWithinPartitions("sensor_id", "blk", F.col("tree").isNull(), "tree.tree_id")
+
+
+def _per_batch(score):
+    """``score(key, batch of rows, trees, psi)`` for every stretch of rows of one (sensor, block) within an Arrow batch; the
+    trees that came before the rows are kept from batch to batch."""
+
+    def run(batches):
+        key, trees, psi = None, [], 1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = b.column(b.schema.get_field_index("tree"))
+            sensors, blocks = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("sensor_id", "blk"))
+            is_tree = t.is_valid().to_pylist()
+            marks = list(zip(sensors, blocks, is_tree))
+            cuts = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (sensors[lo], blocks[lo]) != key:
+                    key, trees, psi = (sensors[lo], blocks[lo]), [], 1
+                if is_tree[lo]:
+                    for x in t.slice(lo, hi - lo).to_pylist():
+                        trees.append((np.asarray(x["feature"], np.int64), np.asarray(x["threshold"], float), np.asarray(x["left"], np.int64),
+                                      np.asarray(x["right"], np.int64), np.asarray(x["size"], float)))
+                        psi = x["psi"]
+                else:
+                    yield from score(key, b.slice(lo, hi - lo), trees, psi)
+
+    return run
+
+
+def _matrix(batch, name: str) -> np.ndarray:
+    c = batch.column(batch.schema.get_field_index(name))
+    return c.flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+
+
 def score_rows(j: DataFrame, forest: DataFrame, cfg: DetectionConfig,
                keep: list[str] | None = None) -> DataFrame:
     """Adds ``if_score`` (higher = more isolated).  ``keep``: columns passed
@@ -207,31 +246,28 @@ def score_rows(j: DataFrame, forest: DataFrame, cfg: DetectionConfig,
         keep = [f.name for f in x.schema.fields
                 if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))]
     rows = x.select(*keep, "fx")
-    fb = _forest_per_block(forest, rows)
     out_schema = T.StructType([f for f in rows.schema.fields if f.name != "fx"]
                               + [T.StructField("if_score", T.DoubleType())])
+    names = [f.name for f in out_schema.fields]
 
-    def score(key, pdf: pd.DataFrame, fpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 0:
-            return pd.DataFrame(columns=[f.name for f in out_schema.fields])
-        X = np.vstack(pdf["fx"].to_numpy())
-        psi = int(fpdf["psi"].iloc[0]) if len(fpdf) else 1
-        s = _score(X, _trees(fpdf), psi)
-        res = pdf.drop(columns=["fx"])
-        res["if_score"] = s
-        return res
+    def score(key, batch, trees, psi):
+        import pyarrow as pa
+        s = _score(_matrix(batch, "fx"), trees, psi)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names[:-1]] + [pa.array(s, from_pandas=True)], names=names)
 
-    return (rows.groupBy("sensor_id", "blk")
-                .cogroup(fb.groupBy("f_sensor", "f_blk"))
-                .applyInPandas(score, out_schema))
+    return _with_trees(rows, forest).mapInArrow(_per_batch(score), out_schema)
 
 
-def forest_threshold_aggs(cfg: DetectionConfig):
-    """Least and greatest score, and the interpolated contamination quantile."""
+def forest_thresholds(scored: DataFrame, aggs: list, cfg: DetectionConfig) -> DataFrame:
+    """Per sensor the aggregates, the least and greatest score and the interpolated contamination quantile."""
     q = 1.0 - cfg.contamination
+    aggs = [*aggs, F.min("if_score").alias("if_min"), F.max("if_score").alias("if_max")]
+    if cfg.quantiles == "selection":
+        found = exact_quantiles(scored, [q], "if_score").select("sensor_id", F.get("quantiles", F.lit(0)).alias("if_threshold"))
+        return scored.groupBy("sensor_id").agg(*aggs).join(found, "sensor_id", "left")
     at = (F.percentile("if_score", F.lit(q)) if cfg.quantiles == "exact"
           else F.percentile_approx("if_score", q, cfg.quantile_accuracy))
-    return [F.min("if_score").alias("if_min"), F.max("if_score").alias("if_max"), at.alias("if_threshold")]
+    return scored.groupBy("sensor_id").agg(*aggs, at.alias("if_threshold"))
 
 
 def forest_confidence(j: DataFrame, cfg: DetectionConfig) -> DataFrame:
@@ -254,7 +290,7 @@ def iforest_detect(frame_scaled: DataFrame, cfg: DetectionConfig, materialize: b
     scored = score_rows(frame_scaled, forest, cfg)
     if materialize:  # the scores feed the threshold aggregate and the rows
         scored = cut_lineage(scored)
-    th = scored.groupBy("sensor_id").agg(F.max("n").alias("n"), *forest_threshold_aggs(cfg))
+    th = forest_thresholds(scored, [F.max("n").alias("n")], cfg)
     return forest_confidence(attach_per_sensor(scored, th, cfg), cfg)
 
 
@@ -286,25 +322,21 @@ def permutation_importance_rows(j: DataFrame, cfg: DetectionConfig, forest: Data
         forest = cut_lineage(fit_forest(j, cfg))
     x = feature_vector(j).select("sensor_id", "blk", "pos", "n", "fx")
     x = x.join(permuted_features(x, cfg), ["sensor_id", "blk", "pos"]).select("sensor_id", "blk", "fx", "px")
-    fb = _forest_per_block(forest, x)
-    nf = len(FOREST_FEATURES)
     schema = "sensor_id string, feature string, n bigint, base double, perm double"
 
-    def imp(key, pdf: pd.DataFrame, fpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) == 0 or len(fpdf) == 0:
-            return pd.DataFrame(columns=["sensor_id", "feature", "n", "base", "perm"])
-        X, P = np.vstack(pdf["fx"].to_numpy()), np.vstack(pdf["px"].to_numpy())
-        trees, psi = _trees(fpdf), int(fpdf["psi"].iloc[0])
-        base = _score(X, trees, psi).sum()
-        out = []
-        for i in range(nf):
+    def imp(key, batch, trees, psi):
+        import pyarrow as pa
+        if not trees:
+            return
+        X, P = _matrix(batch, "fx"), _matrix(batch, "px")
+        base, out = _score(X, trees, psi).sum(), []
+        for i, name in enumerate(FOREST_FEATURES):
             Xp = X.copy()
             Xp[:, i] = P[:, i]
-            out.append((str(key[0]), FOREST_FEATURES[i], len(X), base, _score(Xp, trees, psi).sum()))
-        return pd.DataFrame(out, columns=["sensor_id", "feature", "n", "base", "perm"])
+            out.append((key[0], name, len(X), base, _score(Xp, trees, psi).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["sensor_id", "feature", "n", "base", "perm"])
 
-    sums = (x.groupBy("sensor_id", "blk").cogroup(fb.groupBy("f_sensor", "f_blk"))
-             .applyInPandas(imp, schema))
+    sums = _with_trees(x, forest).mapInArrow(_per_batch(imp), schema)
     agg = sums.groupBy("sensor_id", "feature").agg(
         F.abs((F.sum("perm") - F.sum("base")) / F.sum("n")).alias("importance"))
     ordinal = F.lit(len(ENGINEERED_FEATURES))

@@ -6,8 +6,8 @@ row position, the seasonal phase is position mod period), but a window
 sensor may hold a large share of all rows.  So a series is processed in two
 bounded layouts:
 
-1. **Time chunks** (``clean_series``): each sensor's time span is cut into
-   ``ceil(n / chunk_rows)`` equal time chunks.  Rows are ordered inside a chunk;
+1. **Time chunks** (``clean_series``): each sensor's rows are cut, in order, into
+   ``ceil(n / chunk_rows)`` chunks of about equal size (``with_chunks``).  Rows are ordered inside a chunk;
    a small per-chunk summary table (one row per chunk) gives every chunk its
    global row offset and the last / next valid value outside it, so positions
    and interpolation across chunk borders are exact.
@@ -48,6 +48,38 @@ def passthrough_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in RESERVED]
 
 
+#: Sampled rows a chunk: a chunk's rows then differ from ``chunk_rows`` by about an eighth.
+SAMPLES = 64
+_DAY_US = 86_400_000_000
+
+
+def with_chunks(r: DataFrame, cfg: DetectionConfig) -> DataFrame:
+    """Adds ``chunk``: the sensor's rows in order of (t_us, row_id, value), cut into parts of about ``chunk_rows`` rows.
+
+    The cuts are quantiles of a sample of the rows' keys (by hash, ``SAMPLES`` a chunk), so bursts, many rows of one time and
+    stray dates give even chunks too; only rows that are equal in all three cannot be parted.  Cuts travel to the rows by
+    (sensor, day), each day with the cuts that lie in it: a sensor's rows are not gathered for that."""
+    key = F.struct(F.col("t_us").alias("t"), F.col("row_id").alias("r"), F.col("value").alias("v"))
+    sampled = F.pmod(F.xxhash64("t_us", "row_id", "value"), F.lit(max(cfg.chunk_rows, 1))) < SAMPLES
+    r = r.withColumn("_day", F.floor(F.col("t_us") / _DAY_US))
+    days = r.groupBy("sensor_id", "_day").agg(F.count(F.lit(1)).alias("rows"), F.collect_list(F.when(sampled, key)).alias("some"))
+    whole = days.groupBy("sensor_id").agg(F.sum("rows").alias("rows"), F.array_sort(F.flatten(F.collect_list("some"))).alias("some"))
+    parts, m = F.ceil(F.col("rows") / F.lit(cfg.chunk_rows)), F.size("some")
+    every = F.transform(F.sequence(F.lit(1).cast("bigint"), parts - 1), lambda i: F.get("some", F.floor(i * m / parts).cast("int")))
+    whole = whole.select("sensor_id", F.when((parts > 1) & (m > 0), F.array_distinct(every)).otherwise(F.slice("some", 1, 0)).alias("cuts"))
+    start = F.col("_day") * _DAY_US
+    days = days.select("sensor_id", "_day").join(whole, "sensor_id").select(
+        "sensor_id", "_day", F.size(F.filter("cuts", lambda c: c["t"] < start)).alias("_before"),
+        F.filter("cuts", lambda c: (c["t"] >= start) & (c["t"] < start + _DAY_US)).alias("_cuts"))
+    r = r.join(days, ["sensor_id", "_day"])
+    # binary search for the number of cuts up to the row
+    bits = F.ceil(F.log2(F.size("_cuts") + 1)).cast("int")
+    steps = F.transform(F.sequence(F.lit(1), bits), lambda k: F.pow(F.lit(2), bits - k).cast("int"))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("_cuts")) & (F.get("_cuts", at + step - 1) <= key), at + step).otherwise(at))
+    up_to = F.when(F.size("_cuts") == 0, F.lit(0)).otherwise(found)
+    return r.withColumn("chunk", (F.col("_before") + up_to).cast("bigint")).drop("_day", "_before", "_cuts")
+
+
 def clean_series(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
     """T1 -> W4/W5 -> F2 for all sensors at once.
 
@@ -59,18 +91,7 @@ def clean_series(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
     extras = passthrough_columns(readings)
     r = readings.withColumn("t_us", epoch_micros("timestamp"))
 
-    # --- per-sensor profile -> time chunk of each row -----------------------
-    prof = (r.groupBy("sensor_id")
-             .agg(F.count(F.lit(1)).alias("_n_raw"), F.min("t_us").alias("_lo"),
-                  F.max("t_us").alias("_hi"))
-             .withColumn("_nchunk", F.greatest(F.lit(1), F.ceil(F.col("_n_raw") / F.lit(cfg.chunk_rows)))))
-    # monotone in time: floor((t - lo) / (span + 1) * nchunk), computed in double
-    chunk = F.least(
-        F.col("_nchunk") - 1,
-        F.floor((F.col("t_us") - F.col("_lo")).cast("double")
-                / (F.col("_hi") - F.col("_lo") + 1).cast("double") * F.col("_nchunk")),
-    ).cast("bigint")
-    r = r.join(prof.select("sensor_id", "_lo", "_hi", "_nchunk"), "sensor_id").withColumn("chunk", chunk)
+    r = with_chunks(r, cfg)
     # Explicit exchange on the full key: an upstream partitioning by
     # sensor_id alone would otherwise satisfy the window and keep a whole
     # sensor in one task.
@@ -179,22 +200,26 @@ def min_points_guard(clean: DataFrame, cfg: DetectionConfig) -> DataFrame:
 
 
 def to_blocks(clean: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    """Key rows by position block and copy halo rows to neighbouring blocks.
+    """Position blocks with the halos of the engine's own frames."""
+    return with_halo(clean, cfg.block_rows, cfg.halo_back, cfg.halo_forward)
+
+
+def with_halo(clean: DataFrame, block_rows: int, back: int, ahead: int) -> DataFrame:
+    """Key rows (with ``pos`` and the sensor's row count ``n``) by position block and copy halo rows to the blocks that need
+    them: those of the ``back`` rows after a row and of the ``ahead`` rows before it.
 
-    Output column ``role``: 0 core, 1 copy for the next block, 2 copy for the
-    previous block.  Windows over ``block_window()`` see every frame whole for
-    core rows."""
-    B, hb, hf = cfg.block_rows, cfg.halo_back, cfg.halo_forward
+    Output column ``role``: 0 core, 1 copy for a later block, 2 copy for an earlier one.  Windows over ``block_window()``
+    see every frame whole for core rows."""
+    B = block_rows
     blk = F.floor(F.col("pos") / B).cast("bigint")
-    rem = F.col("pos") - blk * B
-    copies = F.filter(F.array(
-        F.struct(blk.alias("blk"), F.lit(CORE).alias("role")),
-        F.when((rem >= B - hb) & ((blk + 1) * B < F.col("n")),
-               F.struct((blk + 1).alias("blk"), F.lit(HALO_BACK).alias("role"))),
-        F.when((rem < hf) & (blk > 0),
-               F.struct((blk - 1).alias("blk"), F.lit(HALO_FWD).alias("role"))),
-    ), lambda x: x.isNotNull())
-    out = (clean.withColumn("_cp", F.explode(copies))
+    rem, last = F.col("pos") - blk * B, F.floor((F.col("n") - 1) / B).cast("bigint")
+    copies = [F.array(F.struct(blk.alias("blk"), F.lit(CORE).alias("role")))]
+    for k in range(1, -(-back // B) + 1):
+        copies.append(F.when((rem + back >= k * B) & (blk + k <= last), F.array(F.struct((blk + k).alias("blk"), F.lit(HALO_BACK).alias("role")))))
+    for k in range(1, -(-ahead // B) + 1):
+        copies.append(F.when((rem - ahead < (1 - k) * B) & (blk >= k), F.array(F.struct((blk - k).alias("blk"), F.lit(HALO_FWD).alias("role")))))
+    none = F.array().cast("array<struct<blk:bigint,role:int>>")
+    out = (clean.drop("blk").withColumn("_cp", F.explode(F.concat(*[F.coalesce(c, none) for c in copies])))
                 .select("*", F.col("_cp.blk").alias("blk"), F.col("_cp.role").alias("role"))
                 .drop("_cp"))
     # exchange on (sensor_id, blk) explicitly, for the same reason as above

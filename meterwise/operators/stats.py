@@ -6,12 +6,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DetectionConfig
+from .quantiles import exact_quantiles
+
+QUARTILES = (0.25, 0.75)
 
 
 def quartiles(col: Column, cfg: DetectionConfig) -> Column:
-    """[q1, q3] with linear interpolation.  ``exact`` keeps a value->count map
-    per sensor (small for repetitive meter values); ``approx`` uses the
-    bounded-memory quantile sketch for very long high-cardinality series."""
+    """[q1, q3] with linear interpolation as an aggregate.  ``exact`` keeps a
+    value->count map per sensor (small for repetitive meter values); ``approx``
+    uses the bounded-memory quantile sketch."""
     if cfg.quantiles == "approx":
         return F.percentile_approx(col, [0.25, 0.75], cfg.quantile_accuracy)
     return F.percentile(col, F.array(F.lit(0.25), F.lit(0.75)))
@@ -19,7 +22,6 @@ def quartiles(col: Column, cfg: DetectionConfig) -> Column:
 
 def value_stats_aggs(cfg: DetectionConfig, col: str = "value") -> list[Column]:
     c = F.col(col)
-    q = quartiles(c, cfg)
     return [
         F.count(c).alias("n_values"),
         F.avg(c).alias("mean"),
@@ -27,16 +29,24 @@ def value_stats_aggs(cfg: DetectionConfig, col: str = "value") -> list[Column]:
         F.stddev_samp(c).alias("std_samp"),
         F.min(c).alias("min"),
         F.max(c).alias("max"),
-        q.alias("_q"),
     ]
 
 
+def with_quartiles(rows: DataFrame, aggs: list[Column], cfg: DetectionConfig, col: str = "value") -> DataFrame:
+    """Per sensor the aggregates, q1 and q3; with ``quantiles="selection"`` the quartiles are selected in passes of their own."""
+    if cfg.quantiles == "selection":
+        found = exact_quantiles(rows, QUARTILES, col).withColumnRenamed("quantiles", "_q")
+        s = rows.groupBy("sensor_id").agg(*aggs).join(found, "sensor_id", "left")
+    else:
+        s = rows.groupBy("sensor_id").agg(*aggs, quartiles(F.col(col), cfg).alias("_q"))
+    return s.withColumns({"q1": F.get("_q", F.lit(0)), "q3": F.get("_q", F.lit(1))}).drop("_q")
+
+
 def series_stats(rows: DataFrame, cfg: DetectionConfig, col: str = "value") -> DataFrame:
     """Per sensor: n_values, mean, std_pop, std_samp, min, max, q1, q3 (and the
     sensor's row count ``n`` when the rows carry it)."""
     extra = [F.max("n").alias("n")] if "n" in rows.columns else []
-    s = rows.groupBy("sensor_id").agg(*extra, *value_stats_aggs(cfg, col))
-    return (s.withColumn("q1", F.col("_q")[0]).withColumn("q3", F.col("_q")[1]).drop("_q"))
+    return with_quartiles(rows, [*extra, *value_stats_aggs(cfg, col)], cfg, col)
 
 
 def safe_corr(x: Column, y: Column) -> Column:

@@ -26,7 +26,7 @@ from ..operators.outbox import route_alerts
 from ..operators.rootcause import with_series_end_pasts
 from ..operators.scaler import model_wide
 from ..operators.seasonal import seasonal_profile
-from ..operators.stats import quartiles, safe_corr
+from ..operators.stats import safe_corr, with_quartiles
 from ..operators.statistical import statistical_columns
 from ..session import cut_lineage
 
@@ -34,14 +34,12 @@ from ..session import cut_lineage
 def _sensor_stats(frame: DataFrame, cfg: DetectionConfig, fit_scaler: bool) -> DataFrame:
     """One grouped pass: value statistics, scaler fit, |corr| per feature."""
     v = F.col("value")
-    aggs = [F.max("n").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"),
-            quartiles(v, cfg).alias("_q")]
+    aggs = [F.max("n").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop")]
     if fit_scaler:
         for f in SCALED_FEATURES:
             aggs += [F.avg(f).alias(f"{f}__mean"), F.stddev_pop(f).alias(f"{f}__std")]
     aggs += [safe_corr(F.col(f).cast("double"), v).alias(f"corr__{f}") for f in ENGINEERED_FEATURES]
-    s = frame.groupBy("sensor_id").agg(*aggs)
-    s = s.withColumn("q1", F.col("_q")[0]).withColumn("q3", F.col("_q")[1]).drop("_q")
+    s = with_quartiles(frame, aggs, cfg)
     if fit_scaler:
         s = s.withColumns({
             f"{f}__scale": F.when(F.col(f"{f}__std").isNull() | (F.col(f"{f}__std") == 0), F.lit(1.0))
@@ -65,6 +63,8 @@ def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame |
         frame = with_series_end_pasts(frame)
     if materialize:
         frame = cut_lineage(frame)
+        if cfg.quantiles == "exact" and (frame.agg(F.max("n")).first()[0] or 0) > cfg.quantile_map_rows:
+            cfg = cfg.with_(quantiles="selection")  # the same values in bounded memory
 
     stats = _sensor_stats(frame, cfg, fit_scaler=scaler_model is None)
     if scaler_model is not None:
@@ -105,9 +105,10 @@ def _detect(readings: DataFrame, cfg: DetectionConfig, scaler_model: DataFrame |
 
     if round2 or forest_scores is not None:
         if forest_scores is not None:
-            from ..operators.iforest import forest_threshold_aggs
-            round2 += forest_threshold_aggs(cfg)
-        s2 = j.groupBy("sensor_id").agg(F.max("n").alias("n"), *round2)
+            from ..operators.iforest import forest_thresholds
+            s2 = forest_thresholds(j, [F.max("n").alias("n"), *round2], cfg)
+        else:
+            s2 = j.groupBy("sensor_id").agg(F.max("n").alias("n"), *round2)
         j = attach_per_sensor(j, s2, cfg)
 
     if use_seasonal:

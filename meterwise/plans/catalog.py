@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..config import (ENGINEERED_FEATURES, SCALED_FEATURES, DetectionConfig, Routes)
 from ..functions.text import domain_rules, explain_feature
 from ..operators.alerts import assemble_alerts
-from ..operators.detectors import Ensemble, StatisticalDetector
+from ..operators.detectors import Ensemble, PandasDetector, StatisticalDetector
 from ..operators.ensemble import ensemble_columns, ensemble_detect
 from ..operators.features import series_frame
 from ..operators.layout import attach_per_sensor, clean_series, min_points_guard
 from ..operators.outbox import (attribution_lines, email_outbox, route_alerts, sms_outbox)
+from ..operators.quantiles import exact_quantiles
 from ..operators.rootcause import past_columns, temporal_context
 from ..operators.scaler import apply_scaler, fit_scaler
 from ..operators.seasonal import decompose, phase_means, seasonal_detect
@@ -365,6 +366,32 @@ def q_detect_alerts_two(spark, sf):
                     "root_cause_summary", F.col("metadata.data_points_used").alias("data_points_used"))
 
 
+def q_quantile_selection(spark, sf):
+    """G5 without a value map: small bounds, so that several passes are needed."""
+    q = exact_quantiles(raw_by_type(spark, sf), (0.05, 0.25, 0.5, 0.75, 0.95), grid=64, limit=200)
+    return q.select("sensor_id", *[r6(F.get("quantiles", F.lit(i))).alias(n) for i, n in enumerate(("q05", "q25", "q50", "q75", "q95"))])
+
+
+def q_statistical_selection(spark, sf):
+    """D1 with selected quartiles: the same detections."""
+    cfg = TWO.with_(quantiles="selection")
+    d = statistical_detect(series_frame(raw_by_type(spark, sf), cfg), cfg)
+    return d.filter(F.col("conf_statistical").isNotNull()).select("sensor_id", "timestamp", "row_id", r6("conf_statistical").alias("confidence"))
+
+
+def rolling_median(rows):
+    """A user's detector over pandas rows in order: the value is more than four times the median of the last 25 rows."""
+    ratio = rows["value"] / rows["value"].rolling(25, min_periods=1).median()
+    return (ratio / 8.0).clip(upper=1.0).where(ratio > 4.0)
+
+
+def q_pandas_detector(spark, sf):
+    """A plug-in detector written for pandas, over position blocks of 400 rows."""
+    cfg = TWO.with_(block_rows=400)
+    d = PandasDetector("rolling_median", rolling_median, back=24).detect(series_frame(raw_by_type(spark, sf), cfg), cfg)
+    return d.select("sensor_id", "timestamp", "row_id", r6("confidence").alias("confidence"))
+
+
 def q_windowed_stats(spark, sf):
     w = windowed_stats(raw_by_type(spark, sf), "1 hour")
     return w.select("sensor_id", "window_start", "window_end", "n", r6("mean").alias("mean"),
@@ -411,6 +438,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alerts_per_sensor": q_alerts_per_sensor,
     "alert_values": q_alert_values,
     "windowed_stats": q_windowed_stats,
+    "quantile_selection": q_quantile_selection,
+    "statistical_selection": q_statistical_selection,
+    "pandas_detector": q_pandas_detector,
     "ensemble_plugin": q_ensemble_plugin,
     "seasonal_long_period": q_seasonal_long_period,
     "domain_rules_orders": q_domain_rules_orders,

@@ -399,6 +399,17 @@ SELECT alerts.sensor_id, timestamp, anomaly_type, severity, {R('value')} AS valu
 FROM alerts JOIN top USING (sensor_id)"""
     out["stream_batch_alerts"] = f"""{pbase}
 SELECT sensor_id, timestamp, anomaly_type, severity, {R('ensemble_confidence')} AS confidence_score FROM alerts"""
+    quantiles = ", ".join(f"{R(f'quantile_cont(value, {q})')} AS {n}" for q, n in ((0.05, "q05"), (0.25, "q25"), (0.5, "q50"), (0.75, "q75"), (0.95, "q95")))
+    out["quantile_selection"] = f"""WITH {RAW}
+SELECT sensor_id, {quantiles} FROM src GROUP BY 1"""
+    out["statistical_selection"] = f"""{rbase},
+d AS (SELECT sensor_id, timestamp, row_id, {zexpr} AS z, value, q1, q3 FROM feat JOIN st USING (sensor_id))
+SELECT sensor_id, timestamp, row_id, {R('least(z / 3.0, 1.0)')} AS confidence FROM d
+WHERE coalesce(z > 3.0, false) OR value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)"""
+    out["pandas_detector"] = f"""WITH {RAW},{clean()},
+m AS (SELECT sensor_id, timestamp, row_id, value / median(value) OVER (PARTITION BY sensor_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND CURRENT ROW) AS ratio
+      FROM kept)
+SELECT sensor_id, timestamp, row_id, {R('least(ratio / 8.0, 1.0)')} AS confidence FROM m WHERE ratio > 4.0"""
     first = "pos < 10"
     scaled = f"CASE WHEN pos >= 9 THEN (value - m) / CASE WHEN s > 0 THEN s ELSE 1.0 END END"
     out["stream_continuous"] = f"""WITH {GAPPY},{clean()},{features()},

@@ -70,3 +70,92 @@ def test_draws_reach_all_rows(spark):
         g = d[d.sensor_id == name]
         assert (g.groupby("tree_id").pos.nunique() == min(8, n)).all() and (g.groupby("tree_id").size() == min(8, n)).all()
         assert g.pos.between(0, n - 1).all() and g.pos.max() >= 0.8 * n - 1 and g.pos.min() <= 0.2 * n
+
+
+def _path(tree, x):
+    """Plain traversal: depth of the leaf and its expected rest."""
+    node, depth = 0, 0
+    while tree.feature[node] >= 0:
+        node = tree.left[node] if x[tree.feature[node]] < tree.threshold[node] else tree.right[node]
+        depth += 1
+    n = tree.size[node]
+    return depth + (0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
+
+
+def _plain_score(trees, x):
+    psi = trees[0].psi
+    rest = 1.0 if psi == 2 else 2 * (math.log(psi - 1) + 0.5772156649015329) - 2 * (psi - 1) / psi
+    return 2.0 ** (-sum(_path(t, x) for t in trees) / len(trees) / rest)
+
+
+def _small(spark):
+    from meterwise.operators.iforest import feature_vector, fit_forest
+    cfg = CFG.with_(n_estimators=30, max_samples=32, block_rows=250)
+    frame = _scaled(spark, raw_by_type(spark, "/root/testdata/sf0.001"), cfg).cache()
+    rows = {}
+    for r in feature_vector(frame).select("sensor_id", "pos", "fx").collect():
+        rows.setdefault(r.sensor_id, {})[r.pos] = r.fx
+    forest = {}
+    for r in fit_forest(frame, cfg).collect():
+        forest.setdefault(r.sensor_id, []).append(r)
+    return cfg, frame, rows, forest
+
+
+def test_trees_and_scores_equal_plain_loops(spark):
+    """Every tree is a valid one over its drawn rows, and every score that of a row by row traversal."""
+    cfg, frame, rows, forest = _small(spark)
+    draws = {}
+    for r in tree_draws(frame.groupBy("sensor_id").agg({"n": "max"}).withColumnRenamed("max(n)", "n"), cfg).collect():
+        draws.setdefault((r.sensor_id, r.tree_id), []).append(rows[r.sensor_id][r.pos])
+    for sensor, trees in forest.items():
+        assert sorted(t.tree_id for t in trees) == list(range(30))
+        for t in trees:
+            held = [(0, 0, draws[sensor, t.tree_id])]
+            while held:
+                node, depth, xs = held.pop()
+                assert t.size[node] == len(xs)
+                f = t.feature[node]
+                if f < 0:  # a leaf: alone, at the depth limit, or all the same
+                    assert len(xs) <= 1 or depth == math.ceil(math.log2(32)) or all(x == xs[0] for x in xs)
+                    continue
+                assert min(x[f] for x in xs) <= t.threshold[node] < max(x[f] for x in xs)
+                held.append((t.left[node], depth + 1, [x for x in xs if x[f] < t.threshold[node]]))
+                held.append((t.right[node], depth + 1, [x for x in xs if x[f] >= t.threshold[node]]))
+    got = iforest_detect(frame, cfg).select("sensor_id", "pos", "if_score", "if_min", "if_max", "if_threshold", "conf_isolation_forest").collect()
+    assert len(got) == sum(map(len, rows.values()))
+    plain = {}
+    for r in got:
+        s = plain[r.sensor_id, r.pos] = _plain_score(forest[r.sensor_id], rows[r.sensor_id][r.pos])
+        assert abs(r.if_score - s) < 1e-9
+    for sensor in rows:
+        s = [plain[sensor, p] for p in rows[sensor]]
+        cut = np.quantile(s, 0.9)
+        for r in (r for r in got if r.sensor_id == sensor):
+            x = plain[sensor, r.pos]
+            assert abs(r.if_threshold - cut) < 1e-9
+            want = (x - min(s)) / (max(s) - min(s)) if r.if_score > r.if_threshold else None
+            assert (r.conf_isolation_forest is None) == (want is None) and (want is None or abs(r.conf_isolation_forest - want) < 1e-9)
+
+
+def test_importance_equals_plain_loops(spark):
+    from meterwise.config import FOREST_FEATURES
+    from meterwise.operators.iforest import feature_vector, fit_forest, permuted_features
+    cfg, frame, rows, forest = _small(spark)
+    moved = {}
+    x = feature_vector(frame).select("sensor_id", "blk", "pos", "n", "fx")
+    for r in permuted_features(x, cfg).collect():
+        moved.setdefault(r.sensor_id, {})[r.pos] = r.px
+    got = {(r.sensor_id, r.feature): r.importance for r in permutation_importance_rows(frame, cfg, fit_forest(frame, cfg)).collect()}
+    for sensor, held in rows.items():
+        for i in range(len(FOREST_FEATURES)):  # a permutation: the same values at other places
+            assert sorted(p[i] for p in moved[sensor].values()) == sorted(f[i] for f in held.values())
+        base = np.mean([_plain_score(forest[sensor], f) for f in held.values()])
+        for i in (0, 3, 11):
+            perm = np.mean([_plain_score(forest[sensor], [*f[:i], moved[sensor][p][i], *f[i + 1:]]) for p, f in held.items()])
+            assert abs(got[sensor, FOREST_FEATURES[i]] - abs(perm - base)) < 1e-9
+
+
+def test_selected_threshold_equals_the_exact_one(spark):
+    frame = _scaled(spark, raw_by_type(spark, "/root/testdata/sf0.001")).cache()
+    a, b = (iforest_detect(frame, CFG.with_(quantiles=q)).select("sensor_id", "pos", "if_threshold").orderBy("sensor_id", "pos").collect() for q in ("exact", "selection"))
+    assert a == b
