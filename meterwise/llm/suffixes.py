@@ -14,19 +14,22 @@ in the same column of the same anchor's segments, and every window lies in
 exactly one segment.  Anchors are counted first; those that occur once are
 done.  Equal segments are taken once, with the number of their places.
 
+Copies of a text are told by two hashes of it and counted, not carried one by one.
+
 Construction, per task over batches of whole anchors: segments are written
-column by column to a sequential file and read back from the last column to the
-first.  Each round inserts one symbol of every segment: the order of the
-suffixes that start in this column is the stable sort by anchor and new symbol
-of the order of the column after it (the symbols in that order are the round's column of the collection's
-Burrows-Wheeler transform), and the common prefix of neighbours is one more
-than the smallest common prefix between them one round before if their symbols
-agree, else 0.  Only the symbols are read back from a file: the order and the
-prefixes are carried from round to round in memory, one entry a segment of the
-batch (at most ``BATCH_ROWS`` and one more anchor's segments); transform and
-prefixes are also written to sequential files, which nothing reads.
-Neighbours with a common prefix of at least ``length`` are equal windows; a run
-of them that stands for two places or more marks its windows.
+column by column to a sequential file.  The columns are then taken from the last
+to the first; each round inserts one symbol of every segment.  What it needs of
+the round before it reads from sequential files: the order of the suffixes that
+start in the next column, their column of the collection's Burrows-Wheeler
+transform (the symbols before them, in that order) and the common prefixes of
+neighbours.  The new order is the stable sort of the old one by anchor and
+transform; the common prefix of two neighbours is one more than the smallest
+common prefix between them one round before if their symbols agree, else 0.
+Order, prefixes and the next column of the transform are written to the files of
+the next round.  Neighbours with a common prefix of at least ``length`` are equal
+windows; a run of them that stands for two places or more marks its windows.
+A round holds one entry a segment of the batch (at most ``BATCH_ROWS`` and one more
+anchor's segments, at most ``group_rows``).
 
 An anchor with more than ``group_rows`` different segments (the rim of a
 passage that very many documents share) is split first: windows whose
@@ -34,9 +37,10 @@ passage that very many documents share) is split first: windows whose
 own hash and counted, so that no group has to fit one task.
 
 Defined cases: null and empty texts, and texts shorter than ``length``, lose
-nothing; repeated rows are places of their own; null ids are allowed; rows are
-told apart by id and text hash; an empty table gives no rows; only the named
-columns are read.
+nothing; repeated rows are places of their own; null ids are allowed; an empty
+table gives no rows; a text that repeats itself (one character a million times)
+gives one row for each different segment; only the named columns are read
+(``returns='rows'``: all are returned, whatever their names).
 """
 
 from __future__ import annotations
@@ -48,14 +52,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from meterwise.llm.common import batches_of, staged
+from meterwise.llm.common import batches_of, spare_name, staged
 
 LENGTH = 400
 ANCHOR = 64
 CELL = 16
-GROUP_ROWS = 512
+GROUP_ROWS = 1 << 16
 BLOCK = 1 << 19
 BATCH_ROWS = 1 << 12
 
@@ -121,77 +125,138 @@ def anchors(b: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndar
     return place[new], new, np.append(new[1:], n) - 1
 
 
+def text_keys(text: str) -> list[Column]:
+    """Two hashes with different seeds: equal texts have equal ones, two different texts practically never."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), F.col(text)).alias("k2")]
+
+
 def segments(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """(id, text_key, anchor, sig, start, left, size): each segment's place.  ``left``: bytes before its anchor;
-    ``sig``: hash of its bytes."""
+    """(id, k1, k2, anchor, sig, starts, left, size): the different segments of each text with their places.  ``left``: bytes
+    before the anchor; ``sig``: hash of the bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text_key", "anchor", "sig", "start", "left", "size"]
         for b in batches:
-            row, cols = [], [[] for _ in names[2:]]
+            row, cols, ends, starts, done = [], [[] for _ in range(4)], [np.zeros(1, np.int64)], [], 0
             for i, t in enumerate(batches_of(b, "text")):
                 raw = np.frombuffer((t or "").encode("utf-8"), np.uint8)
                 place, first, last = anchors(raw, length, width)
                 if not len(place):
                     continue
                 hasher, end = Hasher(raw), last + length
-                row.append(np.full(len(place), i))
-                got = (hasher.of(place, place + width).view(np.int64), hasher.of(first, end).view(np.int64), first, place - first, end - first)
+                got = [hasher.of(place, place + width).view(np.int64), hasher.of(first, end).view(np.int64), place - first, end - first]
+                new = np.arange(len(first))
+                if len(np.unique(got[1])) < len(first):  # a segment occurs again in its own text
+                    by = np.lexsort((first, got[2], got[1], got[0]))
+                    got, first = [x[by] for x in got], first[by]
+                    new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in got[:3]], axis=0)]))
+                row.append(np.full(len(new), i))
                 for c, x in zip(cols, got):
-                    c.append(x)
+                    c.append(x[new])
+                ends.append(np.append(new[1:], len(first)) + done)
+                starts.append(first)
+                done += len(first)
             if not row:
                 continue
             at = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)] + [pa.array(np.concatenate(c), pa.int64()) for c in cols], names=names)
+            anchor, sig, left, size = (pa.array(np.concatenate(c), pa.int64()) for c in cols)
+            places = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(starts), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(3)), anchor, sig, places, left, size],
+                                             names=["id", "k1", "k2", "anchor", "sig", "starts", "left", "size"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, text_key long, anchor long, sig long, start long, left long, size long")
+    return docs.mapInArrow(run, f"id {kind}, k1 long, k2 long, anchor long, sig long, starts array<long>, left long, size long")
 
 
 class Columns:
     """Column-wise order of the segments of several anchors, each aligned at its anchor, over sequential files."""
 
+    #: Two files each, read in one round and written in the other: they are written over in place.
+    KINDS = {"order": np.int32, "prefix": np.int32, "transform": np.uint16}
+
     def __init__(self, folder: str):
-        self.files = [os.path.join(folder, n) for n in ("symbols", "transform", "prefixes")]
+        new = lambda name: open(os.path.join(folder, name), "w+b", buffering=0)
+        self.symbols = new("symbols")
+        self.files = {name: (new(f"{name}-0"), new(f"{name}-1")) for name in self.KINDS}
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for f in (self.symbols, *(f for pair in self.files.values() for f in pair)):
+            f.close()
+
+    def _read(self, name: str, turn: int, n: int) -> np.ndarray:
+        f, kind = self.files[name][turn % 2], np.dtype(self.KINDS[name])
+        f.seek(0)
+        return np.frombuffer(_whole(f, n * kind.itemsize), kind)
+
+    def _write(self, name: str, turn: int, values: np.ndarray) -> None:
+        f = self.files[name][turn % 2]
+        f.seek(0)
+        f.write(values.astype(self.KINDS[name], copy=False).tobytes())
 
     def windows(self, anchor: np.ndarray, segs: list[bytes], left: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
         """A row for each segment: True at the offsets of its windows that stand at two places or more.
         Segments of one anchor are neighbours; only they are compared."""
         n, size = len(segs), np.array([len(s) for s in segs])
         lead, width = int(left.max()), int((size - left).max())
-        table = np.zeros((n, lead + width), np.uint8)
-        for i, s in enumerate(segs):
-            at = lead - left[i]
-            table[i, at:at + len(s)] = np.frombuffer(s, np.uint8)
-        np.ascontiguousarray(table.T).tofile(self.files[0])
         begin, end = lead - left, lead - left + size
+        self._write_symbols(segs, begin, lead + width)
         marks = np.zeros((n, int(size.max()) - length + 1), bool)
-        order = np.arange(n)
         owner = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]])).astype(np.int32) << 9
-        prefix = np.zeros(n, np.int64)  # with the one before in the order; an anchor's first has 0
-        with open(self.files[0], "rb") as symbols, open(self.files[1], "wb") as transform, open(self.files[2], "wb") as prefixes:
-            for col in range(lead + width - 1, -1, -1):
-                symbols.seek(col * n)
-                sym = np.frombuffer(symbols.read(n), np.uint8)
-                live = (col >= begin) & (col < end)
-                key = (owner + np.where(live, sym.astype(np.int32) + 1, 0))[order]  # 0: outside the segment
-                step = np.argsort(key, kind="stable")
-                key, old, order = key[step], prefix, order[step]
-                # Under equal symbols the old order stays, so the old prefixes between two neighbours count.
-                prefix = np.zeros(n, np.int64)
-                same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 511 > 0)) + 1
-                if len(same):
-                    edges = np.stack([step[same - 1] + 1, step[same] + 1], 1).ravel()
-                    prefix[same] = 1 + np.minimum.reduceat(np.append(old, 0), edges)[::2]
-                transform.write((key & 511).astype("<u2").tobytes())
-                prefixes.write(np.minimum(prefix, 0xFFFF).astype("<u2").tobytes())
-                stands = live[order] & (col + length <= end[order])
-                if stands.any():
-                    run = np.cumsum(prefix < length) - 1  # a run of equal windows
-                    twice = order[(np.bincount(run, places[order] * stands, n)[run] >= 2) & stands]
-                    marks[twice, col - begin[twice]] = True
+        last = lead + width - 1
+
+        def column(col: int) -> np.ndarray:
+            """The symbols of a column, 0 outside the segments."""
+            if col < 0:
+                return np.zeros(n, np.uint16)
+            self.symbols.seek(col * n)
+            got = np.frombuffer(_whole(self.symbols, n), np.uint8).astype(np.uint16) + 1
+            return np.where((col >= begin) & (col < end), got, 0)
+
+        self._write("order", last, np.arange(n))
+        self._write("prefix", last, np.zeros(n))  # with the one before in the order; an anchor's first has 0
+        self._write("transform", last, column(last))
+        for col in range(last, -1, -1):
+            order, old = self._read("order", col, n), self._read("prefix", col, n)
+            key = owner[order] + self._read("transform", col, n)
+            step = np.argsort(key, kind="stable")
+            key, order = key[step], order[step]
+            # Under equal symbols the old order stays, so the old prefixes between two neighbours count.
+            prefix = np.zeros(n, np.int32)
+            same = np.flatnonzero((key[1:] == key[:-1]) & (key[1:] & 511 > 0)) + 1
+            if len(same):
+                edges = np.stack([step[same - 1] + 1, step[same] + 1], 1).ravel()
+                prefix[same] = 1 + np.minimum.reduceat(np.append(old, 0), edges)[::2]
+            self._write("order", col - 1, order)
+            self._write("prefix", col - 1, prefix)
+            self._write("transform", col - 1, column(col - 1)[order])
+            stands = (key & 511 > 0) & (col + length <= end[order])
+            if stands.any():
+                run = np.cumsum(prefix < length) - 1  # a run of equal windows
+                twice = order[(np.bincount(run, places[order] * stands, n)[run] >= 2) & stands]
+                marks[twice, col - begin[twice]] = True
         return marks
 
+    def _write_symbols(self, segs: list[bytes], begin: np.ndarray, width: int) -> None:
+        table = np.zeros((len(segs), width), np.uint8)
+        for row, at, s in zip(table, begin.tolist(), segs):
+            row[at:at + len(s)] = np.frombuffer(s, np.uint8)
+        self.symbols.seek(0)
+        self.symbols.write(np.ascontiguousarray(table.T).tobytes())
+
+
+def _whole(f, size: int) -> bytes:
+    """The next ``size`` bytes of an unbuffered file."""
+    parts = []
+    while size:
+        got = f.read(size)
+        if not got:
+            raise EOFError(f.name)
+        parts.append(got)
+        size -= len(got)
+    return parts[0] if len(parts) == 1 else b"".join(parts)
+
 
 def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([[0], mark.astype(np.int8), [0]]))
@@ -203,8 +268,8 @@ def _ordered(length: int, batch_rows: int):
     Whole anchors are gathered up to ``batch_rows`` segments."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with tempfile.TemporaryDirectory() as folder:
-            columns, held = Columns(folder), []
+        with tempfile.TemporaryDirectory() as folder, Columns(folder) as columns:
+            held = []
 
             def close():
                 anchor, sig, left, places, raw = zip(*held)
@@ -228,25 +293,27 @@ def _ordered(length: int, batch_rows: int):
 
 
 def repeated_windows(docs: DataFrame, places: DataFrame, length: int, width: int, group_rows: int) -> DataFrame:
-    """(anchor, sig, lo, hi): the window offsets of each distinct segment that occur at two places or more."""
+    """(anchor, sig, runs): the window offsets (lo, hi) of each distinct segment that occur at two places or more."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = F.min(F.struct("id", "text_key", "start", "left", "size")).alias("at")
-    distinct = staged(places.groupBy("anchor", "sig").agg(F.count("*").alias("places"), one), "distinct-segments")
+    one = F.min(F.struct("id", "k1", "k2", F.col("starts")[0].alias("start"), "left", "size")).alias("at")
+    distinct = staged(places.groupBy("anchor", "sig").agg(F.sum(F.col("copies") * F.size("starts")).alias("places"), one), "distinct-segments")
     per = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("places").alias("all"))
     distinct = staged(distinct.join(per.filter("all >= 2"), "anchor"), "repeated-anchors")
     # All places of an anchor's only segment are equal: its order is that of one string.
     alone = distinct.filter("kinds = 1").select("anchor", "sig", F.lit(0).cast("long").alias("lo"), (F.col("at.size") - length + 1).alias("hi"))
     wanted = distinct.filter("kinds > 1").select("anchor", "sig", "kinds", "places", "at.*")
-    asked = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("anchor", "sig", "kinds", "places", "start", "left", "size")).alias("asked"))
-    texts = docs.join(asked, docs["id"].eqNullSafe(asked["id"]) & (docs["text_key"] == asked["text_key"])).select(
-        docs["id"], docs["text_key"], F.encode("text", "utf-8").alias("raw"), "asked")
+    asked = wanted.groupBy("id", "k1", "k2").agg(F.collect_list(F.struct("anchor", "sig", "kinds", "places", "start", "left", "size")).alias("asked"))
+    same = docs["id"].eqNullSafe(asked["id"]) & (docs["k1"] == asked["k1"]) & (docs["k2"] == asked["k2"])
+    texts = docs.join(asked, same).select(F.encode("text", "utf-8").alias("raw"), "asked")
     cut = texts.select("raw", F.explode("asked").alias("a")).select("a.*", F.expr("substring(raw, cast(a.start as int) + 1, cast(a.size as int))").alias("raw"))
     cut = staged(cut.dropDuplicates(["anchor", "sig"]), "segments")
     dealt = (cut.filter(F.col("kinds") <= group_rows).select("anchor", "sig", "left", "places", "raw")
              .repartition(n, "anchor").sortWithinPartitions("anchor"))
     found = dealt.mapInArrow(_ordered(length, BATCH_ROWS), "anchor long, sig long, lo long, hi long")
-    return alone.unionAll(found).unionAll(_split(cut.filter(F.col("kinds") > group_rows), length))
+    every = alone.unionAll(found).unionAll(_split(cut.filter(F.col("kinds") > group_rows), length))
+    # A segment has at most ``length`` windows, so its runs are few.
+    return every.groupBy("anchor", "sig").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
 def _split(cut: DataFrame, length: int) -> DataFrame:
@@ -307,32 +374,38 @@ def _split(cut: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, width: int = ANCHOR,
                    group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(docs as (id, text_key, text), spans as (sid, skey, cuts)): cuts are the removed (lo, hi) byte windows of a document."""
+    """(docs as (id, k1, k2, text), spans as (k1, k2, cuts)): cuts are, by text, segment places with their repeated windows."""
     width = min(width, 1 << (max(1, length // 4).bit_length() - 1))
-    small = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    places = staged(segments(small, length, width), "segment-places")
+    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", *text_keys("text"), "text")
+    found = segments(small, length, width)
+    places = staged(found.groupBy("k1", "k2", "anchor", "sig", "left", "size", "starts").agg(F.count("*").alias("copies"), F.min("id").alias("id")), "segment-places")
     again = staged(repeated_windows(small, places, length, width, group_rows), "repeated-windows")
-    spans = places.join(again, ["anchor", "sig"]).select("id", "text_key", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") - 1 + length).alias("hi"))
-    spans = spans.groupBy(F.col("id").alias("sid"), F.col("text_key").alias("skey")).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    spans = places.join(again, ["anchor", "sig"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("starts", "runs")).alias("cuts"))
     return small, spans
 
 
-def _merged(cuts: list[dict], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _merged(cuts: list[dict], size: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal removed runs of a document of ``size`` bytes."""
     edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, [c["lo"] for c in cuts], 1)
-    np.add.at(edge, [c["hi"] for c in cuts], -1)
+    for c in cuts:
+        starts = np.array(c["starts"], np.int64)
+        for r in c["runs"]:
+            np.add.at(edge, starts + r["lo"], 1)
+            np.add.at(edge, starts + r["hi"] - 1 + length, -1)
     return _runs(np.cumsum(edge[:-1]) > 0)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", returns: str = "digest", **options) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", returns: str = "digest", length: int = LENGTH, **options) -> DataFrame:
     """``'digest'``: (id_col, n_bytes, n_removed, n_spans, kept_sha256); ``'rows'``: all rows of ``docs`` with the text
     that is left (bytes that no longer form UTF-8 at a cut are dropped with it)."""
-    small, spans = repeated_spans(docs, id_col, text_col, **options)
+    small, spans = repeated_spans(docs, id_col, text_col, length, **options)
     if returns == "rows":
-        keyed = docs.withColumn("__text_key", F.xxhash64(text_col))
-        joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["sid"]) & (keyed["__text_key"] == spans["skey"]), "left")
-        joined = joined.select(*[joined[f"`{c}`"] for c in docs.columns], F.col("cuts").alias("__cuts"))
+        keys = [spare_name(docs.columns, k) for k in ("k1", "k2")]
+        keyed = docs.select("*", *(k.alias(n) for k, n in zip(text_keys(f"`{text_col}`"), keys)))
+        cuts = spare_name(docs.columns, "cuts")
+        joined = keyed.join(spans.select(F.col("k1").alias(f"{keys[0]}_"), F.col("k2").alias(f"{keys[1]}_"), F.col("cuts").alias(cuts)),
+                            (F.col(keys[0]) == F.col(f"{keys[0]}_")) & (F.col(keys[1]) == F.col(f"{keys[1]}_")), "left")
+        joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], cuts)
         at = docs.columns.index(text_col)
 
         def rest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +414,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retur
                 for t, cuts in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                     if cuts:
                         raw = t.encode("utf-8")
-                        lo, hi = _merged(cuts, len(raw))
+                        lo, hi = _merged(cuts, len(raw), length)
                         t = b"".join(raw[i:j] for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)])).decode("utf-8", "ignore")
                     texts.append(t)
                 cols = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns - 1)]
@@ -349,14 +422,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retur
 
         return joined.mapInArrow(rest, docs.schema)
 
-    joined = small.join(spans, small["id"].eqNullSafe(spans["sid"]) & (small["text_key"] == spans["skey"]), "left").select("id", "text", "cuts")
+    joined = small.join(spans, ["k1", "k2"], "left").select("id", "text", "cuts")
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [[], [], [], []]
             for t, cuts in zip(batches_of(b, "text"), batches_of(b, "cuts")):
                 raw = (t or "").encode("utf-8")
-                lo, hi = _merged(cuts, len(raw)) if cuts else (np.empty(0, int), np.empty(0, int))
+                lo, hi = _merged(cuts, len(raw), length) if cuts else (np.empty(0, int), np.empty(0, int))
                 kept = hashlib.sha256()
                 for i, j in zip([0, *hi.tolist()], [*lo.tolist(), len(raw)]):
                     kept.update(raw[i:j])

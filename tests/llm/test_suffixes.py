@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from meterwise.llm import suffixes
@@ -88,5 +89,37 @@ def test_rows_that_are_left(spark):
     assert all(len((text[i] or "").encode()) <= n for i, n in size if i not in (3,))
 
 
+def test_rows_with_clashing_names(spark):
+    text = "".join(random.Random(3).choice("abcdefg ") for _ in range(900))
+    data = [(1, text, 1, 2, 3, 4, 5, 6), (2, "x" + text, 1, 2, 3, 4, 5, 6), (None, "short", 1, 2, 3, 4, 5, 6), (3, None, 1, 2, 3, 4, 5, 6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, cuts int, sid int, K1 int, k2 int, starts int, id int")
+    left = suffixes.dedup(docs, returns="rows")
+    assert left.columns == docs.columns
+    got = {r.doc_id: (r.text, r.cuts, r.sid, r.K1, r.id) for r in left.collect()}
+    assert got == {1: ("", 1, 2, 3, 6), 2: ("x", 1, 2, 3, 6), None: ("short", 1, 2, 3, 6), 3: (None, 1, 2, 3, 6)}
+
+
+def test_text_that_repeats_itself(spark):
+    """A million equal characters give one segment, a short period few."""
+    rnd = random.Random(4)
+    texts = ["a" * 1_000_000, "xyz" * 100_000, "b" * 400, "c" * 401, "".join(rnd.choice("pqrs") for _ in range(300_000))]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    small = data.selectExpr("doc_id as id", "text").select("id", *suffixes.text_keys("text"), "text")
+    assert suffixes.segments(small.filter("id < 2"), 400, 64).count() <= 8
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.dedup(data).collect()}
+    assert got == {0: (1_000_000, 1_000_000, 1), 1: (300_000, 300_000, 1), 2: (400, 0, 0), 3: (401, 401, 1), 4: (300_000, 0, 0)}
+
+
+def test_state_goes_through_files(tmp_path):
+    """Order, prefixes and transform of a round are read from the files of the round before it."""
+    segs = [b"abcabcab", b"xbcabcab", b"abcabcay"]
+    with suffixes.Columns(str(tmp_path)) as columns:
+        columns.windows(np.zeros(9, np.int64), [b"z" * 30] * 9, np.full(9, 4), np.ones(9), 6)  # a larger batch before
+        marks = columns.windows(np.zeros(3, np.int64), segs, np.array([2, 2, 2]), np.ones(3), 6)
+    want = [[sum(s[i:i + 6] == t[i:i + 6] for t in segs) > 1 for i in range(3)] for s in segs]
+    assert marks.tolist() == want
+    assert {p.name for p in tmp_path.iterdir()} == {"symbols", *(f"{n}-{k}" for n in ("order", "prefix", "transform") for k in (0, 1))}
+
+
 def test_empty(spark):
     assert suffixes.dedup(frame(spark, [])).count() == 0
