@@ -8,7 +8,7 @@ template that stands unbroken collects all its pairs on one diagonal; an
 inserted or missing word moves the rest to a diagonal nearby, so neighbouring
 diagonals whose spans touch are merged before a span is verified: the words of
 the pairs are compared themselves, and enough different template pairs must
-have been seen within a span not much longer than the template.
+have been seen within a stretch of the run not much longer than the template.
 
 Two kinds of template: *phrases* count only as an unbroken place (all pairs on
 one diagonal); *notices* are longer wordings with labels of their own, accepted
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from meterwise.llm.common import text_of
+from meterwise.llm.common import staged, text_of
 
 #: Phrases and their labels (fixed values).
 PHRASES = [
@@ -61,66 +61,97 @@ def words_of(text_col: str = "text") -> Column:
     return F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))
 
 
+def _templates() -> list[tuple[str, list[str], str]]:
+    return [("phrase", p.split(), label) for p, label in PHRASES] + [("notice", p.split(), label) for p, label in NOTICES]
+
+
 def template_table(spark: SparkSession) -> DataFrame:
-    """(t, kind, label, n_pairs, tpos, x, y): a row for each pair of neighbouring words of each template."""
-    return spark.sql(f"SELECT * FROM VALUES {_template_rows()} AS v(t, kind, label, n_pairs, tpos, x, y)")
+    """(t, kind, label, n_pairs): a row for each template."""
+    rows = [f"({t}, '{kind}', '{label}', {len(w) - 1})" for t, (kind, w, label) in enumerate(_templates())]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v(t, kind, label, n_pairs)")
+
+
+def pair_table(spark: SparkSession) -> DataFrame:
+    """(x, y, at): a row for each different pair of neighbouring words in the templates, with its places (t, tpos)."""
+    places: dict[tuple[str, str], list[str]] = {}
+    for t, (_, w, _) in enumerate(_templates()):
+        for i in range(len(w) - 1):
+            places.setdefault((w[i], w[i + 1]), []).append(f"named_struct('t', {t}, 'tpos', {i})")
+    rows = [f"('{x}', '{y}', array({', '.join(at)}))" for (x, y), at in places.items()]
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS v(x, y, at)")
+
 
+def pair_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text_key, n_words, n_rows, hits): one row for all rows with this id and text.  ``hits``: (pos, at) of every
+    word pair that stands in a template.
 
-def diagonals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_key, t, kind, label, n_pairs, diagonal, seen, first, last): the verified votes of each diagonal.
-    seen: the different template positions; first, last: word positions of the hits."""
-    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words_of(text_col).alias("w"))
+    The texts are cut into words once.  A document's first pair goes along whether it is a hit or not: it carries the
+    number of words, so that only these and the hits are shuffled."""
+    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), words_of(text_col).alias("w"))
     pairs = F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))
-    grams = grams.select("id", "text_key", F.posexplode(pairs).alias("pos", "g"))
-    grams = grams.select("id", "text_key", "pos", F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.xxhash64("g.a", "g.b").alias("h"))
-    known = template_table(docs.sparkSession).withColumn("h", F.xxhash64("x", "y"))
-    hits = grams.join(F.broadcast(known), "h").filter((F.col("a") == F.col("x")) & (F.col("b") == F.col("y")))
-    keys = ["id", "text_key", "t", "kind", "label", "n_pairs"]
-    hits = hits.withColumn("diagonal", F.col("pos") - F.col("tpos"))
-    return hits.groupBy(*keys, "diagonal").agg(F.collect_set("tpos").alias("seen"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-
-
-def spans(votes: DataFrame) -> DataFrame:
-    """Neighbouring diagonals whose hits touch, merged: (id, text_key, t, kind, label, coverage, whole, first, last)."""
-    order = Window.partitionBy("id", "text_key", "t").orderBy("diagonal")
+    grams = cut.select("id", "text_key", F.size("w").cast("long").alias("n_words"), F.posexplode_outer(pairs).alias("pos", "g"))
+    grams = grams.select("id", "text_key", "n_words", "pos", F.col("g.a").alias("a"), F.col("g.b").alias("b"), F.xxhash64("g.a", "g.b").alias("h"))
+    known = pair_table(docs.sparkSession).withColumn("k", F.xxhash64("x", "y"))
+    same = (F.col("h") == F.col("k")) & (F.col("a") == F.col("x")) & (F.col("b") == F.col("y"))
+    first = F.coalesce("pos", F.lit(0)) == 0
+    found = grams.join(F.broadcast(known), same, "left").filter(first | F.col("at").isNotNull())
+    return found.groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.count_if(first).alias("n_rows"),
+                                               F.collect_set(F.when(F.col("at").isNotNull(), F.struct("pos", "at"))).alias("hits"))
+
+
+def votes(found: DataFrame) -> DataFrame:
+    """(id, text_key, t, kind, label, n_pairs, diagonal, places): the hits (pos, tpos) on each diagonal."""
+    at = found.select("id", "text_key", F.explode("hits").alias("hit")).select("id", "text_key", "hit.pos", F.explode("hit.at").alias("at"))
+    at = at.select("id", "text_key", "at.t", "at.tpos", "pos").join(F.broadcast(template_table(found.sparkSession)), "t")
+    at = at.withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    return at.groupBy("id", "text_key", "t", "kind", "label", "n_pairs", "diagonal").agg(F.collect_set(F.struct("pos", "tpos")).alias("places"))
+
+
+def spans(diagonals: DataFrame) -> DataFrame:
+    """Neighbouring diagonals whose hits touch, merged, and the best stretch of each merged run verified:
+    (id, text_key, label, coverage, whole).
+
+    A stretch is as long as the template and 2 * NEAR words more; from every hit of the run one begins.  ``coverage``: the
+    largest share of the template's pairs in a stretch.  ``whole``: a stretch covers enough and has the last pair."""
+    run_of = ["id", "text_key", "t"]
+    order = Window.partitionBy(*run_of).orderBy("diagonal")
+    ends = diagonals.withColumns({"first": F.array_min("places.pos"), "last": F.array_max("places.pos")})
     apart = (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR) | (F.col("first") > F.lag("last").over(order) + NEAR + 1)
-    marked = votes.withColumn("run", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order))
-    # A run's diagonals see at most the template's positions, so the merged set has the template's length at most.
-    runs = (marked.withColumn("tpos", F.explode("seen")).groupBy("id", "text_key", "t", "kind", "label", "n_pairs", "run")
-            .agg(F.count_distinct("tpos").alias("n_seen"), F.max("tpos").alias("end"), F.min("first").alias("first"), F.max("last").alias("last")))
-    longest = F.col("n_pairs") + 2 * NEAR
-    return (runs.withColumn("coverage", F.when(F.col("last") - F.col("first") <= longest, F.col("n_seen") / F.col("n_pairs")).otherwise(F.lit(0.0)))
-            .withColumn("whole", (F.col("coverage") >= COVERAGE) & (F.col("end") == F.col("n_pairs") - 1))
-            .select("id", "text_key", "t", "kind", "label", "coverage", "whole", "first", "last"))
+    marked = ends.withColumn("run", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order))
+    each = marked.select(*run_of, "label", "n_pairs", "run", F.inline("places"))
+    longest = max(len(w) - 1 for _, w, _ in _templates()) + 2 * NEAR
+    ahead = Window.partitionBy(*run_of, "run").orderBy("pos").rangeBetween(0, longest)
+    near = F.filter(F.collect_list(F.struct("pos", "tpos")).over(ahead), lambda x: x["pos"] <= F.col("pos") + F.col("n_pairs") + 2 * NEAR)
+    seen = each.withColumn("seen", F.array_distinct(F.transform(near, lambda x: x["tpos"])))
+    share = F.size("seen") / F.col("n_pairs")
+    return (seen.groupBy(*run_of, "label", "run").agg(F.max(share).alias("coverage"), F.max((share >= COVERAGE) & F.array_contains("seen", F.col("n_pairs") - 1)).alias("whole"))
+            .select("id", "text_key", "label", "coverage", "whole"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of ``docs``."""
-    votes = diagonals(docs, id_col, text_col)
+    found = staged(pair_hits(docs, id_col, text_col), "license-hits")
+    on = votes(found.filter(F.size("hits") > 0))
     # An unbroken phrase is a full diagonal; a phrase votes with nothing less.
-    places = votes.filter((F.col("kind") == "phrase") & (F.size("seen") == F.col("n_pairs"))).select(
+    places = on.filter((F.col("kind") == "phrase") & (F.size(F.array_distinct("places.tpos")) == F.col("n_pairs"))).select(
         "id", "text_key", F.lit(True).alias("base"), "label", F.col("diagonal").alias("at"), F.lit(1.0).alias("score"))
-    found = spans(votes.filter("kind = 'notice'")).select(
+    noted = spans(on.filter("kind = 'notice'")).select(
         "id", "text_key", F.lit(False).alias("base"), F.when(F.col("whole"), F.col("label")).alias("label"),
         F.lit(None).cast("int").alias("at"), F.col("coverage").alias("score"))
-    per = places.unionAll(found).groupBy(F.col("id").alias("hid"), F.col("text_key").alias("hkey")).agg(
+    per = places.unionAll(noted).groupBy(F.col("id").alias("hid"), F.col("text_key").alias("hkey")).agg(
         F.count_if("base").alias("n_base"), F.min("at").cast("long").alias("first_word"), F.max("at").cast("long").alias("last_word"),
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.sort_array(F.collect_set("label")), ",").alias("labels"), F.max("score").alias("score"))
-    whole = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"),
-                        F.regexp_count(text_of(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"))
-    out = whole.join(per, F.col("id").eqNullSafe(F.col("hid")) & (F.col("text_key") == F.col("hkey")), "left")
+    out = found.drop("hits").join(per, F.col("id").eqNullSafe(F.col("hid")) & (F.col("text_key") == F.col("hkey")), "left")
+    out = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
                       F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"),
                       F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _template_rows() -> str:
-    rows = []
-    for t, (kind, (phrase, label)) in enumerate([("phrase", p) for p in PHRASES] + [("notice", p) for p in NOTICES]):
-        w = phrase.split()
-        rows += [f"({t}, '{kind}', '{label}', {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')" for i in range(len(w) - 1)]
-    return ", ".join(rows)
+    return ", ".join(f"({t}, '{kind}', '{label}', {len(w) - 1}, {i}, '{w[i]}', '{w[i + 1]}')"
+                     for t, (kind, w, label) in enumerate(_templates()) for i in range(len(w) - 1))
 
 
 #: The same result in SQL (documents have unique ids there).
@@ -139,9 +170,11 @@ marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o > {NEAR} OR first
                           THEN 1 ELSE 0 END AS starts
            FROM votes WHERE kind = 'notice' WINDOW o AS (PARTITION BY doc_id, t ORDER BY diagonal)),
 runs AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS run FROM marked),
-seen AS (SELECT r.doc_id, r.t, r.label, r.n_pairs, r.run, count(DISTINCT h.tpos) AS n_seen, max(h.tpos) AS ending, min(r.first) AS first, max(r.last) AS last
-         FROM runs r JOIN hits h USING (doc_id, t, diagonal) GROUP BY ALL),
-cover AS (SELECT doc_id, label, ending = n_pairs - 1 AS ends, CASE WHEN last - first <= n_pairs + {2 * NEAR} THEN n_seen / n_pairs ELSE 0.0 END AS coverage FROM seen),
+own AS (SELECT DISTINCT r.doc_id, r.t, r.label, r.n_pairs, r.run, h.pos, h.tpos FROM runs r JOIN hits h USING (doc_id, t, diagonal)),
+stretch AS (SELECT a.doc_id, a.t, a.label, a.n_pairs, a.run, a.pos, a.tpos, count(DISTINCT b.tpos) / a.n_pairs AS coverage, max(b.tpos) = a.n_pairs - 1 AS ends
+            FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.t = b.t AND a.run = b.run AND b.pos BETWEEN a.pos AND a.pos + a.n_pairs + {2 * NEAR}
+            GROUP BY a.doc_id, a.t, a.label, a.n_pairs, a.run, a.pos, a.tpos),
+cover AS (SELECT doc_id, label, coverage, ends FROM stretch),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
            FROM (SELECT doc_id, label FROM votes WHERE kind = 'phrase' AND n_seen = n_pairs
                  UNION ALL SELECT doc_id, label FROM cover WHERE coverage >= {COVERAGE} AND ends) GROUP BY doc_id),

@@ -44,6 +44,33 @@ def test_edge_rows(spark):
     assert by[104].labels == "" and by[104].score == 0
 
 
+def best_stretch(text, notice):
+    """By plain loops: the largest share of the notice's pairs in a stretch of its length and six words more; whether one covers enough and has the last."""
+    w, p = text.split(), notice.split()
+    n = len(p) - 1
+    hits = [(i, j) for i in range(len(w) - 1) for j in range(n) if (w[i], w[i + 1]) == (p[j], p[j + 1])]
+    shares = [({j for k, j in hits if i <= k <= i + n + 6}) for i, _ in hits]
+    return max((len(x) / n for x in shares), default=0), any(len(x) / n >= licenses.COVERAGE and n - 1 in x for x in shares)
+
+
+def test_a_notice_in_a_longer_run_keeps_its_label(spark):
+    notice = "licensed under the apache license version 2 0"
+    texts = [notice, notice + " 2 0" * 4, "version 2 0 " * 3 + notice, notice + " 2 0" * 400, "licensed under the apache " + "version 2 0 " * 5,
+             "version 2 0 " * 50_000 + notice]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts[:-1]):
+        share, whole = best_stretch(t, notice)
+        assert ("apache-2.0" in got[i].labels) == whole, t
+        assert got[i].n_base or abs(got[i].score - share) < 1e-9
+    assert "apache-2.0" in got[1].labels and "apache-2.0" in got[3].labels and "apache-2.0" in got[5].labels and "apache-2.0" not in got[4].labels
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    docs = spark.createDataFrame([(None, "mit license", 1)] * 3 + [(1, None, 1), (1, None, 1), (2, "cc by", 1)], "doc_id long, text string, at int")
+    got = sorted((tuple(r)[:3] for r in licenses.scan(docs.withColumnRenamed("at", "hits")).collect()), key=str)
+    assert got == sorted([(None, 2, 1)] * 3 + [(1, 0, 0)] * 2 + [(2, 2, 1)], key=str)
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     got = licenses.scan(docs).collect()
