@@ -70,4 +70,4 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_quality, op3_suffix_dedup, op4_mixing, op5_licenses, op6_simhash, op7_token_files, op8_byte_bpe, op9_topk, op10_imatch,
                                    op11_periodic_runs, op12_lexical_search, op13_pii)}
 
-ORACLE_SQL: dict[str, str] = {"op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL, "op12_lexical_search": lexical.SEARCH_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": suffixes.DEDUP_SQL, "op5_licenses": licenses.SCAN_SQL, "op9_topk": topk.TOP_K_SQL, "op12_lexical_search": lexical.SEARCH_SQL}

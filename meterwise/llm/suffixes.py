@@ -440,3 +440,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", retur
 
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.mapInArrow(digest, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+
+
+#: The digests by counting the MD5 of every window of the bytes, written in hexadecimal (DuckDB).
+DEDUP_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS num, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT num, pos, md5_number(substr(h, 2 * pos + 1, {2 * LENGTH})) AS k FROM (SELECT num, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS pos FROM d)),
+again AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT num, pos, CASE WHEN pos - lag(pos) OVER (PARTITION BY num ORDER BY pos) <= {LENGTH} THEN 0 ELSE 1 END AS begins FROM w WHERE k IN (SELECT k FROM again)),
+runs AS (SELECT num, pos, sum(begins) OVER (PARTITION BY num ORDER BY pos) AS run FROM hit),
+cut AS (SELECT num, min(pos) AS lo, max(pos) + {LENGTH} AS hi FROM runs GROUP BY num, run),
+rest AS (SELECT num, lo, hi, coalesce(lag(hi) OVER (PARTITION BY num ORDER BY lo), 0) AS since FROM cut),
+part AS (SELECT num, lo, substr(h, 2 * since + 1, 2 * (lo - since)) AS piece FROM rest JOIN d USING (num)
+         UNION ALL SELECT num, len(h) AS lo, substr(h, 2 * coalesce(hi, 0) + 1) AS piece FROM d LEFT JOIN (SELECT num, max(hi) AS hi FROM cut GROUP BY num) USING (num)),
+kept AS (SELECT num, sha256(unhex(string_agg(piece, '' ORDER BY lo))) AS kept_sha256 FROM part GROUP BY num),
+sums AS (SELECT num, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM cut GROUP BY num)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256
+FROM d JOIN kept USING (num) LEFT JOIN sums USING (num)
+"""
