@@ -23,6 +23,8 @@ and rows without id take no part; only vectors of the query's length are its
 candidates; rows with the query's id are its own; a repeated id asks once, with
 its smallest vector, and each of its rows is a candidate; equal scores go to
 the smaller id; an empty table gives no rows; only the named columns are read.
+Scores are 64-bit integers: if the largest component could take one beyond
+that, an ArithmeticError is raised before any search.
 """
 
 from __future__ import annotations
@@ -153,7 +155,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     fine = F.forall(x, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
     rows = vectors.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & fine)
     rows = staged(rows.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda x: F.floor(x * 256)).alias("v")), "vectors")
-    n = rows.count()
+    largest = F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))
+    n, top, most = rows.agg(F.count("*"), F.max(largest), F.max(F.size("v"))).first()
+    if n and (top or 0.0) ** 2 * most >= 2.0 ** 63:
+        raise ArithmeticError(f"components up to {top / 256:g} in {most} dimensions: scores may exceed 64-bit integers")
     shards = max(1, math.ceil(math.sqrt(n) / 4), -(-n // SHARD_ROWS))
     rows = rows.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
     asked = rows.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("v").alias("v"))

@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from meterwise.llm import topk
 from meterwise.llm.common import table
 
@@ -38,6 +40,13 @@ def test_large_components_stay_exact(spark):
     assert sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    for big in (3e9, 1e300):
+        df = spark.createDataFrame([(i, [big, big]) for i in range(60)], "vec_id long, embedding array<double>")
+        with pytest.raises(ArithmeticError, match="64-bit"):
+            topk.top_k(df)
+
+
 def test_embeddings(spark):
     df = table(spark, "/root/testdata/sf0.01", "embeddings")
     assert sorted(tuple(r) for r in topk.top_k(df).collect()) == brute([(r.vec_id, r.embedding) for r in df.collect()])
