@@ -99,15 +99,14 @@ def _in_turn(parts: list[DataFrame], folder: str) -> None:
         p.coalesce(1).write.mode("append").parquet(folder)
 
 
-def q_stream_continuous(spark, sf):
-    """Continuous-mode features over irregular series with gaps.  Rows come shuffled: each is delayed by up to a day,
-    and every three days (of that time) are one micro-batch.  A heartbeat closes the stream."""
+def _shuffled_stream(rows: DataFrame, run: str) -> DataFrame:
+    """A stream of the rows, each delayed by up to a day: every three days (of that time) are one micro-batch, and a
+    heartbeat closes it."""
     from datetime import timedelta
 
-    from ..streaming import heartbeat, start_continuous
-    run = _run_dir(spark)
-    rows = gappy(spark, sf).select("timestamp", "value", "row_id", "sensor_id")
-    delay = F.pmod(F.xxhash64("row_id"), F.lit(86_400))
+    from ..streaming import heartbeat
+    spark = rows.sparkSession
+    delay = F.pmod(F.xxhash64("sensor_id", "timestamp", "row_id"), F.lit(86_400))
     part = F.floor((F.unix_timestamp(F.col("timestamp").cast("timestamp")) + delay) / (3 * 86_400))
     rows.withColumn("part", part).write.partitionBy("part").parquet(f"{run}/rows")
     dealt = spark.read.parquet(f"{run}/rows")
@@ -115,7 +114,14 @@ def q_stream_continuous(spark, sf):
     end = dealt.agg(F.max("timestamp")).first()[0]
     parts = [dealt.filter(F.col("part") == d).drop("part") for d in days]
     _in_turn([*parts, heartbeat(spark, end + timedelta(days=400))], f"{run}/input")
-    stream = spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+    return spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+
+
+def q_stream_continuous(spark, sf):
+    """Continuous-mode features over irregular series with gaps, from shuffled rows."""
+    from ..streaming import start_continuous
+    run = _run_dir(spark)
+    stream = _shuffled_stream(gappy(spark, sf).select("timestamp", "value", "row_id", "sensor_id"), run)
     q = start_continuous(stream, f"{run}/out", f"{run}/checkpoint", FULL.with_(min_points=10), watermark="25 hours", available_now=True)
     q.awaitTermination()
     six = lambda c: F.round(F.col(c) + F.lit(1e-9), 6).alias(c)
@@ -123,6 +129,20 @@ def q_stream_continuous(spark, sf):
         "sensor_id", "timestamp", "row_id", *map(six, ("value", "rolling_mean_24", "rolling_std_168", "rate_of_change", "value_scaled", "conf_statistical")), "late")
 
 
+def q_stream_detections(spark, sf):
+    """D1 and D5 in continuous mode: shuffled rows, scored with a model that the batch job has published."""
+    from ..operators.models import DetectionModels
+    from ..streaming import read_committed, start_continuous_detection
+    run = _run_dir(spark)
+    rows = hourly_by_type(spark, sf).select("timestamp", "value", "row_id", "sensor_id")
+    DetectionModels(spark, f"{run}/models").publish(series_frame(rows, FULL), FULL)
+    stream = _shuffled_stream(rows, run)
+    start_continuous_detection(stream, f"{run}/out", f"{run}/checkpoint", f"{run}/models", FULL.with_(min_points=10), watermark="25 hours",
+                               available_now=True).awaitTermination()
+    return read_committed(spark, f"{run}/out", "detections").select(
+        "sensor_id", "timestamp", "detector", F.round(F.col("confidence") + F.lit(1e-9), 6).alias("confidence"), "version")
+
+
 def q_stream_scaler_registry(spark, sf):
     """Two micro-batches in two runs of the stream, the second one after a restart.  A sensor is scaled by the model of its first batch;
     one sensor comes only in the second."""
@@ -163,6 +183,7 @@ ROWS_ONLY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_batch_isolated": q_stream_batch_isolated,
     "stream_continuous": q_stream_continuous,
     "stream_batch_alerts": q_stream_batch_alerts,
+    "stream_detections": q_stream_detections,
     "stream_scaler_registry": q_stream_scaler_registry,
     "stream_quarantine": q_stream_quarantine,
 }

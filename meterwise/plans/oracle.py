@@ -418,6 +418,10 @@ x AS (SELECT feat.*, CASE WHEN k = 10 THEN {scaled} END AS value_scaled FROM fea
 SELECT sensor_id, timestamp, row_id, {', '.join(f'{R(c)} AS {c}' for c in ('value', 'rolling_mean_24', 'rolling_std_168', 'rate_of_change', 'value_scaled'))},
        {R('CASE WHEN abs(value_scaled) > 3.0 THEN least(abs(value_scaled) / 3.0, 1.0) END')} AS conf_statistical, false AS late
 FROM x"""
+    out["stream_detections"] = f"""{pbase}
+SELECT sensor_id, timestamp, 'statistical' AS detector, {R('conf_statistical')} AS confidence, CAST(0 AS BIGINT) AS version FROM det WHERE conf_statistical IS NOT NULL
+UNION ALL
+SELECT sensor_id, timestamp, 'seasonal' AS detector, {R('conf_seasonal')} AS confidence, CAST(0 AS BIGINT) AS version FROM det WHERE conf_seasonal IS NOT NULL"""
     # each micro-batch is a series of its own; the batch number is part of the key
     keyed = HOURLY.replace("src AS", "src0 AS") + """,
 src AS (SELECT sensor_id || '#' || CASE WHEN sensor_id <> 'view' AND timestamp < TIMESTAMP '2024-01-16' THEN 0 ELSE 1 END AS sensor_id,

@@ -18,6 +18,12 @@ features, so that no row is lost silently.  Spark itself drops what is older
 than its own watermark; that one lies ``GRACE_DAYS`` further back.  Event times
 must therefore lie after 1980.
 
+Each row also brings the row half a period before it, whose centred trend it
+completes (``centre_*``), so that the seasonal detector needs no state of its own.
+``start_continuous_detection`` runs the statistical and the seasonal detector on
+every micro-batch with the newest version of a model table
+(``operators.models``) and publishes features and detections together.
+
 Rows of the sensor ``HEARTBEAT`` only advance the watermark.  One far behind
 the data closes the stream: everything that waits is given out, trailing gaps
 included, as in the batch job.
@@ -36,6 +42,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import ROLLING_WINDOWS, SCALED_FEATURES, DetectionConfig
+from ..operators.models import DetectionModels, detections
+from ..sources.commits import CommitLog
 
 RING = max(ROLLING_WINDOWS)
 SCALED = tuple(SCALED_FEATURES)
@@ -55,6 +63,11 @@ OUTPUT = T.StructType([
     T.StructField("value_scaled", T.DoubleType()),
     T.StructField("z", T.DoubleType()),
     T.StructField("conf_statistical", T.DoubleType()),
+    T.StructField("pos", T.LongType()),
+    T.StructField("centre_timestamp", T.TimestampNTZType()),
+    T.StructField("centre_row_id", T.LongType()),
+    T.StructField("centre_value", T.DoubleType()),
+    T.StructField("centre_trend", T.DoubleType()),
     T.StructField("late", T.BooleanType()),
 ])
 SERIES = T.StructType([
@@ -65,6 +78,9 @@ SERIES = T.StructType([
     T.StructField("last_us", T.LongType()),
     T.StructField("last_row", T.LongType()),
     T.StructField("last_value", T.DoubleType()),
+    T.StructField("count", T.LongType()),
+    T.StructField("half_us", T.ArrayType(T.LongType())),
+    T.StructField("half_row", T.ArrayType(T.LongType())),
 ])
 WAITING = T.StructType([
     T.StructField("us", T.LongType()),
@@ -102,6 +118,8 @@ class SeriesProcessor(StatefulProcessor):
     def __init__(self, cfg: DetectionConfig, grace_ms: int, gap_ms: int):
         self.min_points, self.z_threshold = max(cfg.min_points, 1), cfg.z_threshold
         self.grace_ms, self.gap_ms = grace_ms, gap_ms
+        self.period, self.half = cfg.period, cfg.half_period
+        self.ring_rows = max(RING, self.period + 1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -139,6 +157,8 @@ class SeriesProcessor(StatefulProcessor):
         out["timestamp"] = pd.to_datetime([r[0] for r in rows], unit="us")
         out["row_id"] = pd.array([None if r[1] == _NO_ROW else r[1] for r in rows], dtype="Int64")
         out["value"] = [np.nan if r[2] is None else r[2] for r in rows]
+        out["centre_timestamp"] = pd.Series(pd.NaT, index=range(len(rows)), dtype="datetime64[us]")
+        out["pos"] = out["centre_row_id"] = pd.array([None] * len(rows), dtype="Int64")
         return out
 
     def _give_out(self, sensor: str, state, held: list[tuple], spark_watermark_ms: int) -> Iterator[pd.DataFrame]:
@@ -147,6 +167,7 @@ class SeriesProcessor(StatefulProcessor):
         horizon = (spark_watermark_ms + self.grace_ms) * 1000 if spark_watermark_ms > 0 else -(1 << 62)
         due = bisect_left(held, horizon, key=lambda r: r[0])
         ring, means, scales, first = ([], None, None, []) if state is None else (list(state[0] or []), state[1], state[2], list(state[3] or []))
+        count, half_us, half_row = (0, [], []) if state is None else (state[7], list(state[8] or []), list(state[9] or []))
         known = [i for i in range(due) if held[i][2] is not None]
         cut = known[-1] + 1 if known else 0
         closed = cut < due and held[cut][0] + self.gap_ms * 1000 < horizon
@@ -163,16 +184,43 @@ class SeriesProcessor(StatefulProcessor):
                 frame.insert(0, "timestamp", pd.to_datetime([r[0] for r in places], unit="us"))
                 frame.insert(0, "sensor_id", sensor)
                 frame["late"] = False
-                ring = (ring + ready.tolist())[-RING:]
+                times, ids = half_us + [r[0] for r in places], half_row + [r[1] for r in places]
+                self._centres(frame, np.array(ring + ready.tolist()), times, ids, count)
+                ring = (ring + ready.tolist())[-self.ring_rows:]
+                count, half_us, half_row = count + len(ready), times[-self.half:], ids[-self.half:]
                 yield frame[[f.name for f in OUTPUT.fields]]
             us, row, value = rows[-1]
-            self.series.update((_nullable(ring), means, scales, _nullable(first), us, row, value))
+            self.series.update((_nullable(ring), means, scales, _nullable(first), us, row, value, count, half_us, half_row))
         if held:
             self.waiting.put(held)
         else:
             self.waiting.clear()
         self._wake(held, due - cut, spark_watermark_ms)
 
+    def _centres(self, frame: pd.DataFrame, values: np.ndarray, times: list[int], ids: list[int], count: int) -> None:
+        """Position of each row, and place, value and centred trend (as in ``features.centred_trend``) of the row half a period before it."""
+        n, h = len(frame), self.half
+        frame["pos"] = np.arange(count, count + n)
+        end = np.arange(len(values) - n, len(values))  # each new row within ``values``
+        start = end - 2 * h  # the first row of the trend's window
+        ok = start >= 0
+        trend, value = np.full(n, np.nan), np.full(n, np.nan)
+        lo, hi = start[ok], end[ok]
+        if self.period % 2 == 0:
+            inner = np.array([values[a + 1:b].sum() for a, b in zip(lo, hi)])
+            trend[ok] = (inner + 0.5 * values[lo] + 0.5 * values[hi]) / self.period
+        else:
+            trend[ok] = np.array([values[a:b + 1].sum() for a, b in zip(lo, hi)]) / self.period
+        value[ok] = values[hi - h]
+        at = np.arange(len(times) - n, len(times)) - h
+        some = ok & (at >= 0)
+        stamps = pd.Series(pd.NaT, index=range(n), dtype="datetime64[us]")
+        rows = pd.array([None] * n, dtype="Int64")
+        stamps[some] = pd.to_datetime([times[i] for i in at[some]], unit="us")
+        rows[some] = [None if ids[i] == _NO_ROW else ids[i] for i in at[some]]
+        frame["centre_timestamp"], frame["centre_row_id"] = stamps, rows
+        frame["centre_value"], frame["centre_trend"] = value, trend
+
     def _wake(self, held: list[tuple], gap: int, spark_watermark_ms: int) -> None:
         """One timer: when the next row is due, or the open gap (the first ``gap`` rows) is to be closed."""
         for t in list(self.handle.listTimers()):
@@ -251,3 +299,29 @@ def start_continuous(stream: DataFrame, out: str, checkpoint_location: str,
         w = w.trigger(availableNow=True)
     with rocksdb_state(stream.sparkSession):
         return w.start()
+
+
+def start_continuous_detection(stream: DataFrame, out: str, checkpoint_location: str, models: str, cfg: DetectionConfig | None = None,
+                               watermark: str = "2 hours", available_now: bool = False, gap_timeout: str = "365 days"):
+    """Features and detections of every micro-batch under ``<out>/features`` and ``<out>/detections``, published together
+    (``read_committed``).  The detections are those of the newest version of the model table ``models`` at that time."""
+    cfg = cfg or DetectionConfig(min_points=10)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        log = CommitLog(spark, out)
+        log.own(checkpoint_location)
+        if log.committed(batch_id):
+            return
+        batch.write.mode("overwrite").parquet(f"{out}/features/batch_id={batch_id}")
+        features = spark.read.schema(batch.schema).parquet(f"{out}/features/batch_id={batch_id}")
+        version, model = DetectionModels(spark, models).latest()
+        detections(features, model, cfg).write.mode("overwrite").parquet(f"{out}/detections/batch_id={batch_id}")
+        log.commit(batch_id, tables=["features", "detections"], model_version=version)
+
+    w = (continuous_features(stream, cfg, watermark, gap_timeout).writeStream.foreachBatch(process)
+         .option("checkpointLocation", checkpoint_location).outputMode("append"))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    with rocksdb_state(stream.sparkSession):
+        return w.start()

@@ -252,3 +252,54 @@ def test_kept_and_quarantined_messages_are_all_messages(spark):
     process(spark.createDataFrame(messages, "value string"), 0)  # a replay
     assert (read_committed(spark, out, "readings").count(), read_committed(spark, out, "quarantine").count()) == (24, 5)
     assert {r.reason for r in spoilt.collect()} == {"missing timestamp", "unparsable timestamp", "missing sensor"}
+
+
+# ------------------------------------------------------------------ detectors in continuous mode
+def _pairs(df):
+    return {(r.sensor_id, r.row_id, r.detector): r.confidence for r in df.collect()}
+
+
+def _batch_pairs(frame, cfg):
+    from meterwise.operators.seasonal import seasonal_detect
+    from meterwise.operators.statistical import statistical_detect
+    out = {}
+    for name, rows in (("statistical", statistical_detect(frame, cfg)), ("seasonal", seasonal_detect(frame, cfg))):
+        out |= {(r.sensor_id, r.row_id, name): r[f"conf_{name}"] for r in rows.filter(f"conf_{name} is not null").collect()}
+    return out
+
+
+@pytest.mark.parametrize("period", [24, 7])
+def test_continuous_detections_equal_the_batch_job(spark, period):
+    """IQR branch and seasonal detector under a fixed model; a sensor without a model gives none."""
+    from meterwise.operators.models import DetectionModels
+    from meterwise.streaming import start_continuous_detection
+    cfg = TWO.with_(period=period)
+    rnd, run = np.random.default_rng(period), tempfile.mkdtemp(prefix="mw-det-")
+    rows = [(datetime(2024, 1, 1) + timedelta(hours=i), None if rnd.random() < 0.1 else float(10 + np.sin(2 * np.pi * i / period) + rnd.exponential(0.5)), i, s)
+            for s in "ab" for i in range(300)]
+    frame = series_frame(spark.createDataFrame(rows, STREAM_SCHEMA), cfg)
+    DetectionModels(spark, f"{run}/models").publish(frame, cfg)
+    rows += [(datetime(2024, 1, 1) + timedelta(hours=i), float(i), i, "new") for i in range(60)]
+    order = sorted(rows, key=lambda r: r[0] + timedelta(hours=float(rnd.uniform(0, 6))))
+    for i, part in enumerate(np.array_split(np.arange(len(order)), 4)):
+        spark.createDataFrame([order[j] for j in part], STREAM_SCHEMA).coalesce(1).write.parquet(f"{run}/in/part{i}")
+        if i == 3:
+            heartbeat(spark, CLOSE).coalesce(1).write.parquet(f"{run}/in/part9")
+        if i in (1, 3):  # the second run is a restart
+            start_continuous_detection(_stream(spark, f"{run}/in"), f"{run}/out", f"{run}/ck", f"{run}/models", cfg, watermark="6 hours", available_now=True).awaitTermination()
+    got, want = _pairs(read_committed(spark, f"{run}/out", "detections")), _batch_pairs(frame, cfg)
+    assert {k for k in want if k[2] == "seasonal"} and {k for k in want if k[2] == "statistical"}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert read_committed(spark, f"{run}/out", "features").filter("not late").count() == frame.count() + 60
+
+
+def test_models_are_versioned(spark):
+    from meterwise.operators.models import DetectionModels, detections
+    models = DetectionModels(spark, tempfile.mkdtemp(prefix="mw-mod-") + "/m")
+    assert models.latest()[0] is None and models.latest()[1].count() == 0
+    from helpers import series
+    frames = [series_frame(series(spark, [float(k + i % 11) for i in range(100)], "s"), TWO) for k in (1, 5)]
+    assert [models.publish(f, TWO) for f in frames] == [0, 1]
+    version, newest = models.latest()
+    assert version == 1 and [r.version for r in newest.collect()] == [1]
+    assert models.read(0).first().mean != newest.first().mean
