@@ -273,6 +273,12 @@ def q_root_cause_summary(spark, sf):
     return a.select("sensor_id", "timestamp", "root_cause_summary")
 
 
+def q_root_cause_series_end(spark, sf):
+    """R3 with the temporal context counted back from the end of the series."""
+    a = detect_alerts(hourly_by_type(spark, sf), TWO.with_(temporal_anchor="series_end"))
+    return a.select("sensor_id", "timestamp", "root_cause_summary")
+
+
 def q_severity(spark, sf):
     a, _ = _alerts(spark, sf)
     return a.select("sensor_id", "timestamp", r6("confidence_score").alias("confidence_score"), "severity")
@@ -430,6 +436,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "domain_rules": q_domain_rules,
     "temporal_context": q_temporal_context,
     "root_cause_summary": q_root_cause_summary,
+    "root_cause_series_end": q_root_cause_series_end,
     "severity": q_severity,
     "attribution_top5": q_attribution_top5,
     "alert_routing": q_alert_routing,

@@ -346,6 +346,10 @@ SELECT sensor_id, timestamp, {rules_expr()} AS insights FROM alerts"""
 SELECT sensor_id, timestamp, {temporal_expr()} AS context FROM alerts"""
     out["root_cause_summary"] = f"""{pbase}
 SELECT alerts.sensor_id, timestamp, {summary_expr()} AS root_cause_summary FROM alerts JOIN top USING (sensor_id)"""
+    out["root_cause_series_end"] = f"""{pbase},
+ends AS (SELECT sensor_id, max(CASE WHEN pos = n - 24 THEN value END) AS end_24, max(CASE WHEN pos = n - 168 THEN value END) AS end_168 FROM feat GROUP BY 1)
+SELECT alerts.sensor_id, timestamp, {summary_expr().replace('lag_', 'end_')} AS root_cause_summary
+FROM alerts JOIN top USING (sensor_id) JOIN ends USING (sensor_id)"""
     out["severity"] = f"""{pbase}
 SELECT sensor_id, timestamp, {R('ensemble_confidence')} AS confidence_score, severity FROM alerts"""
     out["attribution_top5"] = f"""{pbase}
