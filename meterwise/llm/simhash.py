@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from meterwise.llm.common import batches_of, staged, text_of
+from meterwise.llm.common import batches_of, spare_name, staged, text_of
 from meterwise.llm.components import components
 
 BLOCK = 1 << 16
@@ -203,7 +203,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay when one document of each component is kept."""
     found = near_duplicates(docs, id_col, text_col, **options)
     stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key")))
-    stay = stay.select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("__text_key", F.xxhash64(text_col))
-    kept = keyed.join(stay, keyed[id_col].eqNullSafe(stay["_id"]) & (keyed["__text_key"] == stay["_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__text_key"]).select(*[kept[f"`{c}`"] for c in docs.columns])
+    key, own = spare_name(docs.columns, "text_key"), spare_name(docs.columns, "id_")
+    stay = stay.select(F.col(id_col).alias(f"{own}_"), F.col("text_key").alias(f"{key}_")).distinct()
+    keyed = docs.select("*", F.xxhash64(F.col(f"`{text_col}`")).alias(key))
+    kept = keyed.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}_")) & (F.col(key) == F.col(f"{key}_")), "left_semi")
+    return kept.dropDuplicates([id_col, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

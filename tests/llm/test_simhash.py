@@ -81,3 +81,11 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert simhash.one_of_each(frame(spark, [])).count() == 0
+
+
+def test_one_of_each_with_clashing_names(spark):
+    data = [(2, "a b c d e f", "x", 7, 8), (1, "a b c d e f", "y", 7, 8), (None, None, None, 7, 8), (3, "q r s t u v", "z", 7, 8)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, __text_key string, text_key int, id_ int")
+    left = simhash.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([data[1], data[2], data[3]], key=str)
