@@ -12,9 +12,9 @@ A text's terms within the lexicon are used, and where they are fewer than
 that changes by one term thus changes by one or two of its used terms, however
 many the lexicon holds of them.
 
-The used terms are hashed for several randomised, overlapping sub-lexicons
-(``FAMILIES``): four that leave out a quarter of the terms each, eight of an
-eighth, 128 of a 128th.  The large ones tell whether texts are
+The used terms are hashed for several randomised, overlapping sub-lexicons: four
+that leave out a quarter of the terms each, eight of an eighth (``FAMILIES``) and
+``FINE`` of a 128th.  The large ones tell whether texts are
 practically the same, the small ones how much of them is.  Every term falls in
 five, so every term used counts.  A text's sorted terms in a sub-lexicon are
 hashed to one value, with the number of the sub-lexicon in its upper bits; the
@@ -45,7 +45,9 @@ BAND = (0.005, 0.1)
 PART_BITS = 8
 FEW = 32
 #: (number of classes, whether a sub-lexicon holds one class or all but one): the terms' hashes are dealt into classes anew for each family.
-FAMILIES = ((4, False), (8, True), (128, True))
+FAMILIES = ((4, False), (8, True))
+#: Classes of the last family, each a sub-lexicon: few terms each, so that a sorted list of all terms is cut into them.
+FINE = 128
 TERM = r"[\p{L}\p{N}]+"
 
 
@@ -75,39 +77,51 @@ def used_terms(text: Column, kept: list[int]) -> Column:
     return F.transform(F.slice(ranked, F.lit(1), F.greatest(inside, F.lit(FEW))), lambda x: x["h"])
 
 
-def entries(used: Column) -> Column:
-    """For each used term and each sub-lexicon that it falls in: the term's hash under the number of the sub-lexicon; sorted."""
-    low = F.lit((1 << 64 - PART_BITS) - 1)
+_LOW = (1 << 64 - PART_BITS) - 1
 
-    def of(h: Column) -> Column:
-        out, first, shift = [], 0, 0
-        for classes, one in FAMILIES:
-            own = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(classes - 1))
-            shift += classes.bit_length()
-            for k in range(1 if one else classes - 1):
-                part = own if one else (own + 1 + k) % classes
-                out.append(h.bitwiseAND(low).bitwiseOR(F.shiftleft(part + first, 64 - PART_BITS)))
-            first += classes
-        return F.array(*out)
 
-    # Hashed again: the classes do not follow the hashes by which terms were chosen.
-    return F.array_sort(F.flatten(F.transform(used, lambda t: of(F.xxhash64(t)))))
+def _numbered(h: Column, number: int | Column) -> Column:
+    return h.bitwiseAND(F.lit(_LOW)).bitwiseOR(F.shiftleft(F.lit(number).cast("long") if isinstance(number, int) else number, 64 - PART_BITS))
+
+
+def coarse_values(hashes: Column) -> list[Column]:
+    """A value for each sub-lexicon of the families, null where it holds no term of ``hashes``."""
+
+    def held(shift: int, classes: int, k: int, one: bool) -> Column:
+        own = lambda h: F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(classes - 1))
+        return F.filter(hashes, lambda h: (own(h) == k) if one else (own(h) != k))
 
+    out, shift = [], 0
+    for classes, one in FAMILIES:
+        for k in range(classes):
+            terms_ = held(shift, classes, k, one)
+            out.append(F.when(F.size(terms_) > 0, _numbered(F.xxhash64(terms_), len(out))))
+        shift += classes.bit_length()
+    return out
 
-def values(u: Column) -> Column:
-    """One value for each sub-lexicon that ``u`` has terms of: its terms are written side by side, ';' between sub-lexicons."""
+
+def classed(hashes: Column) -> Column:
+    """The hashes under the numbers of their classes in the last family, sorted."""
+    shift, first = sum(c.bit_length() for c, _ in FAMILIES), sum(c for c, _ in FAMILIES)
+    return F.array_sort(F.transform(hashes, lambda h: _numbered(h, F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(FINE - 1)) + first)))
+
+
+def fine_values(u: Column) -> Column:
+    """One value for each class in ``u`` (a column: it is read again for each term): its terms are written side by side, ';' between classes."""
     border = lambda h, i: F.when(i == 0, "").when(part_of(h) == part_of(F.get(u, i - 1)), ",").otherwise(";")
     joined = F.array_join(F.transform(u, lambda h, i: F.concat(border(h, i), h.cast("string"))), "")
-    low = F.lit((1 << 64 - PART_BITS) - 1)
     number = lambda g: part_of(F.substring_index(g, ",", 1).cast("long"))
-    named = lambda g: F.xxhash64(g).bitwiseAND(low).bitwiseOR(F.shiftleft(number(g), 64 - PART_BITS))
-    return F.when(F.size(u) > 0, F.transform(F.split(joined, ";"), named)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.split(joined, ";"), lambda g: _numbered(F.xxhash64(g), number(g)))
 
 
 def with_fingerprint(df: DataFrame, text: Column, name: str, kept: list[int]) -> DataFrame:
     """``df`` with the column ``name``: struct(whole, parts).  ``whole`` hashes all terms used; ``parts`` are the values."""
-    df = df.withColumn("e", entries(used_terms(text, kept)))
-    return df.withColumn(name, F.struct(F.xxhash64("e").alias("whole"), values(F.col("e")).alias("parts"))).drop("e")
+    # Hashed again: the classes do not follow the hashes by which terms were chosen.
+    df = df.withColumn("e", F.array_sort(F.transform(used_terms(text, kept), lambda t: F.xxhash64(t))))
+    df = df.withColumn("u", classed(F.col("e")))
+    coarse = F.filter(F.array(*coarse_values(F.col("e"))), lambda v: v.isNotNull())
+    parts = F.when(F.size("e") > 0, F.concat(coarse, fine_values(F.col("u")))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(name, F.struct(F.xxhash64("e").alias("whole"), parts.alias("parts"))).drop("e", "u")
 
 
 def shown(fp: Column) -> Column:

@@ -94,16 +94,19 @@ def by_loops(texts):
     for t in texts:
         ranked = sorted(words[t], key=lambda h: (h not in lexicon, signed(h)))
         used = ranked[:max(imatch.FEW, len(words[t] & lexicon))]
-        groups = {}
-        for h in used:
-            g, first, shift = xx([h]), 0, 0
-            for classes, one in imatch.FAMILIES:
-                own = g >> shift & classes - 1
-                for k in range(classes):
-                    if one == (k == own):
-                        groups.setdefault(first + k, []).append(signed(g & (1 << 56) - 1 | (first + k) << 56))
-                first, shift = first + classes, shift + classes.bit_length()
-        out[t] = {k: xx(",".join(map(str, sorted(g)))) & (1 << 56) - 1 | k << 56 for k, g in groups.items()}
+        low, hashes, got, shift = (1 << 56) - 1, sorted((signed(xx([h])) for h in used)), {}, 0
+        for classes, one in imatch.FAMILIES:
+            for k in range(classes):
+                held = [g for g in hashes if one == ((g & (1 << 64) - 1) >> shift & classes - 1 == k)]
+                if held:
+                    got[k + (0 if not one else imatch.FAMILIES[0][0])] = xx(held)
+            shift += classes.bit_length()
+        first, fine = sum(c for c, _ in imatch.FAMILIES), {}
+        for g in hashes:
+            k = first + ((g & (1 << 64) - 1) >> shift & imatch.FINE - 1)
+            fine.setdefault(k, []).append(signed(g & low | k << 56))
+        got |= {k: xx(",".join(map(str, sorted(g)))) for k, g in fine.items()}
+        out[t] = {k: v & low | k << 56 for k, v in got.items()}
     return out
 
 
@@ -117,8 +120,8 @@ def test_fingerprints_equal_loops(spark):
     want = by_loops([t for _, t in given])
     got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
     for i, (d, t) in enumerate(given):
-        order = sorted(want[t].values(), key=signed)
-        assert got[d].fingerprint == (".".join(f"{v:x}" for v in order) or "-")
+        numbers = sorted(want[t], key=lambda k: (k >= 12, signed(want[t][k]) if k >= 12 else k))
+        assert got[d].fingerprint == (".".join(f"{want[t][k]:x}" for k in numbers) or "-")
         assert got[d].near_next == pytest.approx(alike(want[t], want[given[(i + 1) % len(given)][1]]))
 
 
