@@ -303,3 +303,23 @@ def test_models_are_versioned(spark):
     version, newest = models.latest()
     assert version == 1 and [r.version for r in newest.collect()] == [1]
     assert models.read(0).first().mean != newest.first().mean
+
+
+# ------------------------------------------------------------------ windows with a watermark
+def test_windowed_stats_of_a_stream_equal_the_batch(spark):
+    """Shuffled within the watermark, every window is given out once and whole; rows behind it are left out."""
+    from meterwise.operators.windowed import windowed_stats
+    from meterwise.streaming.continuous import HEARTBEAT
+    rnd, run = np.random.default_rng(9), tempfile.mkdtemp(prefix="mw-win-")
+    rows = [(datetime(2024, 1, 1) + timedelta(minutes=7 * i), None if rnd.random() < 0.1 else float(rnd.normal()), i, "ab"[i % 2]) for i in range(600)]
+    order = sorted(rows, key=lambda r: r[0] + timedelta(hours=float(rnd.uniform(0, 3))))
+    for i, part in enumerate(np.array_split(np.arange(len(order)), 5)):
+        spark.createDataFrame([order[j] for j in part], STREAM_SCHEMA).coalesce(1).write.parquet(f"{run}/in/part{i}")
+    heartbeat(spark, CLOSE).coalesce(1).write.parquet(f"{run}/in/part9")
+    out = windowed_stats(_stream(spark, f"{run}/in"), "1 hour", watermark="3 hours")
+    q = (out.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/ck").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    key = lambda df: sorted((r.sensor_id, str(r.window_start), r.n, None if r.mean is None else round(r.mean, 9), r.max) for r in df.collect())
+    got = spark.read.parquet(f"{run}/out").filter(F.col("sensor_id") != HEARTBEAT)
+    assert key(got) == key(windowed_stats(spark.createDataFrame(rows, STREAM_SCHEMA), "1 hour"))
