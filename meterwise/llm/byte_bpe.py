@@ -27,7 +27,6 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
-from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -40,8 +39,8 @@ from pyspark.sql import DataFrame, functions as F
 from meterwise.llm.common import FURTHER_SPACES, flat, gathered, portions, text_of, units
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
-MEMO_ENTRIES = 1 << 19
-BATCH_BYTES = 1 << 23
+MEMO_ENTRIES = 1 << 18
+BATCH_BYTES = 1 << 22
 KEYS_A_BUCKET = 4
 
 
@@ -91,11 +90,16 @@ class PerfectHash:
         return found[1] if found[0] == key else None
 
 
+_AFTER, _BEFORE = list(range(1, 65)), list(range(-1, 63))
+
+
 class Merges:
     """Merges the bytes of a piece: the neighbouring pair of lowest rank first, the leftmost of equal ones."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.of_byte = [ranks.get(bytes([b]), -1) for b in range(256)]
+        # Where the bytes' own ranks are the first 256, a piece is turned into them at once.
+        self.turned = bytes(self.of_byte) if all(0 <= r < 256 for r in self.of_byte) else None
         self.pairs: dict[int, int] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -106,9 +110,9 @@ class Merges:
     def merge(self, piece: bytes) -> list[int]:
         """The symbols form a doubly linked list; a heap gives the next pair, pairs that have changed since are skipped."""
         n, rank = len(piece), self.pairs.get
-        ids = [self.of_byte[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [r << 32 | i for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
+        ids = list(piece.translate(self.turned)) if self.turned else [self.of_byte[b] for b in piece]
+        heap = [r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank(a << 32 | b)) is not None]
+        after, before = (_AFTER[:n], _BEFORE[:n]) if n <= len(_AFTER) else (list(range(1, n + 1)), list(range(-1, n - 1)))
         heapify(heap)
         while heap:
             top = heappop(heap)
@@ -128,14 +132,6 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
-class Coded(NamedTuple):
-    """What is remembered of a unit: its ids, the same as decimal text with a comma before each, and the bytes they stand for."""
-
-    ids: tuple[int, ...]
-    listed: bytes
-    decoded: bytes
-
-
 class ByteBPE:
     """Encoder and decoder of one vocabulary of ranks."""
 
@@ -144,7 +140,8 @@ class ByteBPE:
         self.merges = Merges(ranks)
         self.pattern = regex.compile(pattern)
         self.vocab = {i: b for b, i in ranks.items()}
-        self.memo: dict[str, Coded] = {}
+        self.listed = {i: b",%d" % i for i in self.vocab}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
     def encode(self, text: str) -> list[int]:
         """Ids of any text; every match of the pattern by itself."""
@@ -161,12 +158,8 @@ class ByteBPE:
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
 
-    def coded(self, text: str) -> Coded:
-        ids = tuple(self.encode(text))
-        return Coded(ids, b"".join(b",%d" % i for i in ids), self.decode(ids))
-
-    def units_of(self, texts: pa.Array) -> tuple[list[Coded], np.ndarray, np.ndarray]:
-        """(different units, the unit at each place of the texts, each text's number of units).  Each different unit is
+    def units_of(self, texts: pa.Array) -> tuple[list[tuple[int, ...]], np.ndarray, np.ndarray]:
+        """(ids of the different units, the unit at each place of the texts, each text's number of units).  Each different unit is
         encoded once; a text with white space outside ASCII is a unit by itself."""
         odd = np.asarray(pc.match_substring_regex(texts, FURTHER_SPACES).cast(pa.uint8())).astype(bool)
         cut, n = units(pc.if_else(pa.array(odd), "", texts))
@@ -177,14 +170,14 @@ class ByteBPE:
         for u in words.dictionary.to_pylist():
             got = memo.get(u)
             if got is None:
-                got = memo[u] = self.coded(u)
+                got = memo[u] = tuple(self.encode(u))
             known.append(got)
         at = np.asarray(words.indices, np.int64)
         if odd.any():
             where = np.flatnonzero(odd)
             at = np.insert(at, (np.cumsum(n) - n)[where], len(known) + np.arange(len(where)))
             n[where] = 1
-            known += [self.coded(t) for t in texts.take(pa.array(where)).to_pylist()]
+            known += [tuple(self.encode(t)) for t in texts.take(pa.array(where)).to_pylist()]
         return known, at, n
 
 
@@ -225,18 +218,19 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             for lo, hi in portions(np.asarray(pc.binary_length(b.column(1)), np.int64), BATCH_BYTES):
                 known, at, n = bpe.units_of(b.column(1).slice(lo, hi - lo))
                 ends = np.concatenate([[0], np.cumsum(n)])
-                size = np.array([len(k.ids) for k in known], np.int64)
+                size = np.fromiter(map(len, known), np.int64, len(known))
                 upto = np.concatenate([[0], np.cumsum(size[at])])[ends]
-                back = _joined([k.decoded for k in known], at, ends)
+                back = _joined([bpe.decode(k) for k in known], at, ends)
                 if returns == "ids":
                     begin = np.cumsum(size) - size
-                    store = np.fromiter(flat(k.ids for k in known), np.int32, int(size.sum()))
+                    store = np.fromiter(flat(known), np.int32, int(size.sum()))
                     first = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(store[gathered(begin[at], (begin + size)[at])]))
                     second = back.cast(pa.binary())
                 else:
-                    first = pa.array([sha(memoryview(x.as_buffer())[1:]) for x in _joined([k.listed for k in known], at, ends)])
+                    first = pa.array([sha(memoryview(x.as_buffer())[1:]) for x in _joined([b"".join(map(bpe.listed.__getitem__, k)) for k in known], at, ends)])
                     second = pa.array([sha(x.as_buffer()) for x in back])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(upto)), first, second], names=["id", "n_tokens", "first", "second"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     kind = docs.schema[id_col].dataType.simpleString()
     a, b = ("array<int>", "binary") if returns == "ids" else ("string", "string")
