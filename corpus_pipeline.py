@@ -23,9 +23,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.one_of_each(docs)
 
 
+#: A passage of 50 words has 200 bytes or more, unless its words have less than three on average.
+PASSAGE_BYTES = 200
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut every byte of a repeated 400-byte string out of the texts; n_chars follows the text that is left."""
-    left = suffixes.dedup(docs, returns="rows")
+    """Cut every byte of a repeated string of PASSAGE_BYTES out of the texts; n_chars follows the text that is left."""
+    left = suffixes.dedup(docs, returns="rows", length=PASSAGE_BYTES)
     return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
