@@ -69,10 +69,14 @@ def part_of(h: Column) -> Column:
     return F.shiftrightunsigned(h, 64 - PART_BITS)
 
 
-def used_terms(text: Column, kept: list[int]) -> Column:
-    """The terms that make the fingerprint: those of the lexicon, and others of smallest hash if they are few."""
+def ranked_terms(text: Column, kept: list[int]) -> Column:
+    """(other, h) of the terms: those of the lexicon first, both kinds by hash."""
     known = (lambda t: t.isin(kept)) if kept else (lambda t: F.lit(False))
-    ranked = F.array_sort(F.transform(terms(text), lambda t: F.struct((~known(t)).alias("other"), t.alias("h"))))
+    return F.array_sort(F.transform(terms(text), lambda t: F.struct((~known(t)).alias("other"), t.alias("h"))))
+
+
+def used_terms(ranked: Column) -> Column:
+    """The terms that make the fingerprint: those of the lexicon, and others of smallest hash if they are few."""
     inside = F.size(F.filter(ranked, lambda x: ~x["other"]))
     return F.transform(F.slice(ranked, F.lit(1), F.greatest(inside, F.lit(FEW))), lambda x: x["h"])
 
@@ -116,12 +120,14 @@ def fine_values(u: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, text: Column, name: str, kept: list[int]) -> DataFrame:
     """``df`` with the column ``name``: struct(whole, parts).  ``whole`` hashes all terms used; ``parts`` are the values."""
+    # What is used more than once is a column of its own, so that it is computed once.
+    df = df.withColumn("r", ranked_terms(text, kept))
     # Hashed again: the classes do not follow the hashes by which terms were chosen.
-    df = df.withColumn("e", F.array_sort(F.transform(used_terms(text, kept), lambda t: F.xxhash64(t))))
+    df = df.withColumn("e", F.array_sort(F.transform(used_terms(F.col("r")), lambda t: F.xxhash64(t))))
     df = df.withColumn("u", classed(F.col("e")))
     coarse = F.filter(F.array(*coarse_values(F.col("e"))), lambda v: v.isNotNull())
     parts = F.when(F.size("e") > 0, F.concat(coarse, fine_values(F.col("u")))).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(name, F.struct(F.xxhash64("e").alias("whole"), parts.alias("parts"))).drop("e", "u")
+    return df.withColumn(name, F.struct(F.xxhash64("e").alias("whole"), parts.alias("parts"))).drop("r", "e", "u")
 
 
 def shown(fp: Column) -> Column:
