@@ -11,9 +11,8 @@ those that fail their check dropped.  The method adds spans:
 2. A candidate's features describe its format (digit groups, separators, check
    digit, octets, host labels) and its context (neighbouring characters and
    numbers, words before it).
-3. Per kind, boosted trees (logistic loss, histogram splits, numpy) are fitted on
-   a bounded sample (``sample_rows`` candidates in all, drawn by hash at one rate
-   from all candidates of the corpus).  Labels need no annotation: a candidate
+3. Per kind, boosted trees (logistic loss, histogram splits) are fitted on all
+   candidates of the corpus.  Labels need no annotation: a candidate
    that is a base span is positive; one that cuts across a base span, or is
    itself a dropped match, or lies in no match of a rule, is negative; parts of a
    dropped match have no label and are left to the model.  Every positive
@@ -27,8 +26,13 @@ those that fail their check dropped.  The method adds spans:
 5. Candidates over their threshold are added, best first, where they overlap
    neither a base span nor one added before.
 
-Two passes over the texts, no shuffle of texts; the model is a few thousand
-numbers, fitted in one task.
+Two passes over the texts, no shuffle of texts.  The candidates are counted by
+their features (exact quantiles cut these into ``BINS`` bins, after which equal
+ones are counted again); every level of every tree is one job over these counts,
+which adds up the histograms of its nodes for all kinds.  The sums are integers
+(2^-24 of a gradient), so that the trees do not depend on how rows lie in tasks;
+the scores are calibrated on counts of margins in steps of 1/1024.  The driver
+holds sums and the model, a few thousand numbers.
 
 Defined cases: null and empty texts have no spans; null ids and repeated rows
 are rows like others; an empty table, or a kind without positive candidates,
@@ -39,7 +43,6 @@ all), further columns may have any names.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -58,11 +61,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-SAMPLE_ROWS = 24_000
 ROUNDS = 60
 DEPTH = 3
 RATE = 0.2
 BINS = 32
+#: Steps of a gradient's and a margin's unit, and binned rows a task.
+GRADIENT_STEPS = 1 << 24
+MARGIN_STEPS = 1 << 10
+TASK_ROWS = 1 << 16
+MOST_TASKS = 64
 PRECISION = 0.99
 GROUPS = 6
 
@@ -293,7 +300,7 @@ def _examples(text: str, seed: int) -> Iterator[tuple[int, int, list[float]]]:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    """(kind, label, held_out, key, features) of all labelled candidates of the corpus; ``key`` draws the sample."""
+    """(kind, label, held_out, features) of all labelled candidates of the corpus."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,49 +309,89 @@ def training_rows(docs: DataFrame) -> DataFrame:
                 if text and _WORTH.search(text):
                     fold = zlib.crc32(str(doc_id).encode()) % 5 == 0
                     seed = zlib.crc32(text.encode())
-                    # Equal texts get equal keys for equal candidates: copies are drawn or left together.
-                    rows += [(k, y, fold, zlib.crc32(b"%d %d" % (seed, i)), f) for i, (k, y, f) in enumerate(_examples(text, seed))]
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["kind", "label", "held_out", "key", "features"])
+                    rows += [(k, y, fold, f) for k, y, f in _examples(text, seed)]
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["kind", "label", "held_out", "features"])
 
-    return docs.mapInArrow(run, "kind int, label int, held_out boolean, key long, features array<double>")
+    return docs.mapInArrow(run, "kind int, label int, held_out boolean, features array<double>")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """(rows, features): bin b holds the values up to edge b."""
+    return np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)], 1).astype(np.uint8)
+
+
+def _leaf_of(feature: list[int], cut: list[int], bins: np.ndarray) -> np.ndarray:
+    """Each row's node behind the levels that the inner nodes fill."""
+    node, base, feature, cut = np.zeros(len(bins), np.int64), 0, np.array(feature, np.int64), np.array(cut, np.int64)
+    while base < len(feature):
+        at = base + node
+        node, base = 2 * node + (bins[np.arange(len(bins)), feature[at]] > cut[at]), 2 * base + 1
+    return node
+
+
+def histograms(bins: np.ndarray, y: np.ndarray, rows: np.ndarray, state: dict) -> np.ndarray:
+    """(2, nodes, features, BINS): the steps of gradient and second derivative of the rows in each node of the open level."""
+    margin = np.full(len(y), state["bias"])
+    for feature, cut, leaf in state["trees"]:
+        margin += np.array(leaf)[_leaf_of(feature, cut, bins)]
+    p = _sigmoid(margin)
+    sums = [np.rint(v * GRADIENT_STEPS) * rows for v in (y - p, np.maximum(p * (1 - p), 1e-6))]
+    n = len(state["feature"]) + 1
+    node = _leaf_of(state["feature"], state["cut"], bins) * BINS
+    return np.array([[np.bincount(node + c, v, n * BINS).reshape(n, BINS) for c in bins.T] for v in sums]).astype(np.int64).transpose(0, 2, 1, 3)
+
+
+class Boosting:
+    """Boosted trees of full depth, one level at a time: ``take`` gets the histograms of ``state``'s open level."""
+
+    def __init__(self, edges: list[np.ndarray], share: float, depth: int = DEPTH, rate: float = RATE):
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.edges, self.depth, self.rate = edges, depth, rate
+        self.state = {"bias": float(np.log(share / (1 - share))), "trees": [], "feature": [], "cut": []}
+
+    def take(self, sums: np.ndarray) -> None:
+        g, h = (sums / GRADIENT_STEPS).cumsum(-1)
+        gt, ht = g[:, :, -1:], h[:, :, -1:]
+        gain = g * g / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt * gt / (ht + 1)
+        n, s = len(g), self.state
+        f_best, b_best, gain_best = np.zeros(n, np.int64), np.full(n, BINS, np.int64), np.zeros(n)  # bin BINS: all rows go left
+        for f, e in enumerate(self.edges):
+            gain[:, f, len(e):] = 0
+            at = gain[:, f].argmax(1)
+            better = gain[np.arange(n), f, at] > gain_best + 1e-9
+            gain_best[better], f_best[better], b_best[better] = gain[np.arange(n), f, at][better], f, at[better]
+        feature, cut = s["feature"] + f_best.tolist(), s["cut"] + b_best.tolist()
+        if len(feature) < (1 << self.depth) - 1:
+            self.state = s | {"feature": feature, "cut": cut}
+            return
+        at, last = np.arange(n), np.minimum(b_best, BINS - 1)
+        left = np.stack([g[at, f_best, last], h[at, f_best, last]])
+        both = np.stack([left, np.stack([gt[at, f_best, 0], ht[at, f_best, 0]]) - left], 2).reshape(2, -1)
+        leaf = self.rate * both[0] / (both[1] + 1)
+        self.state = s | {"trees": [*s["trees"], (feature, cut, leaf.tolist())], "feature": [], "cut": []}
+
+    def model(self) -> dict:
+        """Per tree the features and cuts of its inner nodes, level by level, and its leaves."""
+        value = lambda f, b: float(self.edges[f][b]) if b < len(self.edges[f]) else 1e300
+        return {"bias": self.state["bias"], "trees": [{"feature": feature, "cut": [value(f, b) for f, b in zip(feature, cut)], "leaf": leaf}
+                                                      for feature, cut, leaf in self.state["trees"]]}
+
+
+PROBS = np.linspace(0, 1, BINS + 1)[1:-1]
+
+
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE) -> dict:
-    """Boosted trees of full depth: per tree the features and cuts of its inner nodes, level by level, and its leaves."""
-    edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-    binned = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T)])  # bin b: value <= edge b
-    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
-    model = {"bias": float(np.log(share / (1 - share))), "trees": []}
-    margin = np.full(len(y), model["bias"])
-    for _ in range(rounds):
-        p = _sigmoid(margin)
-        grad, hess = y - p, np.maximum(p * (1 - p), 1e-6)
-        node, feature, cut = np.zeros(len(y), np.int64), [], []
-        for level in range(depth):
-            n = 1 << level
-            gain_best = np.zeros(n)
-            f_best, b_best = np.zeros(n, np.int64), np.full(n, BINS, np.int64)  # bin BINS: all rows go left
-            for f, col in enumerate(binned):
-                g = np.bincount(node * BINS + col, grad, n * BINS).reshape(n, BINS).cumsum(1)
-                h = np.bincount(node * BINS + col, hess, n * BINS).reshape(n, BINS).cumsum(1)
-                gt, ht = g[:, -1:], h[:, -1:]
-                gain = g * g / (h + 1) + (gt - g) ** 2 / (ht - h + 1) - gt * gt / (ht + 1)
-                gain[:, len(edges[f]):] = 0
-                at = gain.argmax(1)
-                better = gain[np.arange(n), at] > gain_best + 1e-9
-                gain_best[better], f_best[better], b_best[better] = gain[np.arange(n), at][better], f, at[better]
-            feature += f_best.tolist()
-            cut += [float(edges[f][b]) if b < len(edges[f]) else 1e300 for f, b in zip(f_best, b_best)]
-            node = 2 * node + (binned[f_best[node], np.arange(len(y))] > b_best[node])
-        leaf = rate * np.bincount(node, grad, 1 << depth) / (np.bincount(node, hess, 1 << depth) + 1)
-        margin += leaf[node]
-        model["trees"].append({"feature": feature, "cut": cut, "leaf": leaf.tolist()})
-    return model
+    """The trees of rows at hand."""
+    grown = Boosting([np.unique(np.quantile(c, PROBS)) for c in x.T], float(y.mean()), depth, rate)
+    bins = binned(x, grown.edges)
+    for _ in range(rounds * depth):
+        grown.take(histograms(bins, y, np.ones(len(y)), grown.state))
+    return grown.model()
 
 
 def margins(model: dict, x: np.ndarray) -> np.ndarray:
@@ -359,21 +406,23 @@ def margins(model: dict, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> tuple[float, float, float]:
+def calibrate(margin: np.ndarray, y: np.ndarray, precision: float, rows: np.ndarray | None = None) -> tuple[float, float, float]:
     """(slope, offset, threshold): a logistic curve by Newton steps; the rows over the threshold have the precision, which
-    lies half way between the least score that has it and the next."""
+    lies half way between the least score that has it and the next.  ``rows``: how often each margin and label occurs."""
     a, b = 1.0, 0.0
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    rows = np.ones(len(y)) if rows is None else rows
+    positive, negative = (rows * y).sum(), (rows * (1 - y)).sum()
+    target = np.where(y == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
     for _ in range(25):
         p = _sigmoid(a * margin + b)
-        w, r = np.maximum(p * (1 - p), 1e-9), target - p
+        w, r = rows * np.maximum(p * (1 - p), 1e-9), rows * (target - p)
         hess = np.array([[(w * margin * margin).sum() + 1e-3, (w * margin).sum()], [(w * margin).sum(), w.sum() + 1e-3]])
         step = np.linalg.solve(hess, np.array([(r * margin).sum(), r.sum()]))
         a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
     a = max(a, 1e-3)
     score = _sigmoid(a * margin + b)
     order = np.argsort(-score, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+    right = np.cumsum((rows * y)[order]) / np.cumsum(rows[order])
     last = np.append(score[order][1:] != score[order][:-1], True)
     good = np.flatnonzero((right >= precision) & last)
     if not len(good):
@@ -382,47 +431,108 @@ def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> tuple[floa
     return a, b, max(0.5, float(score[order][good[-1]] + after) / 2)
 
 
-def fit_rows(kind: np.ndarray, label: np.ndarray, held_out: np.ndarray, features_: list, precision: float) -> dict:
-    """The model by kind; a kind with fewer than 5 positive or negative rows to fit or calibrate on has none."""
-    models = {}
-    for k in range(len(KINDS)):
-        at = np.flatnonzero(kind == k)
-        if not len(at):
-            continue
-        x, y, out = np.array([features_[i] for i in at]), label[at].astype(float), held_out[at]
-        if min(y[~out].sum(), (1 - y[~out]).sum(), y[out].sum(), (1 - y[out]).sum()) < 5:
-            continue
-        model = boost(x[~out], y[~out])
-        margin = margins(model, x[out])
-        a, b, threshold = calibrate(margin, y[out], precision)
-        chosen = _sigmoid(a * margin + b) >= threshold
-        models[str(k)] = model | {"slope": a, "offset": b, "threshold": threshold, "rows": len(at),
-                                  "held_out_precision": float(y[out][chosen].mean()) if chosen.any() else None,
-                                  "held_out_recall": float(chosen[y[out] == 1].mean())}
-    return models
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, precision: float = PRECISION) -> dict:
-    """Boosted trees, calibration and threshold by kind.  At most about ``sample_rows`` candidates are drawn for each kind and label."""
-    rows = staged(training_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))), "pii-candidates")
-    counts = rows.groupBy("kind", "label").count().collect()  # at most eight rows
-    per = max(1, sample_rows // (2 * len(KINDS)))
-    rate = F.lit(1.0)
-    for r in counts:
-        rate = F.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), min(1.0, per / r["count"])).otherwise(rate)
-    sample = rows.filter(F.col("key") < rate * F.lit(float(1 << 32)))
+def _stepped(margin: np.ndarray) -> np.ndarray:
+    """Margins in whole steps; beyond 40 a score does not change."""
+    return np.rint(np.clip(margin, -40, 40) * MARGIN_STEPS)
+
+
+def score_of(model: dict, margin: np.ndarray) -> np.ndarray:
+    return _sigmoid(model["slope"] * _stepped(margin) / MARGIN_STEPS + model["offset"])
+
+
+def _counted_bins(rows: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
+    """(kind, label, held_out, bins, n): the counted candidates by the bins of their features, a byte each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
-            model = fit_rows(np.asarray(t["kind"]), np.asarray(t["label"]), np.asarray(t["held_out"]), t["features"].to_pylist(), precision)
-            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], names=["model"])
+        for b in batches:
+            kind, lists, bins = np.asarray(b["kind"]), b["features"], np.empty(b.num_rows, object)
+            for k in edges:
+                at = np.flatnonzero(kind == k)
+                if len(at):
+                    x = np.asarray(lists.take(pa.array(at)).flatten()).reshape(len(at), -1)
+                    for i, r in zip(at, binned(x, edges[k])):
+                        bins[i] = r.tobytes()
+            yield pa.RecordBatch.from_arrays([b["kind"], b["label"], b["held_out"], pa.array(bins, pa.binary()), b["n"]], names=["kind", "label", "held_out", "bins", "n"])
+
+    some = rows.filter(F.col("kind").isin(list(edges)))
+    return some.mapInArrow(run, "kind int, label int, held_out boolean, bins binary, n long").groupBy("kind", "label", "held_out", "bins").agg(F.sum("n").alias("n"))
+
 
-    # One task: its rows are bounded by ``sample_rows``.  Sorted, so that a rerun fits the same trees.
-    one = sample.repartition(1).sortWithinPartitions("kind", "label", "key", "features").select("kind", "label", "held_out", "features")
-    got = one.mapInArrow(run, "model string").collect()
-    return json.loads(got[0]["model"]) if got else {}
+def _by_kind(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, bins, labels, numbers) of a task's counted rows, one Arrow batch after the other."""
+    for b in batches:
+        kind = np.asarray(b["kind"])
+        for k in np.unique(kind).tolist():
+            at = pa.array(np.flatnonzero(kind == k))
+            raw = b"".join(b["bins"].take(at).to_pylist())
+            yield k, np.frombuffer(raw, np.uint8).reshape(len(at), -1), np.asarray(b["label"].take(at)).astype(float), np.asarray(b["n"].take(at)).astype(float)
+
+
+def _summed(rows: DataFrame, states: dict[int, dict]) -> dict[int, np.ndarray]:
+    """The histograms of every kind's open level over all rows: integer sums, one array a task and kind."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}
+        for k, bins, y, n in _by_kind(batches):
+            sums[k] = sums.get(k, 0) + histograms(bins, y, n, states[k])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["kind", "sums"])
+
+    out = {}
+    for r in rows.mapInArrow(run, "kind int, sums binary").collect():  # at most MOST_TASKS of them a kind
+        out[r["kind"]] = out.get(r["kind"], 0) + np.frombuffer(r["sums"], np.int64)
+    return {k: v.reshape(2, len(states[k]["feature"]) + 1, -1, BINS) for k, v in out.items()}
+
+
+def _margin_counts(rows: DataFrame, models: dict[int, dict], edges: dict[int, list[np.ndarray]]) -> DataFrame:
+    """(kind, label, step, n): how often each margin occurs."""
+    states = {k: [([*t["feature"]], [int(np.searchsorted(edges[k][f], c)) if c < 1e300 else BINS for f, c in zip(t["feature"], t["cut"])], t["leaf"])
+                  for t in m["trees"]] for k, m in models.items()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, bins, y, n in _by_kind(batches):
+            margin = np.full(len(y), models[k]["bias"])
+            for feature, cut, leaf in states[k]:
+                margin += np.array(leaf)[_leaf_of(feature, cut, bins)]
+            step = _stepped(margin).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), k, np.int32)), pa.array(y.astype(np.int32)), pa.array(step), pa.array(n.astype(np.int64))],
+                                             names=["kind", "label", "step", "n"])
+
+    return rows.mapInArrow(run, "kind int, label int, step long, n long").groupBy("kind", "label", "step").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = PRECISION, rounds: int = ROUNDS) -> dict:
+    """Boosted trees, calibration and threshold by kind, from all candidates.  A kind with fewer than 5 positive or negative rows
+    to fit or calibrate on has none."""
+    found = training_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    counted = staged(found.groupBy("kind", "label", "held_out", "features").agg(F.count(F.lit(1)).alias("n")), "pii-candidates")
+    total = {(r["kind"], r["label"], r["held_out"]): r["n"] for r in counted.groupBy("kind", "label", "held_out").agg(F.sum("n").alias("n")).collect()}  # at most 16
+    kinds = [k for k in range(len(KINDS)) if min(total.get((k, y, out), 0) for y in (0, 1) for out in (False, True)) >= 5]
+    if not kinds:
+        return {}
+    wide = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.max(F.size("features")).alias("n")).collect()}
+    probs = F.array(*map(F.lit, PROBS.tolist()))
+    cuts = [F.percentile(F.get("features", F.lit(i)), probs, F.col("n")).alias(f"f{i}") for i in range(max(wide.values()))]
+    edges = {r["kind"]: [np.unique(r[f"f{i}"]) for i in range(wide[r["kind"]])]
+             for r in counted.filter(F.col("kind").isin(kinds) & ~F.col("held_out")).groupBy("kind").agg(*cuts).collect()}
+    bins = staged(_counted_bins(counted, edges), "pii-bins")
+    tasks = min(-(-bins.count() // TASK_ROWS), MOST_TASKS)  # a task may read any number of rows
+    to_fit, held_out = (bins.filter(c).coalesce(tasks) for c in (~F.col("held_out"), F.col("held_out")))
+    grown = {k: Boosting(edges[k], total[k, 1, False] / (total[k, 0, False] + total[k, 1, False])) for k in kinds}
+    for _ in range(rounds * DEPTH):  # one job a level, for all kinds
+        for k, sums in _summed(to_fit, {k: g.state for k, g in grown.items()}).items():
+            grown[k].take(sums)
+    models = {k: g.model() for k, g in grown.items()}
+    # At most 81,921 steps a kind and label.
+    margins_ = _margin_counts(held_out, models, edges).orderBy("kind", "step", "label").toPandas()
+    out = {}
+    for k, at in margins_.groupby("kind"):
+        margin, y, n = at["step"].to_numpy() / MARGIN_STEPS, at["label"].to_numpy().astype(float), at["n"].to_numpy().astype(float)
+        a, b, threshold = calibrate(margin, y, precision, n)
+        chosen = _sigmoid(a * margin + b) >= threshold
+        out[str(k)] = models[k] | {"slope": a, "offset": b, "threshold": threshold, "rows": sum(total[k, y_, o] for y_ in (0, 1) for o in (False, True)),
+                                   "held_out_precision": float((n * y)[chosen].sum() / n[chosen].sum()) if chosen.any() else None,
+                                   "held_out_recall": float((n * y)[chosen].sum() / (n * y).sum())}
+    return out
 
 
 def added_spans(base: Spans, proposed: list[tuple[float, int, int, int]]) -> list[tuple[int, int, int]]:
@@ -451,7 +561,7 @@ def all_spans(texts: list[str | None], model: dict) -> tuple[list, list]:
     for k, (at, x) in rows.items():
         if at:
             m = model[str(k)]
-            score = _sigmoid(m["slope"] * margins(m, np.array(x)) + m["offset"])
+            score = score_of(m, margins(m, np.array(x)))
             for (i, s, e), p in zip(at, score.tolist()):
                 if p >= m["threshold"]:
                     proposed.setdefault(i, []).append((p, k, s, e))

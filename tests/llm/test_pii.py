@@ -124,3 +124,17 @@ def test_empty_table_and_no_positives(spark):
     plain = spark.createDataFrame([(1, "no 123456789 data")], SCHEMA)
     assert pii.fit(plain) == {}
     assert pii.find(plain, {}).first()["spans"] == []
+
+
+def test_every_candidate_counts(spark, tmp_path):
+    """The trees are those of all candidates together: a corpus of copies gives the trees of plain boosting on every row, and the rows add up."""
+    docs = spark.createDataFrame([(i, f"call +1 (509) 555-{6000 + i % 90} or write to joe{i % 7}@mail.example.org, order {1234567 + i}") for i in range(900)], SCHEMA)
+    rows = pii.training_rows(docs.select(docs.doc_id.alias("id"), "text")).toPandas()
+    got = pii.fit(docs.repartition(5), rounds=2)
+    assert {k: m["rows"] for k, m in got.items()} == {str(k): n for k, n in rows.groupby("kind").size().items() if str(k) in got} and len(got) == 2
+    for k, m in got.items():
+        mine = rows[(rows["kind"] == int(k)) & ~rows["held_out"]]
+        whole = pii.boost(np.array(mine["features"].tolist()), mine["label"].to_numpy(float), rounds=2)
+        x = np.array(rows[rows["kind"] == int(k)]["features"].tolist())
+        assert np.abs(pii.margins(m, x) - pii.margins(whole, x)).max() < 1e-5
+    assert pii.fit(docs.repartition(2), rounds=2) == got
