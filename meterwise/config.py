@@ -142,8 +142,8 @@ class DetectionConfig:
     # physical layout.  A series is never one task: rows are ordered inside
     # time chunks of about ``chunk_rows`` rows and processed in position
     # blocks of ``block_rows`` rows with a halo of neighbouring rows.
-    chunk_rows: int = 1_000_000
-    block_rows: int = 1_000_000
+    chunk_rows: int = 1 << 17
+    block_rows: int = 1 << 17
     # fixed processing time for reproducible output (None -> current time)
     processing_time: str | None = None
     routes: Routes = field(default_factory=Routes)
