@@ -31,7 +31,6 @@ included, as in the batch job.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 from contextlib import contextmanager
 from datetime import datetime
@@ -82,11 +81,11 @@ SERIES = T.StructType([
     T.StructField("half_us", T.ArrayType(T.LongType())),
     T.StructField("half_row", T.ArrayType(T.LongType())),
 ])
-WAITING = T.StructType([
-    T.StructField("us", T.LongType()),
-    T.StructField("row", T.LongType()),
-    T.StructField("value", T.DoubleType()),
-])
+#: Waiting rows are kept as the bytes of ``HELD`` records, ``HELD_ROWS`` a list element: the state server is asked once for
+#: many rows, not for each.  A missing value is NaN.
+WAITING = T.StructType([T.StructField("rows", T.BinaryType())])
+HELD = np.dtype([("us", "<i8"), ("row", "<i8"), ("value", "<f8")])
+HELD_ROWS = 1 << 13
 
 
 def _features(values: np.ndarray, n_new: int) -> pd.DataFrame:
@@ -103,9 +102,33 @@ def _features(values: np.ndarray, n_new: int) -> pd.DataFrame:
     return f.iloc[len(values) - n_new:].reset_index(drop=True)
 
 
-def _place(row: tuple) -> tuple:
+def _order(rows: np.ndarray) -> np.ndarray:
     """The order of the rows of a sensor: timestamp, row_id, value, missing ones first."""
-    return row[0], row[1], -np.inf if row[2] is None else row[2]
+    return np.lexsort((_rank(rows["value"]), rows["row"], rows["us"]))
+
+
+def _rank(value: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(value), -np.inf, value)
+
+
+def _before(rows: np.ndarray, last: tuple) -> np.ndarray:
+    """Whether each row is in front of the place (timestamp, row_id, value)."""
+    us, row, value = last
+    value = -np.inf if value is None or value != value else value
+    return (rows["us"] < us) | (rows["us"] == us) & ((rows["row"] < row) | (rows["row"] == row) & (_rank(rows["value"]) < value))
+
+
+def _row_ids(rows: np.ndarray) -> pd.arrays.IntegerArray:
+    return pd.arrays.IntegerArray(rows.astype(np.int64), rows == _NO_ROW)
+
+
+def _held(pdf: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(pdf), HELD)
+    out["us"] = pdf["timestamp"].astype("datetime64[us]").astype("int64")
+    # One missing id makes pandas read all as doubles, unless the column is of its own integer type.
+    out["row"] = pd.to_numeric(pdf["row_id"]).astype("Int64").fillna(_NO_ROW).astype("int64")
+    out["value"] = pdf["value"].astype(float)
+    return out
 
 
 def _nullable(xs) -> list:
@@ -129,75 +152,78 @@ class SeriesProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         sensor = key[0]
         state = self.series.get() if self.series.exists() else None
-        last = _place(tuple(state[4:7])) if state is not None and state[4] is not None else None
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        last = tuple(state[4:7]) if state is not None and state[4] is not None else None
+        held = self._waiting_rows()
         for pdf in rows:
             if sensor == HEARTBEAT:
                 continue
-            us = pdf["timestamp"].astype("datetime64[us]").astype("int64").tolist()
-            ids = [_NO_ROW if r is None or r != r else int(r) for r in pdf["row_id"].tolist()]
-            new = list(zip(us, ids, _nullable(pdf["value"].tolist())))
-            late = [r for r in new if last is not None and _place(r) < last]
-            if late:
-                yield self._late(sensor, late)
-            held += [r for r in new if last is None or _place(r) >= last]
+            new = _held(pdf)
+            late = _before(new, last) if last is not None else np.zeros(len(new), bool)
+            if late.any():
+                yield self._late(sensor, new[late])
+            held.append(new[~late])
         yield from self._give_out(sensor, state, held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = self.series.get() if self.series.exists() else None
-        held = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        yield from self._give_out(key[0], state, held, timerValues.getCurrentWatermarkInMs())
+        yield from self._give_out(key[0], state, self._waiting_rows(), timerValues.getCurrentWatermarkInMs())
+
+    def _waiting_rows(self) -> list[np.ndarray]:
+        return [np.frombuffer(r[0], HELD) for r in self.waiting.get()] if self.waiting.exists() else []
 
     def close(self) -> None:
         pass
 
-    def _late(self, sensor: str, rows: list[tuple]) -> pd.DataFrame:
+    def _late(self, sensor: str, rows: np.ndarray) -> pd.DataFrame:
         out = pd.DataFrame({f.name: pd.Series([None] * len(rows), dtype="float64") for f in OUTPUT.fields})
         out["sensor_id"], out["late"] = sensor, True
-        out["timestamp"] = pd.to_datetime([r[0] for r in rows], unit="us")
-        out["row_id"] = pd.array([None if r[1] == _NO_ROW else r[1] for r in rows], dtype="Int64")
-        out["value"] = [np.nan if r[2] is None else r[2] for r in rows]
+        out["timestamp"] = rows["us"].astype("datetime64[us]")
+        out["row_id"] = _row_ids(rows["row"])
+        out["value"] = rows["value"]
         out["centre_timestamp"] = pd.Series(pd.NaT, index=range(len(rows)), dtype="datetime64[us]")
         out["pos"] = out["centre_row_id"] = pd.array([None] * len(rows), dtype="Int64")
         return out
 
-    def _give_out(self, sensor: str, state, held: list[tuple], spark_watermark_ms: int) -> Iterator[pd.DataFrame]:
-        held.sort(key=_place)
+    def _give_out(self, sensor: str, state, held: list[np.ndarray], spark_watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = np.concatenate([np.empty(0, HELD), *held])
+        held = held[_order(held)]
         # 0: no watermark yet
         horizon = (spark_watermark_ms + self.grace_ms) * 1000 if spark_watermark_ms > 0 else -(1 << 62)
-        due = bisect_left(held, horizon, key=lambda r: r[0])
+        due = int(np.searchsorted(held["us"], horizon, "left"))
         ring, means, scales, first = ([], None, None, []) if state is None else (list(state[0] or []), state[1], state[2], list(state[3] or []))
         count, half_us, half_row = (0, [], []) if state is None else (state[7], list(state[8] or []), list(state[9] or []))
-        known = [i for i in range(due) if held[i][2] is not None]
-        cut = known[-1] + 1 if known else 0
-        closed = cut < due and held[cut][0] + self.gap_ms * 1000 < horizon
-        if closed or (not ring and not known):  # a leading gap has no value to go on from
+        known = np.flatnonzero(~np.isnan(held["value"][:due]))
+        cut = int(known[-1]) + 1 if len(known) else 0
+        closed = cut < due and int(held["us"][cut]) + self.gap_ms * 1000 < horizon
+        if closed or (not ring and not len(known)):  # a leading gap has no value to go on from
             cut = due
         rows, held = held[:cut], held[cut:]
-        if rows:
-            filled = pd.Series([*ring[-1:], *[r[2] for r in rows]], dtype=float).interpolate("linear", limit_area="inside").ffill().iloc[len(ring[-1:]):]
+        if len(rows):
+            before = np.array(ring, dtype=float)
+            filled = pd.Series(np.concatenate([before[-1:], rows["value"]])).interpolate("linear", limit_area="inside").ffill().iloc[len(ring[-1:]):]
             whole = filled.notna().to_numpy()  # leading gaps stay missing: dropped as in the batch job
-            ready, places = filled[whole].to_numpy(), [r for r, ok in zip(rows, whole) if ok]
+            ready, places = filled[whole].to_numpy(), rows[whole]
             if len(ready):
-                frame, means, scales, first = self._scaled(_features(np.array(ring + ready.tolist()), len(ready)), means, scales, first)
-                frame.insert(0, "row_id", pd.array([None if r[1] == _NO_ROW else r[1] for r in places], dtype="Int64"))
-                frame.insert(0, "timestamp", pd.to_datetime([r[0] for r in places], unit="us"))
+                values = np.concatenate([before, ready])
+                frame, means, scales, first = self._scaled(_features(values, len(ready)), means, scales, first)
+                frame.insert(0, "row_id", _row_ids(places["row"]))
+                frame.insert(0, "timestamp", places["us"].astype("datetime64[us]"))
                 frame.insert(0, "sensor_id", sensor)
                 frame["late"] = False
-                times, ids = half_us + [r[0] for r in places], half_row + [r[1] for r in places]
-                self._centres(frame, np.array(ring + ready.tolist()), times, ids, count)
-                ring = (ring + ready.tolist())[-self.ring_rows:]
-                count, half_us, half_row = count + len(ready), times[-self.half:], ids[-self.half:]
+                times, ids = (np.concatenate([np.array(a, np.int64), b]) for a, b in ((half_us, places["us"]), (half_row, places["row"])))
+                self._centres(frame, values, times, ids, count)
+                ring = values[-self.ring_rows:].tolist()
+                count, half_us, half_row = count + len(ready), times[-self.half:].tolist(), ids[-self.half:].tolist()
                 yield frame[[f.name for f in OUTPUT.fields]]
-            us, row, value = rows[-1]
-            self.series.update((_nullable(ring), means, scales, _nullable(first), us, row, value, count, half_us, half_row))
-        if held:
-            self.waiting.put(held)
+            us, row, value = rows[-1].item()
+            self.series.update((_nullable(ring), means, scales, _nullable(first), us, row, None if value != value else value, count, half_us, half_row))
+        if len(held):
+            self.waiting.put([(held[i:i + HELD_ROWS].tobytes(),) for i in range(0, len(held), HELD_ROWS)])
         else:
             self.waiting.clear()
-        self._wake(held, due - cut, spark_watermark_ms)
+        self._wake(held["us"], due - cut, spark_watermark_ms)
 
-    def _centres(self, frame: pd.DataFrame, values: np.ndarray, times: list[int], ids: list[int], count: int) -> None:
+    def _centres(self, frame: pd.DataFrame, values: np.ndarray, times: np.ndarray, ids: np.ndarray, count: int) -> None:
         """Position of each row, and place, value and centred trend (as in ``features.centred_trend``) of the row half a period before it."""
         n, h = len(frame), self.half
         frame["pos"] = np.arange(count, count + n)
@@ -206,27 +232,26 @@ class SeriesProcessor(StatefulProcessor):
         ok = start >= 0
         trend, value = np.full(n, np.nan), np.full(n, np.nan)
         lo, hi = start[ok], end[ok]
-        if self.period % 2 == 0:
-            inner = np.array([values[a + 1:b].sum() for a, b in zip(lo, hi)])
-            trend[ok] = (inner + 0.5 * values[lo] + 0.5 * values[hi]) / self.period
-        else:
-            trend[ok] = np.array([values[a:b + 1].sum() for a, b in zip(lo, hi)]) / self.period
+        if len(lo):
+            even = self.period % 2 == 0
+            inner = np.lib.stride_tricks.sliding_window_view(values, 2 * h - 1 if even else 2 * h + 1)
+            first = lo + 1 if even else lo
+            sums = np.concatenate([inner[first[i:i + HELD_ROWS]].sum(axis=1) for i in range(0, len(first), HELD_ROWS)])
+            trend[ok] = (sums + 0.5 * values[lo] + 0.5 * values[hi] if even else sums) / self.period
         value[ok] = values[hi - h]
         at = np.arange(len(times) - n, len(times)) - h
         some = ok & (at >= 0)
-        stamps = pd.Series(pd.NaT, index=range(n), dtype="datetime64[us]")
-        rows = pd.array([None] * n, dtype="Int64")
-        stamps[some] = pd.to_datetime([times[i] for i in at[some]], unit="us")
-        rows[some] = [None if ids[i] == _NO_ROW else ids[i] for i in at[some]]
-        frame["centre_timestamp"], frame["centre_row_id"] = stamps, rows
+        stamps, rows = np.full(n, np.datetime64("NaT"), "datetime64[us]"), np.full(n, _NO_ROW)
+        stamps[some], rows[some] = times[at[some]].astype("datetime64[us]"), ids[at[some]]
+        frame["centre_timestamp"], frame["centre_row_id"] = stamps, _row_ids(rows)
         frame["centre_value"], frame["centre_trend"] = value, trend
 
-    def _wake(self, held: list[tuple], gap: int, spark_watermark_ms: int) -> None:
+    def _wake(self, us: np.ndarray, gap: int, spark_watermark_ms: int) -> None:
         """One timer: when the next row is due, or the open gap (the first ``gap`` rows) is to be closed."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
-        at = [held[0][0] // 1000 + self.gap_ms] if gap else []
-        at += [held[gap][0] // 1000] if gap < len(held) else []
+        at = [int(us[0]) // 1000 + self.gap_ms] if gap else []
+        at += [int(us[gap]) // 1000] if gap < len(us) else []
         if at:
             self.handle.registerTimer(max(min(at) + 1 - self.grace_ms, spark_watermark_ms + 1, 1))
 
