@@ -13,6 +13,7 @@ from ..operators.features import series_frame
 from ..operators.iforest import iforest_detect, permutation_importance_rows
 from ..operators.scaler import apply_scaler, fit_scaler
 from ..schema import ALERT_COLUMNS
+from ..session import cut_lineage
 from ..sources.fixtures import hourly_by_type, load_table, raw_by_type
 from ..streaming.continuous import STREAM_SCHEMA
 from .batch import detect_alerts, detection_frame
@@ -27,7 +28,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scaled_frame(readings: DataFrame, cfg: DetectionConfig) -> DataFrame:
-    f = series_frame(readings, cfg)
+    f = cut_lineage(series_frame(readings, cfg))  # read by the scaler's fit and by the rows: the windows run once
     return apply_scaler(f, fit_scaler(f, cfg))
 
 
@@ -93,10 +94,19 @@ def q_stream_batch_alerts(spark, sf):
                     F.round(F.col("confidence_score") + F.lit(1e-9), 6).alias("confidence_score"))
 
 
-def _in_turn(parts: list[DataFrame], folder: str) -> None:
-    """Write the parts one after the other: the file source reads files in the order of their times."""
-    for p in parts:
-        p.coalesce(1).write.mode("append").parquet(folder)
+#: Rows of a part that one task writes as one file.
+FILE_ROWS = 1 << 17
+
+
+def _in_turn(parts: list[DataFrame], folder: str, file_rows: int = FILE_ROWS) -> int:
+    """Write the parts one after the other, each as the same number of files, which is returned: the file source reads files in
+    the order of their times, so that as many files a trigger make each part one micro-batch."""
+    rows = [p.count() for p in parts]
+    n = max(1, min(-(-max(rows) // file_rows), min(rows)))
+    for p, r in zip(parts, rows):
+        # Rows are dealt in turn: one input partition of n rows or more is enough for n files.
+        (p.coalesce(1) if n == 1 else p.coalesce(max(1, r // file_rows)).repartition(n)).write.mode("append").parquet(folder)
+    return n
 
 
 def _shuffled_stream(rows: DataFrame, run: str) -> DataFrame:
@@ -113,8 +123,9 @@ def _shuffled_stream(rows: DataFrame, run: str) -> DataFrame:
     days = sorted(r["part"] for r in dealt.select("part").distinct().collect())  # one a three days
     end = dealt.agg(F.max("timestamp")).first()[0]
     parts = [dealt.filter(F.col("part") == d).drop("part") for d in days]
-    _in_turn([*parts, heartbeat(spark, end + timedelta(days=400))], f"{run}/input")
-    return spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+    files = _in_turn(parts, f"{run}/input")
+    _in_turn([heartbeat(spark, end + timedelta(days=400))], f"{run}/input")
+    return spark.readStream.schema(STREAM_SCHEMA).option("maxFilesPerTrigger", files).parquet(f"{run}/input")
 
 
 def q_stream_continuous(spark, sf):
@@ -167,8 +178,8 @@ def q_stream_quarantine(spark, sf):
     at = F.when(i % 89 == 0, F.lit("not a time")).when(i % 83 != 0, F.col("ts").cast("string"))
     whole = F.to_json(F.struct(F.when(i % 97 != 0, F.col("event_type")).alias("sensor_id"), at.alias("timestamp"), F.col("value").cast("double").alias("value")))
     messages = load_table(spark, sf, "events").select("event_id", F.when(i % 101 == 0, F.lit("{broken")).otherwise(whole).alias("value"))
-    _in_turn([messages.filter(i % 3 == k).select("value") for k in range(3)], f"{run}/input")
-    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).parquet(f"{run}/input")
+    files = _in_turn([messages.filter(i % 3 == k).select("value") for k in range(3)], f"{run}/input")
+    stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).parquet(f"{run}/input")
     out = f"{run}/out"
     run_batch_isolated(stream, out, f"{run}/checkpoint", FULL.with_(detectors=("statistical",), min_points=10), payload="value")
     kept = read_committed(spark, out, "readings").select(F.lit("kept").alias("outcome"))

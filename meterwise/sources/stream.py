@@ -14,15 +14,29 @@ def _parsed(df: DataFrame, column: str) -> DataFrame:
     return df.select(text.alias("payload"), F.from_json(text, RAW_READINGS).alias("r")).select("payload", "r.*")
 
 
+def tag_json_payload(df: DataFrame, column: str = "value") -> DataFrame:
+    """Every message once, with its ``payload``, its typed reading and the reason why it gives none: what ``tagged_readings``
+    and ``tagged_quarantine`` part, so that one pass parses for both."""
+    p = _parsed(df, column)
+    return _tag(p, "sensor_id", "timestamp", "value", "row_id" if "row_id" in p.columns else None, None)
+
+
+def tagged_readings(tagged: DataFrame) -> DataFrame:
+    return tagged.filter(F.col(_BAD).isNull()).drop(_BAD, "payload")
+
+
+def tagged_quarantine(tagged: DataFrame) -> DataFrame:
+    return tagged.filter(F.col(_BAD).isNotNull()).select("payload", F.col(_BAD).alias("reason"))
+
+
 def parse_json_payload(df: DataFrame, column: str = "value") -> DataFrame:
     """Kafka-style payload: ``from_json(value.cast('string'))`` -> readings."""
-    return normalize_readings(_parsed(df, column).drop("payload"))
+    return tagged_readings(tag_json_payload(df, column))
 
 
 def quarantine_json_payload(df: DataFrame, column: str = "value") -> DataFrame:
     """(payload, reason) of the messages that give no reading: malformed JSON, or no usable timestamp or sensor."""
-    t = _tag(_parsed(df, column), "sensor_id", "timestamp", "value", None, None)
-    return t.filter(F.col(_BAD).isNotNull()).select("payload", F.col(_BAD).alias("reason"))
+    return tagged_quarantine(tag_json_payload(df, column))
 
 
 def read_reading_stream(spark: SparkSession, path_or_servers: str, fmt: str = "json", *,

@@ -23,7 +23,7 @@ from ..operators.outbox import route_alerts
 from ..operators.registry import ScalerRegistry
 from ..plans.batch import detect_alerts
 from ..sources.commits import CommitLog
-from ..sources.stream import parse_json_payload, quarantine_json_payload
+from ..sources.stream import tag_json_payload, tagged_quarantine, tagged_readings
 
 
 def _writer(out: str, cfg: DetectionConfig, checkpoint_location: str, registry: str | None, payload: str | None):
@@ -42,8 +42,12 @@ def _writer(out: str, cfg: DetectionConfig, checkpoint_location: str, registry:
         tables = ["alerts", "outbox"]
         readings = batch
         if payload:
-            written(quarantine_json_payload(batch, payload), "quarantine")
-            readings = written(parse_json_payload(batch, payload), "readings")
+            tagged = tag_json_payload(batch, payload).persist()  # parsed once for both tables
+            try:
+                written(tagged_quarantine(tagged), "quarantine")
+                readings = written(tagged_readings(tagged), "readings")
+            finally:
+                tagged.unpersist()
             tables += ["quarantine", "readings"]
         now = cfg.processing_time or spark.range(1).select(F.localtimestamp().cast("string")).first()[0]
         at = cfg.with_(processing_time=now)
