@@ -159,3 +159,30 @@ def test_selected_threshold_equals_the_exact_one(spark):
     frame = _scaled(spark, raw_by_type(spark, "/root/testdata/sf0.001")).cache()
     a, b = (iforest_detect(frame, CFG.with_(quantiles=q)).select("sensor_id", "pos", "if_threshold").orderBy("sensor_id", "pos").collect() for q in ("exact", "selection"))
     assert a == b
+
+
+def test_row_batches_hold_no_null_lists(spark):
+    """Arrow's list writer takes time with the square of a batch's null lists in turn: the rows behind the trees have empty ones."""
+    from meterwise.operators.iforest import _with_trees
+    forest = spark.createDataFrame([("s", 0, 2, [0, -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [2, 1, 1])],
+                                   "sensor_id string, tree_id int, psi int, feature array<int>, threshold array<double>, left array<int>, right array<int>, size array<int>")
+    rows = spark.createDataFrame([("s", 0, [0.1]), ("s", 0, [0.9])], "sensor_id string, blk bigint, fx array<double>")
+    got = [r["tree"] for r in _with_trees(rows, forest).collect()]
+    assert [t["tree_id"] for t in got] == [0, None, None]
+    assert all(t[c] == [] for t in got[1:] for c in ("feature", "threshold", "left", "right", "size"))
+
+
+def test_packed_trees_score_as_walked_ones():
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(500, 4))
+    X[0, 1], X[1, 2] = np.nan, np.inf
+    trees = _grow_forest(np.nan_to_num(X, posinf=3.0), np.stack([rng.permutation(500)[:64] for _ in range(7)]), rng, 6)
+    from meterwise.operators.iforest import _avg_path
+    for i in (0, 1, 2, 300):
+        total = 0.0
+        for feat, thr, left, right, size in trees:
+            node, depth = 0, 0
+            while feat[node] >= 0:
+                node, depth = (left if X[i, feat[node]] < thr[node] else right)[node], depth + 1
+            total += depth + _avg_path([size[node]])[0]
+        assert _score(X, trees, 64)[i] == np.power(2.0, -(total / 7) / _avg_path([64])[0])

@@ -323,3 +323,28 @@ def test_windowed_stats_of_a_stream_equal_the_batch(spark):
     key = lambda df: sorted((r.sensor_id, str(r.window_start), r.n, None if r.mean is None else round(r.mean, 9), r.max) for r in df.collect())
     got = spark.read.parquet(f"{run}/out").filter(F.col("sensor_id") != HEARTBEAT)
     assert key(got) == key(windowed_stats(spark.createDataFrame(rows, STREAM_SCHEMA), "1 hour"))
+
+
+def test_a_part_is_many_files_and_one_micro_batch(spark, tmp_path):
+    from meterwise.plans.extra import _in_turn
+    parts = [spark.range(100 * k, 100 * k + n, numPartitions=3) for k, n in ((0, 50), (1, 90), (2, 12))]
+    files = _in_turn(parts, str(tmp_path / "in"), file_rows=20)
+    assert files == 5
+    seen = []
+    q = (spark.readStream.schema("id long").option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in")).writeStream
+         .foreachBatch(lambda b, i: seen.append(sorted(r["id"] for r in b.collect()))).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert seen == [sorted(r["id"] for r in p.collect()) for p in parts]
+
+
+def test_waiting_rows_are_packed():
+    from meterwise.streaming.continuous import _NO_ROW, HELD, HELD_ROWS, WAITING, _before, _held, _order
+    import numpy as np
+    import pandas as pd
+    assert [f.dataType.simpleString() for f in WAITING.fields] == ["binary"] and HELD_ROWS > 1000
+    big = (1 << 60) + 1
+    rows = _held(pd.DataFrame({"timestamp": pd.to_datetime(["2024-01-02", "2024-01-01", "2024-01-01", "2024-01-01"]), "row_id": pd.array([big, 2, None, 2], dtype="Int64"),
+                               "value": [1.0, 5.0, 7.0, None]}))
+    assert rows["row"].tolist() == [big, 2, _NO_ROW, 2] and np.frombuffer(rows.tobytes(), HELD)["row"].tolist() == rows["row"].tolist()
+    assert _order(rows).tolist() == [2, 3, 1, 0]
+    assert _before(rows, tuple(rows[1].item())).tolist() == [False, False, True, True]
