@@ -123,3 +123,15 @@ def test_state_goes_through_files(tmp_path):
 
 def test_empty(spark):
     assert suffixes.dedup(frame(spark, [])).count() == 0
+
+
+def test_passage_shorter_than_the_length_stays(spark):
+    """A passage of over 50 words but under 400 bytes is cut by a shorter length only; one of 400 bytes is cut, one of 399 is not."""
+    rnd = random.Random(6)
+    letters = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    passage, full, short = " ".join(letters(5) for _ in range(60)), letters(400), letters(399)
+    texts = [f"{a}{p}{b}" for p in (passage, full, short) for a, b in ("AB", "CD")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = lambda **o: {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.dedup(docs, **o).collect()}
+    assert cut() == {0: (0, 0), 1: (0, 0), 2: (400, 1), 3: (400, 1), 4: (0, 0), 5: (0, 0)}
+    assert cut(length=200) == {0: (359, 1), 1: (359, 1), 2: (400, 1), 3: (400, 1), 4: (399, 1), 5: (399, 1)}
